@@ -107,13 +107,17 @@ def char_preprocess(text) -> Column:
     return F.regexp_replace(F.lower(_c(text)), WS_RUN_RE, " ")
 
 
-def char_ngrams(text, n_min: int = 2, n_max: int = 5) -> Column:
-    """Every substring of length n_min..n_max of the preprocessed text."""
-    t = char_preprocess(text)
-    per_n = []
-    for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substring(t, i, n))
-        per_n.append(F.when(F.length(t) >= n, grams).otherwise(F.array().cast("array<string>")))
+def _join_at(toks: Column, n: int):
+    # one-argument lambda: a second parameter would be read as the element index
+    return lambda i: F.array_join(F.slice(toks, i, n), " ")
+
+
+def char_ngrams(prepped, n_min: int = 2, n_max: int = 5) -> Column:
+    """Every substring of length n_min..n_max of a preprocessed text column
+    (see ``char_preprocess``).  One native regex scan per n with a capturing
+    lookahead returns all overlapping n-grams, without a per-gram lambda."""
+    t = _c(prepped)
+    per_n = [F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(n_min, n_max + 1)]
     return F.flatten(F.array(*per_n)) if len(per_n) > 1 else per_n[0]
 
 
@@ -122,10 +126,7 @@ def word_ngrams(tokens, n_min: int, n_max: int) -> Column:
     toks = _c(tokens)
     per_n = []
     for n in range(n_min, n_max + 1):
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i, n=n: F.array_join(F.slice(toks, i, n), " "),
-        )
+        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), _join_at(toks, n))
         per_n.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*per_n)) if len(per_n) > 1 else per_n[0]
 

@@ -63,10 +63,10 @@ def function_word_freq(corpus: DataFrame, lang: str | None = None) -> DataFrame:
         F.filter("toks", lambda t: F.array_contains(F.col("words"), t)).alias("fw"),
         "words",
     )
-    d = d.select("doc_id", "n", "fw", F.posexplode("words").alias("idx", "feat"))
-    cnt = F.size(F.filter("fw", lambda t: t == F.col("feat")))
-    return d.select("doc_id", F.concat(F.lit("fw:"), F.lpad((F.col("idx") + 1).cast("string"), 3, "0"), F.lit(":"), "feat").alias("feat"),
-                    (cnt / F.col("n")).alias("val"))
+    d = d.select("doc_id", "n", "fw", F.posexplode("words").alias("idx", "word"))
+    cnt = F.size(F.filter("fw", lambda t: t == F.col("word")))
+    feat = F.concat(F.lit("fw:"), F.lpad((F.col("idx") + 1).cast("string"), 3, "0"), F.lit(":"), F.col("word"))
+    return d.select("doc_id", feat.alias("feat"), (cnt / F.col("n")).alias("val"))
 
 
 def word_length_profile(corpus: DataFrame, upto: int = 23) -> DataFrame:
@@ -87,6 +87,15 @@ def sentence_length_profile(corpus: DataFrame, downto: int = 3, upto: int = 70)
     return d.select("doc_id", "i", share.alias("val"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Per-document work on a scan with fewer partitions than task slots (small
+    files, one row group) is spread by doc_id; large scans keep their splits."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, "doc_id")
+    return df
+
+
 def _term_counts(corpus: DataFrame, terms, block: str) -> DataFrame:
     return (
         corpus.select("doc_id", F.explode(terms).alias("feat"))
@@ -98,20 +107,22 @@ def _term_counts(corpus: DataFrame, terms, block: str) -> DataFrame:
 
 def char_ngram_counts(corpus: DataFrame, n_min: int = 2, n_max: int = 5) -> DataFrame:
     """(doc_id, feat, tf, block='char')."""
-    return _term_counts(corpus, T.char_ngrams("text", n_min, n_max), "char")
+    d = spread(corpus).select("doc_id", T.char_preprocess("text").alias("__t"))
+    return _term_counts(d, T.char_ngrams("__t", n_min, n_max), "char")
 
 
 def word_unigram_counts(corpus: DataFrame) -> DataFrame:
     """(doc_id, feat, tf, block='word')."""
-    return _term_counts(corpus, T.word_unigrams("text"), "word")
+    return _term_counts(spread(corpus), T.word_unigrams("text"), "word")
 
 
 def tag_ngram_counts(corpus: DataFrame, tags_col: str | None = None, n_min: int = 3, n_max: int = 4) -> DataFrame:
     """P10: word n-grams over a tag sequence column (default: shape tags of the text)."""
     tags = F.col(tags_col) if tags_col else T.shape_tags("text")
-    return _term_counts(corpus, T.word_ngrams(T.tag_tokens(tags), n_min, n_max), "post")
+    d = spread(corpus).select("doc_id", T.tag_tokens(tags).alias("__tg"))
+    return _term_counts(d, T.word_ngrams("__tg", n_min, n_max), "post")
 
 
 def punctuation_counts(corpus: DataFrame) -> DataFrame:
     """Counts of the 32 ASCII punctuation characters."""
-    return _term_counts(corpus, T.punctuation_chars("text"), "punct")
+    return _term_counts(spread(corpus), T.punctuation_chars("text"), "punct")

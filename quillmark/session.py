@@ -25,6 +25,7 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "quillm
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", os.environ.get("QUILL_DRIVER_MEMORY", "16g"))
     )
