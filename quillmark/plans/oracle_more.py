@@ -1 +1,454 @@
-from .oracle import o  # noqa: F401
+"""DuckDB twins, second part: pairs, vector math, rules, metrics, impostors.
+
+The pair twins replay the same seeded draws as the Spark plans (same md5
+keys, same arithmetic), so the first-k-distinct selections are identical.
+"""
+from __future__ import annotations
+
+from ..functions.hashing import sql_hkey, sql_uniform, sql_uniform_of_hex
+from .oracle import CORPUS, CORPUS_LS, o, split_sql
+
+VECTORS = ("SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS author, "
+           "list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec FROM embeddings")
+ABS_VECTORS = ("SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS author, "
+               "list_transform(embedding, x -> abs(CAST(x AS DOUBLE))) AS vec FROM embeddings")
+U42 = sql_uniform(42, "doc_id")
+EMB_SPLIT = f"""SELECT v.doc_id, v.author, v.vec, s.split FROM ({VECTORS}) v JOIN (
+  SELECT doc_id, CASE WHEN rk <= round(n * 0.3) THEN 'test' ELSE 'train' END AS split FROM (
+    SELECT doc_id, row_number() OVER (PARTITION BY author ORDER BY {U42}, doc_id) AS rk,
+      count(*) OVER (PARTITION BY author) AS n FROM ({VECTORS}))) s ON v.doc_id = s.doc_id"""
+
+
+def L1(a, b):
+    return f"list_sum(list_transform(range(1, len({a}) + 1), i -> abs({a}[i] - {b}[i])))"
+
+
+def L2(a, b):
+    return f"sqrt(list_sum(list_transform(range(1, len({a}) + 1), i -> ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))))"
+
+
+def NRM(a):
+    return f"sqrt(list_sum(list_transform({a}, x -> x * x)))"
+
+
+def DOT(a, b):
+    return f"list_sum(list_transform(range(1, len({a}) + 1), i -> {a}[i] * {b}[i]))"
+
+
+def COS(a, b):
+    return f"(CASE WHEN {NRM(a)} * {NRM(b)} = 0 THEN 0.0 ELSE {DOT(a, b)} / ({NRM(a)} * {NRM(b)}) END)"
+
+
+def COSD(a, b):
+    ua = f"(CASE WHEN {NRM(a)} = 0 THEN 0.0 ELSE {a}[i] / {NRM(a)} END)"
+    ub = f"(CASE WHEN {NRM(b)} = 0 THEN 0.0 ELSE {b}[i] / {NRM(b)} END)"
+    return f"0.5 * list_sum(list_transform(range(1, len({a}) + 1), i -> ({ua} - {ub}) * ({ua} - {ub})))"
+
+
+def MINMAX(a, b):
+    num = f"list_sum(list_transform(range(1, len({a}) + 1), i -> least({a}[i], {b}[i])))"
+    den = f"list_sum(list_transform(range(1, len({a}) + 1), i -> greatest({a}[i], {b}[i])))"
+    return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE {num} / {den} END)"
+
+
+def chain_pairs_sql(src: str) -> str:
+    """Twin of queries.chain_pairs over a (doc_id, author) source."""
+    return f"""(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM
+    (SELECT doc_id, author, row_number() OVER (PARTITION BY author ORDER BY {U42}, doc_id) AS pos FROM ({src})) x
+    JOIN (SELECT doc_id, author, row_number() OVER (PARTITION BY author ORDER BY {U42}, doc_id) AS pos FROM ({src})) y
+    ON x.author = y.author AND y.pos = x.pos + 1
+  UNION ALL
+  SELECT x.doc_id AS a, y.doc_id AS b FROM ({src}) x JOIN ({src}) y ON y.doc_id = x.doc_id + 1))"""
+
+
+EMB_CHAIN = chain_pairs_sql(VECTORS)
+
+for name, fn, src in (("paired_distance_l1", L1, VECTORS), ("paired_distance_l2", L2, VECTORS),
+                      ("paired_distance_cosine", COSD, VECTORS), ("cosine_similarity", COS, VECTORS),
+                      ("minmax_similarity", MINMAX, ABS_VECTORS)):
+    o(name, f"""
+SELECT p.a, p.b, round({fn('x.vec', 'y.vec')}, 6) AS score FROM {EMB_CHAIN} p
+JOIN ({src}) x ON x.doc_id = p.a JOIN ({src}) y ON y.doc_id = p.b
+""")
+
+o("diff_vectors", f"""
+SELECT a, b, CAST(unnest(range(0, len(d))) AS BIGINT) AS dim, round(unnest(d), 6) AS val FROM (
+  SELECT p.a, p.b, list_transform(range(1, len(x.vec) + 1), i -> abs(x.vec[i] - y.vec[i])) AS d FROM {EMB_CHAIN} p
+  JOIN ({VECTORS}) x ON x.doc_id = p.a JOIN ({VECTORS}) y ON y.doc_id = p.b)
+""")
+
+# ------------------------------------------------------------------ pairs
+IDX_LS = f"""SELECT 'all' AS corpus_id, author, doc_id,
+  row_number() OVER (PARTITION BY author ORDER BY {U42}, doc_id) AS pos,
+  count(*) OVER (PARTITION BY author) AS n_docs,
+  row_number() OVER (ORDER BY {sql_uniform('42g', 'doc_id')}, doc_id) AS gpos,
+  count(*) OVER () AS n_corpus FROM ({CORPUS_LS})"""
+GROUPS = """SELECT corpus_id, author, n, CAST(n * (n - 1) / 2 AS BIGINT) AS P,
+  row_number() OVER (PARTITION BY corpus_id ORDER BY author) - 1 AS g,
+  count(*) OVER (PARTITION BY corpus_id) AS n_grp FROM (SELECT corpus_id, author, count(*) AS n FROM idx GROUP BY corpus_id, author)"""
+CAP = """SELECT corpus_id, sum(n) AS n_docs, count(*) AS n_groups, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS max_pos,
+  CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS max_neg FROM (
+  SELECT 'all' AS corpus_id, author, count(*) AS n FROM ({src}) GROUP BY author) GROUP BY corpus_id"""
+
+o("pair_capacity", CAP.replace("{src}", CORPUS_LS))
+o("pair_request", f"""
+SELECT corpus_id, max_pos, max_neg, CAST(least(5000, 3000) AS BIGINT) AS pos_req,
+  CAST(least(least(5000, max_neg), 3000) AS BIGINT) AS neg_req FROM ({CAP.replace("{src}", CORPUS_LS)})
+""")
+
+
+def decode_sql(k: str) -> tuple[str, str]:
+    j0 = f"CAST(floor((1.0 + sqrt(1.0 + 8.0 * CAST({k} AS DOUBLE))) / 2) AS BIGINT)"
+    j1 = f"(CASE WHEN {j0} * ({j0} - 1) / 2 > {k} THEN {j0} - 1 ELSE {j0} END)"
+    j = f"(CASE WHEN ({j1} + 1) * {j1} / 2 <= {k} THEN {j1} + 1 ELSE {j1} END)"
+    i = f"CAST({k} - {j} * ({j} - 1) / 2 AS BIGINT)"
+    return i, j
+
+
+def rr_sql(pos_req: int) -> str:
+    i, j = decode_sql("k")
+    u_e = sql_uniform("42|rre", "corpus_id", "author", "k")
+    u_d = sql_uniform("42|rrd", "corpus_id", "author", "d")
+    return f"""
+WITH idx AS ({IDX_LS}), grp AS ({GROUPS}),
+g AS (SELECT *, {pos_req} AS pos_req,
+  row_number() OVER (PARTITION BY corpus_id ORDER BY P, author) AS i_,
+  coalesce(sum(P) OVER (PARTITION BY corpus_id ORDER BY P, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM grp),
+st AS (SELECT corpus_id, arg_min(cp, i_) AS cps, min(i_) AS i_s FROM g
+  WHERE cp + P + (n_grp - i_) * P >= pos_req GROUP BY corpus_id),
+g2 AS (SELECT g.*, st.cps, st.i_s,
+  CAST(CASE WHEN st.i_s IS NULL THEN P + 1 ELSE ceil((pos_req - st.cps) / (n_grp - st.i_s + 1)) END AS BIGINT) AS r_ FROM g LEFT JOIN st USING (corpus_id)),
+g3 AS (SELECT *, least(P, greatest(r_ - 1, 0)) AS full_ FROM g2),
+g4 AS (SELECT *, pos_req - sum(full_) OVER (PARTITION BY corpus_id) AS rem, (P >= r_ AND i_s IS NOT NULL) AS e_ FROM g3),
+q AS (SELECT corpus_id, author, P, full_ + CASE WHEN e_ AND row_number() OVER (PARTITION BY corpus_id, e_ ORDER BY author) <= rem THEN 1 ELSE 0 END AS t FROM g4),
+sm AS (SELECT corpus_id, author, P, t FROM q WHERE t > 0 AND P <= 4 * t + 16),
+en AS (SELECT corpus_id, author, k, rk FROM (
+  SELECT corpus_id, author, k, t, row_number() OVER (PARTITION BY corpus_id, author ORDER BY {u_e}, corpus_id, author, k) AS rk
+  FROM (SELECT corpus_id, author, t, unnest(range(0, P)) AS k FROM sm)) WHERE rk <= t),
+dr0 AS (SELECT corpus_id, author, P, t, unnest(range(0, 3 * t + 32)) AS d FROM q WHERE t > 0 AND NOT (P <= 4 * t + 16)),
+dr1 AS (SELECT corpus_id, author, least(CAST(floor({u_d} * P) AS BIGINT), P - 1) AS k, min(d) AS d, any_value(t) AS t
+  FROM dr0 GROUP BY corpus_id, author, least(CAST(floor({u_d} * P) AS BIGINT), P - 1)),
+dr AS (SELECT corpus_id, author, k, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, author ORDER BY d) AS rk FROM dr1) WHERE rk <= t),
+s AS (SELECT * FROM en UNION ALL SELECT * FROM dr),
+s2 AS (SELECT s.*, {i} + 1 AS pi, {j} + 1 AS pj FROM s)
+SELECT s2.corpus_id, s2.author, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, 1 AS same, s2.rk AS round
+FROM s2 JOIN idx x ON x.corpus_id = s2.corpus_id AND x.author = s2.author AND x.pos = s2.pi
+JOIN idx y ON y.corpus_id = s2.corpus_id AND y.author = s2.author AND y.pos = s2.pj"""
+
+
+o("positive_pairs_round_robin", rr_sql(1500))
+
+
+def uniform_pos_sql(seed: str, req: str, idx: str) -> str:
+    """Twin of positive_pairs_uniform: (corpus_id, a, b, rk) for one request expression."""
+    i, j = decode_sql("k")
+    u_e = sql_uniform(f"{seed}|upe", "corpus_id", "author", "k")
+    h = sql_hkey(f"{seed}|upd", "corpus_id", "d")
+    u3 = sql_uniform(f"{seed}|upa", "corpus_id", "d")
+    return f"""
+idx AS ({idx}), grp AS ({GROUPS}),
+stats AS (SELECT corpus_id, sum(P) AS cap, max(n) AS nmax, sum(n) AS ntot, {req} AS req_ FROM grp GROUP BY corpus_id),
+st AS (SELECT * FROM stats WHERE req_ > 0),
+pe AS (SELECT corpus_id, a, b, rk FROM (
+  SELECT e.corpus_id, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, e.rk, e.req_ FROM (
+    SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY {u_e}, corpus_id, author, k) AS rk FROM (
+      SELECT grp.corpus_id, grp.author, st.req_, unnest(range(0, grp.P)) AS k FROM grp JOIN st USING (corpus_id)
+      WHERE st.cap <= 4 * st.req_ + 16)) e
+  JOIN idx x ON x.corpus_id = e.corpus_id AND x.author = e.author AND x.pos = {i.replace('k', 'e.k')} + 1
+  JOIN idx y ON y.corpus_id = e.corpus_id AND y.author = e.author AND y.pos = {j.replace('k', 'e.k')} + 1
+  WHERE e.rk <= e.req_)),
+dd AS (SELECT corpus_id, ntot, nmax, req_, unnest(range(0, CAST(ceil(req_ / (cap * 2.0 / (ntot * (nmax - 1))) * 1.5 + 64) AS BIGINT))) AS d
+  FROM st WHERE NOT (cap <= 4 * req_ + 16)),
+dh AS (SELECT *, {h} AS h FROM dd),
+dx AS (SELECT dh.corpus_id, dh.d, dh.req_, x.author AS ax, x.pos AS px, x.n_docs AS n_, x.doc_id AS xd, dh.nmax,
+    {sql_uniform_of_hex('dh.h', 14)} AS u2, {u3.replace('corpus_id', 'dh.corpus_id').replace("CAST(d AS", "CAST(dh.d AS")} AS u3
+  FROM dh JOIN idx x ON x.corpus_id = dh.corpus_id AND x.gpos = CAST(floor({sql_uniform_of_hex('dh.h', 1)} * dh.ntot) + 1 AS BIGINT)),
+dy AS (SELECT dx.*, CAST(floor(u2 * (n_ - 1)) + 1 AS BIGINT) AS y0 FROM dx WHERE n_ > 1 AND u3 * (nmax - 1) <= (n_ - 1)),
+dz AS (SELECT dy.corpus_id, dy.d, dy.req_, least(dy.xd, y.doc_id) AS a, greatest(dy.xd, y.doc_id) AS b FROM dy
+  JOIN idx y ON y.corpus_id = dy.corpus_id AND y.author = dy.ax AND y.pos = CASE WHEN dy.y0 >= dy.px THEN dy.y0 + 1 ELSE dy.y0 END),
+df AS (SELECT corpus_id, a, b, min(d) AS d, any_value(req_) AS req_ FROM dz GROUP BY corpus_id, a, b),
+pd AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY d) AS rk FROM df) WHERE rk <= req_),
+pos_out AS (SELECT * FROM pe UNION ALL SELECT * FROM pd)"""
+
+
+def enum_neg_sql(seed: str, weighted: bool) -> str:
+    u = sql_uniform(seed, "corpus_id", "a", "b")
+    key = f"-ln({u}) * n1 * n2" if weighted else u
+    return f"""
+ne AS (SELECT corpus_id, a, b, rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY {key}, a, b) AS rk FROM (
+    SELECT gp.corpus_id, gp.req_, gp.n1, gp.n2, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM (
+      SELECT g1.corpus_id, st.req_, g1.author AS ax, g1.n AS n1, g2.author AS ay, g2.n AS n2, unnest(range(0, g1.n * g2.n)) AS k
+      FROM grp g1 JOIN grp g2 ON g1.corpus_id = g2.corpus_id AND g2.g > g1.g
+      JOIN st ON st.corpus_id = g1.corpus_id WHERE st.cap <= 4 * st.req_ + 16) gp
+    JOIN idx x ON x.corpus_id = gp.corpus_id AND x.author = gp.ax AND x.pos = CAST(floor(gp.k / gp.n2) + 1 AS BIGINT)
+    JOIN idx y ON y.corpus_id = gp.corpus_id AND y.author = gp.ay AND y.pos = gp.k % gp.n2 + 1)) WHERE rk <= req_)"""
+
+
+def weighted_neg_sql(seed: str, req: str, idx: str) -> str:
+    h = sql_hkey(f"{seed}|wnd", "corpus_id", "d")
+    h2 = sql_hkey(f"{seed}|wnp", "corpus_id", "d")
+    return f"""
+idx AS ({idx}), grp AS ({GROUPS}),
+stats AS (SELECT corpus_id, sum(n) AS ntot, sum(n * n) AS sq, any_value(n_grp) AS n_grp, {req} AS req_ FROM grp GROUP BY corpus_id),
+st AS (SELECT *, CAST((ntot * ntot - sq) / 2 AS BIGINT) AS cap FROM stats WHERE req_ > 0 AND n_grp > 1),
+{enum_neg_sql(f"{seed}|wne", True)},
+dd AS (SELECT corpus_id, n_grp, req_, unnest(range(0, CAST(req_ * 2 + 64 AS BIGINT))) AS d FROM st WHERE NOT (cap <= 4 * req_ + 16)),
+dh AS (SELECT *, {h} AS h, {h2} AS h2 FROM dd),
+dg AS (SELECT *, CAST(floor({sql_uniform_of_hex('h', 1)} * n_grp) AS BIGINT) AS g1,
+  CAST(floor({sql_uniform_of_hex('h', 14)} * (n_grp - 1)) AS BIGINT) AS g2_ FROM dh),
+dj AS (SELECT dg.corpus_id, dg.d, dg.req_, a1.author AS ax, a1.n AS n1, a2.author AS ay, a2.n AS n2, dg.h2 FROM dg
+  JOIN grp a1 ON a1.corpus_id = dg.corpus_id AND a1.g = dg.g1
+  JOIN grp a2 ON a2.corpus_id = dg.corpus_id AND a2.g = CASE WHEN dg.g2_ >= dg.g1 THEN dg.g2_ + 1 ELSE dg.g2_ END),
+dz AS (SELECT dj.corpus_id, dj.d, dj.req_, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM dj
+  JOIN idx x ON x.corpus_id = dj.corpus_id AND x.author = dj.ax AND x.pos = CAST(floor({sql_uniform_of_hex('dj.h2', 1)} * dj.n1) + 1 AS BIGINT)
+  JOIN idx y ON y.corpus_id = dj.corpus_id AND y.author = dj.ay AND y.pos = CAST(floor({sql_uniform_of_hex('dj.h2', 14)} * dj.n2) + 1 AS BIGINT)),
+df AS (SELECT corpus_id, a, b, min(d) AS d, any_value(req_) AS req_ FROM dz GROUP BY corpus_id, a, b),
+nd AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY d) AS rk FROM df) WHERE rk <= req_),
+neg_out AS (SELECT * FROM ne UNION ALL SELECT * FROM nd)"""
+
+
+def uniform_neg_sql(seed: str, req: str, idx: str) -> str:
+    ux = sql_uniform(f"{seed}|unx", "corpus_id", "d")
+    uy = sql_uniform(f"{seed}|uny", "corpus_id", "d")
+    return f"""
+nidx AS ({idx}), ngrp AS (SELECT corpus_id, author, count(*) AS n FROM nidx GROUP BY corpus_id, author),
+nst0 AS (SELECT corpus_id, sum(n) AS ntot, sum(n * n) AS sq, {req} AS req_ FROM ngrp GROUP BY corpus_id),
+nst AS (SELECT *, CAST((ntot * ntot - sq) / 2 AS BIGINT) AS cap FROM nst0 WHERE req_ > 0),
+ndd AS (SELECT corpus_id, ntot, req_, unnest(range(0, CAST(ceil(req_ / (1.0 - sq / (ntot * ntot)) * 1.5 + 64) AS BIGINT))) AS d
+  FROM nst WHERE NOT (cap <= 4 * req_ + 16)),
+ndz AS (SELECT ndd.corpus_id, ndd.d, ndd.req_, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM ndd
+  JOIN nidx x ON x.corpus_id = ndd.corpus_id AND x.gpos = CAST(floor({ux.replace('corpus_id', 'ndd.corpus_id').replace('CAST(d AS', 'CAST(ndd.d AS')} * ndd.ntot) + 1 AS BIGINT)
+  JOIN nidx y ON y.corpus_id = ndd.corpus_id AND y.gpos = CAST(floor({uy.replace('corpus_id', 'ndd.corpus_id').replace('CAST(d AS', 'CAST(ndd.d AS')} * ndd.ntot) + 1 AS BIGINT)
+  WHERE x.author <> y.author),
+ndf AS (SELECT corpus_id, a, b, min(d) AS d, any_value(req_) AS req_ FROM ndz GROUP BY corpus_id, a, b),
+uneg_out AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY d) AS rk FROM ndf) WHERE rk <= req_)"""
+
+
+o("positive_pairs_random", f"""
+WITH {uniform_pos_sql('42', '1500', IDX_LS)}
+SELECT corpus_id, a, b, 1 AS same, rk FROM pos_out
+""")
+
+o("negative_pairs", f"""
+WITH {weighted_neg_sql('42', '2000', IDX_LS)}
+SELECT corpus_id, a, b, 0 AS same, rk FROM neg_out
+""")
+
+
+def idx_of(src: str, seed: str = "42") -> str:
+    u = sql_uniform(seed, "doc_id")
+    ug = sql_uniform(f"{seed}g", "doc_id")
+    return f"""SELECT 'all' AS corpus_id, author, doc_id,
+  row_number() OVER (PARTITION BY author ORDER BY {u}, doc_id) AS pos,
+  count(*) OVER (PARTITION BY author) AS n_docs,
+  row_number() OVER (ORDER BY {ug}, doc_id) AS gpos,
+  count(*) OVER () AS n_corpus FROM ({src})"""
+
+
+TEST_DOCS = f"SELECT doc_id, author FROM ({split_sql(CORPUS)}) WHERE split = 'test'"
+VC_REQ_POS = ("(SELECT CAST(CASE WHEN 1000 < mp + least(mp, mn) THEN floor(mp / (mp + least(mp, mn)) * 1000) ELSE mp END AS BIGINT) "
+              "FROM (SELECT sum(n * (n - 1) / 2) AS mp, (sum(n) * sum(n) - sum(n * n)) / 2 AS mn FROM grp))")
+VC_REQ_NEG = ("(SELECT CAST(CASE WHEN 1000 < mp + least(mp, mn) THEN 1000 - floor(mp / (mp + least(mp, mn)) * 1000) ELSE least(mp, mn) END AS BIGINT) "
+              "FROM (SELECT sum(n * (n - 1) / 2) AS mp, (sum(n) * sum(n) - sum(n * n)) / 2 AS mn FROM ngrp))")
+o("verification_coordinates", f"""
+WITH {uniform_pos_sql('42v', VC_REQ_POS, idx_of(TEST_DOCS, '42'))},
+{uniform_neg_sql('42v', VC_REQ_NEG, idx_of(TEST_DOCS, '42'))}
+SELECT corpus_id, a, b, 1 AS same FROM pos_out UNION ALL SELECT corpus_id, a, b, 0 AS same FROM uneg_out
+""")
+
+# ------------------------------------------------------------------ projection, kNN, metrics
+TE = f"SELECT * FROM ({EMB_SPLIT}) WHERE split = 'test'"
+TR = f"SELECT * FROM ({EMB_SPLIT}) WHERE split = 'train'"
+SCORES = f"""SELECT x.doc_id AS x_id, r.doc_id AS ref_id, r.author AS ref_author, {COS('x.vec', 'r.vec')} AS p
+FROM ({TE}) x, ({TR}) r"""
+
+o("pairwise_projection", f"SELECT x_id, ref_id, ref_author, round(p, 6) AS p FROM ({SCORES})")
+o("pairwise_symmetric", f"""
+SELECT x.doc_id AS x_id, r.doc_id AS ref_id, r.author AS ref_author, round({L1('x.vec', 'r.vec')}, 6) AS p
+FROM ({TR}) x, ({TR}) r
+""")
+
+KNN = f"""SELECT x_id AS doc_id, ref_author AS pred, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY round(score, 9) DESC, ref_author) AS rn FROM (
+    SELECT x_id, ref_author, avg(p) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY x_id, ref_author ORDER BY round(p, 9) DESC, ref_id) AS rn FROM ({SCORES}))
+    WHERE rn <= 5 GROUP BY x_id, ref_author)) WHERE rn = 1"""
+o("knn_attribution", f"SELECT doc_id, pred, round(score, 6) AS score FROM ({KNN})")
+
+PRED = f"SELECT k.doc_id, k.pred, t.author AS truth FROM ({KNN}) k JOIN ({TE}) t ON k.doc_id = t.doc_id"
+CLS = f"""SELECT cls, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, max(t) AS in_truth FROM (
+  SELECT truth AS cls, CASE WHEN truth = pred THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE WHEN truth = pred THEN 0 ELSE 1 END AS fn, 1 AS t FROM ({PRED})
+  UNION ALL SELECT pred AS cls, 0, CASE WHEN truth = pred THEN 0 ELSE 1 END, 0, 0 FROM ({PRED})) GROUP BY cls"""
+F1C = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END"
+o("metric_attribution", f"""
+SELECT round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS acc, round(f1_macro, 6) AS f1_macro,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1_micro
+FROM (SELECT avg({F1C}) AS f1_macro, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({CLS}))
+""")
+o("metric_verification", f"""
+SELECT round(1.0 - (fp + fn) / (nn * c), 6) AS acc, round(f1_macro, 6) AS f1_macro,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1_micro
+FROM (SELECT count(*) AS c, avg({F1C}) AS f1_macro, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({CLS}) WHERE in_truth = 1),
+  (SELECT count(*) AS nn FROM ({PRED}))
+""")
+
+EMB_TEST_CHAIN = chain_pairs_sql(f"SELECT doc_id, author FROM ({TE})")
+EVAL = f"""SELECT p.a, p.b, CASE WHEN x.author = y.author THEN 1 ELSE 0 END AS same FROM {EMB_TEST_CHAIN} p
+JOIN ({TE}) x ON x.doc_id = p.a JOIN ({TE}) y ON y.doc_id = p.b"""
+
+
+def sav_metrics_sql(src: str) -> str:
+    return f"""SELECT round(100.0 * (tp + tn) / n, 6) AS acc,
+  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS p,
+  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS r,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1
+FROM (SELECT count(*) AS n, sum(CASE WHEN same = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN same <> 1 AND pred = 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN same = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS fn,
+  sum(CASE WHEN same <> 1 AND pred <> 1 THEN 1 ELSE 0 END) AS tn FROM ({src}))"""
+
+
+o("sav_via_attribution", sav_metrics_sql(f"""
+SELECT e.a, e.b, e.same, CASE WHEN pa.pred = pb.pred THEN 1 ELSE 0 END AS pred FROM ({EVAL}) e
+JOIN ({KNN}) pa ON pa.doc_id = e.a JOIN ({KNN}) pb ON pb.doc_id = e.b"""))
+o("trivial_rejector", f"SELECT round(100.0 * avg(1 - same), 6) AS acc, 1.0 AS p, 0.0 AS r, 0.0 AS f1 FROM ({EVAL})")
+
+SCORED = f"""SELECT e.a, e.b, e.same, {COS('x.vec', 'y.vec')} AS score FROM ({EVAL}) e
+JOIN ({VECTORS}) x ON x.doc_id = e.a JOIN ({VECTORS}) y ON y.doc_id = e.b"""
+SCORED_P = f"SELECT *, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS pred FROM ({SCORED})"
+o("metric_sav", sav_metrics_sql(SCORED_P))
+o("scores_by_truth", f"SELECT a, b, same, round(score, 6) AS score FROM ({SCORED})")
+o("metric_pan_auc", f"""
+WITH s AS ({SCORED_P}),
+g AS (SELECT score, sum(CASE WHEN same = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN same = 1 THEN 0 ELSE 1 END) AS neg FROM s GROUP BY score),
+gb AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g),
+a AS (SELECT sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM gb),
+c AS (SELECT count(*) AS n, sum(CASE WHEN same = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN same <> 1 AND pred = 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN same = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS fn,
+  sum(CASE WHEN same <> 1 AND pred <> 1 THEN 1 ELSE 0 END) AS tn FROM s)
+SELECT round((tp + tn) / n, 6) AS acc, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1,
+  round(auc, 6) AS auc, round((tp + tn) / n * auc, 6) AS acc_auc FROM c, a
+""")
+
+CAL = f"SELECT CAST(same AS DOUBLE) AS y, (score + 1) / 2 AS p FROM ({SCORED})"
+o("calibration_curve_uniform", f"""
+SELECT CAST(bin AS BIGINT) AS bin, round(avg(y), 6) AS prob_true, round(avg(p), 6) AS prob_pred, count(*) AS n FROM (
+  SELECT y, p, len(list_filter(range(1, 10), k -> k * CAST(1.00000001 AS DOUBLE) / 10 < p AND k < 10)) AS bin FROM ({CAL}))
+GROUP BY bin
+""")
+o("calibration_curve_quantile", f"""
+WITH c AS ({CAL}), e AS (SELECT quantile_cont(p, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM c)
+SELECT CAST(bin AS BIGINT) AS bin, round(avg(y), 6) AS prob_true, round(avg(p), 6) AS prob_pred, count(*) AS n FROM (
+  SELECT y, p, len(list_filter(list_slice(q, 2, 5), x -> x < p)) AS bin FROM c, e) GROUP BY bin
+""")
+
+# ------------------------------------------------------------------ impostors
+o("impostor_params", f"""
+SELECT n_docs, CAST(CASE WHEN 50 > floor(n_docs / 2) THEN floor(n_docs / 2) ELSE 50 END AS BIGINT) AS m,
+  CAST(CASE WHEN 50 > floor(n_docs / 2) THEN least(10, floor(floor(n_docs / 2) / 2)) ELSE 10 END AS BIGINT) AS n
+FROM (SELECT count(*) AS n_docs FROM ({TR}))
+""")
+
+SUBSETS = f"""SELECT iter, feat FROM (
+  SELECT iter, feat, row_number() OVER (PARTITION BY iter ORDER BY {sql_uniform(42, 'iter', 'feat')}, feat) AS r
+  FROM range(0, {{k}}) i(iter), range(0, 64) f(feat)) WHERE r <= 32"""
+o("impostor_feature_subsets", SUBSETS.replace("{k}", "100"))
+
+ATE = f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({TE}) t ON v.doc_id = t.doc_id"
+ATR = f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({TR}) t ON v.doc_id = t.doc_id"
+TOPIMP = f"""SELECT doc_id, imp_rank, imp_id, sim FROM (
+  SELECT x.doc_id, r.doc_id AS imp_id, {MINMAX('x.vec', 'r.vec')} AS sim,
+    row_number() OVER (PARTITION BY x.doc_id ORDER BY round({MINMAX('x.vec', 'r.vec')}, 9) DESC, r.doc_id) AS imp_rank
+  FROM ({ATE}) x, ({ATR}) r) WHERE imp_rank <= 20"""
+o("top_impostors", f"SELECT doc_id, CAST(imp_rank AS BIGINT) AS imp_rank, imp_id, round(sim, 6) AS sim FROM ({TOPIMP})")
+
+DRAWS = f"""SELECT a, b, dir, iter, j, CAST(floor({sql_uniform(42, 'a', 'b', 'dir', 'iter', 'j')} * 20) + 1 AS BIGINT) AS imp_rank
+FROM (SELECT a, b FROM ({EVAL})), (VALUES (0), (1)) d(dir), range(0, 30) i(iter), range(0, 5) jj(j)"""
+o("impostor_draws", f"SELECT a, b, CAST(dir AS INTEGER) AS dir, iter, j, imp_rank FROM ({DRAWS})")
+
+IMP_SCORES = f"""
+WITH ev AS ({EVAL}),
+av AS ({ABS_VECTORS}),
+lv AS (SELECT doc_id, unnest(range(0, len(vec))) AS f, unnest(vec) AS val FROM av),
+sub AS ({SUBSETS.replace("{k}", "30")}),
+dr AS (SELECT d.*, CASE WHEN dir = 0 THEN a ELSE b END AS x, CASE WHEN dir = 0 THEN b ELSE a END AS v FROM ({DRAWS}) d),
+di AS (SELECT dr.*, t.imp_id FROM dr JOIN ({TOPIMP}) t ON t.doc_id = dr.v AND t.imp_rank = dr.imp_rank),
+si AS (SELECT di.a, di.b, di.dir, di.iter, di.j,
+  CASE WHEN sum(greatest(lx.val, li.val)) = 0 THEN 0.0 ELSE sum(least(lx.val, li.val)) / sum(greatest(lx.val, li.val)) END AS s
+  FROM di JOIN sub ON sub.iter = di.iter JOIN lv lx ON lx.doc_id = di.x AND lx.f = sub.feat JOIN lv li ON li.doc_id = di.imp_id AND li.f = sub.feat
+  GROUP BY di.a, di.b, di.dir, di.iter, di.j),
+best AS (SELECT a, b, dir, iter, max(s) AS s_imp FROM si GROUP BY a, b, dir, iter),
+xv AS (SELECT DISTINCT a, b, dir, iter, x, v FROM dr),
+sx AS (SELECT xv.a, xv.b, xv.dir, xv.iter,
+  CASE WHEN sum(greatest(lx.val, lw.val)) = 0 THEN 0.0 ELSE sum(least(lx.val, lw.val)) / sum(greatest(lx.val, lw.val)) END AS s_xv
+  FROM xv JOIN sub ON sub.iter = xv.iter JOIN lv lx ON lx.doc_id = xv.x AND lx.f = sub.feat JOIN lv lw ON lw.doc_id = xv.v AND lw.f = sub.feat
+  GROUP BY xv.a, xv.b, xv.dir, xv.iter),
+ds AS (SELECT best.a, best.b, best.dir, sum(CASE WHEN sx.s_xv >= best.s_imp THEN 1.0 ELSE 0.0 END) / 30.0 AS s
+  FROM best JOIN sx ON sx.a = best.a AND sx.b = best.b AND sx.dir = best.dir AND sx.iter = best.iter GROUP BY best.a, best.b, best.dir),
+sc AS (SELECT a, b, max(CASE WHEN dir = 0 THEN s END) AS score_ab, max(CASE WHEN dir = 1 THEN s END) AS score_ba FROM ds GROUP BY a, b)
+SELECT sc.a, sc.b, ev.same, sc.score_ab, sc.score_ba, (sc.score_ab + sc.score_ba) / 2 AS score FROM sc JOIN ev ON ev.a = sc.a AND ev.b = sc.b"""
+o("impostor_scores", f"SELECT a, b, same, round(score_ab, 6) AS score_ab, round(score_ba, 6) AS score_ba, round(score, 6) AS score FROM ({IMP_SCORES})")
+o("impostors_eval", sav_metrics_sql(f"SELECT *, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS pred FROM ({IMP_SCORES})"))
+o("threshold_search_f1", f"""
+WITH s AS ({IMP_SCORES}),
+d AS (SELECT *, row_number() OVER (ORDER BY score, a, b) - 1 AS pos, count(*) OVER () AS n, sum(same) OVER () AS n_pos,
+  sum(same) OVER (ORDER BY score, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tp,
+  lag(score) OVER (ORDER BY score, a, b) AS prev FROM s),
+f AS (SELECT *, CASE WHEN 2 * tp + (n - pos - tp) + (n_pos - tp) = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + (n - pos - tp) + (n_pos - tp)) END AS f1 FROM d
+  WHERE pos >= 1 AND pos <= n - 2 AND score <> 0 AND (prev IS NULL OR prev <> score))
+SELECT round(score, 6) AS sigma, round(f1, 6) AS f1, CAST(pos AS BIGINT) AS pos FROM f ORDER BY round(f1, 9) DESC, pos LIMIT 1
+""")
+
+# ------------------------------------------------------------------ self-tuned k
+TR_SCORES = f"""SELECT x.doc_id AS x_id, r.doc_id AS ref_id, r.author AS ref_author,
+  CASE WHEN x.doc_id = r.doc_id THEN 0.0 ELSE {COS('x.vec', 'r.vec')} END AS p FROM ({TR}) x, ({TR}) r"""
+o("knn_tune_k", f"""
+WITH s AS (SELECT *, row_number() OVER w AS r, avg(p) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rm
+  FROM ({TR_SCORES}) WINDOW w AS (PARTITION BY x_id, ref_author ORDER BY round(p, 9) DESC, ref_id)),
+na AS (SELECT ref_author, count(DISTINCT ref_id) AS n_a FROM s GROUP BY ref_author),
+km AS (SELECT max(n_a) AS kmax FROM na),
+s2 AS (SELECT s.*, na.n_a FROM s JOIN na USING (ref_author)),
+allk AS (SELECT x_id, ref_author, r AS k, rm FROM s2 WHERE r < n_a
+  UNION ALL SELECT x_id, ref_author, unnest(range(n_a, kmax + 1)) AS k, rm FROM s2, km WHERE r = n_a),
+pr AS (SELECT x_id, k, ref_author AS pred FROM (
+  SELECT *, row_number() OVER (PARTITION BY x_id, k ORDER BY round(rm, 9) DESC, ref_author) AS rn FROM allk) WHERE rn = 1),
+acc AS (SELECT pr.k, avg(CASE WHEN pr.pred = t.author THEN 1.0 ELSE 0.0 END) AS acc FROM pr JOIN ({TR}) t ON t.doc_id = pr.x_id GROUP BY pr.k)
+SELECT CAST(k AS INTEGER) AS k, round(acc, 6) AS acc,
+  CAST(CASE WHEN row_number() OVER (ORDER BY round(acc, 9) DESC, k) = 1 THEN 1 ELSE 0 END AS INTEGER) AS best FROM acc
+""")
+
+# ------------------------------------------------------------------ feature matrix, random indexing, sparse diff
+from .oracle import PUNCT_COUNTS, WL_DENSE, WORD_COUNTS, tfidf_sql  # noqa: E402
+
+BLOCK_ORDER = "CASE block WHEN 'post' THEN 0 WHEN 'punct' THEN 1 WHEN 'word' THEN 2 WHEN 'char' THEN 3 WHEN 'fw' THEN 4 WHEN 'wl' THEN 5 WHEN 'sl' THEN 6 ELSE 99 END"
+BLOCKS = f"""SELECT doc_id, 'punct' AS block, feat, val FROM ({tfidf_sql(PUNCT_COUNTS)})
+UNION ALL SELECT doc_id, 'word' AS block, feat, val FROM ({tfidf_sql(WORD_COUNTS, 3)})
+UNION ALL SELECT doc_id, 'wl' AS block, lpad(feat, 2, '0') AS feat, val FROM ({WL_DENSE.replace("{src}", f"SELECT * FROM ({split_sql()})")})"""
+o("feature_matrix", f"""
+WITH b AS ({BLOCKS}),
+ix AS (SELECT block, feat, CAST(row_number() OVER (ORDER BY {BLOCK_ORDER}, block, feat) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT block, feat FROM b))
+SELECT b.doc_id, ix.idx, round(b.val, 6) AS val FROM b JOIN ix ON b.block = ix.block AND b.feat = ix.feat
+""")
+
+H0 = "md5(concat_ws('|', '0', CAST(feat AS VARCHAR)))"
+o("random_indexing", f"""
+WITH w AS ({tfidf_sql(WORD_COUNTS, 3)}),
+ix AS (SELECT feat, row_number() OVER (ORDER BY feat) - 1 AS idx FROM (SELECT DISTINCT feat FROM w)),
+e AS (SELECT feat, 0 AS j, CAST(idx % 64 AS INTEGER) AS dim, {H0} AS h FROM ix
+  UNION ALL SELECT feat, 1 AS j, CAST(floor({sql_uniform_of_hex("md5(concat_ws('|', " + H0 + ", '1'))")} * 64 - 1e-12) AS INTEGER) AS dim, {H0} AS h FROM ix),
+ri AS (SELECT feat, dim, CASE WHEN {sql_uniform_of_hex("md5(concat_ws('|', h, 's', CAST(j AS VARCHAR)))")} <= 0.5
+    THEN -1.0 / sqrt(2.0) ELSE 1.0 / sqrt(2.0) END AS weight,
+  row_number() OVER (PARTITION BY feat, dim ORDER BY j DESC) AS r FROM e)
+SELECT w.doc_id, ri.dim, round(sum(w.val * ri.weight), 6) AS val FROM w JOIN ri ON w.feat = ri.feat AND ri.r = 1
+GROUP BY w.doc_id, ri.dim
+""")
+
+DOC_TEST_CHAIN = chain_pairs_sql(f"SELECT doc_id, author FROM ({split_sql()}) WHERE split = 'test'")
+o("diff_vectors_sparse", f"""
+WITH f AS ({tfidf_sql(PUNCT_COUNTS)}), p AS {DOC_TEST_CHAIN},
+u AS (SELECT p.a, p.b, f.feat, f.val FROM p JOIN f ON f.doc_id = p.a
+  UNION ALL SELECT p.a, p.b, f.feat, -f.val FROM p JOIN f ON f.doc_id = p.b)
+SELECT a, b, feat, round(abs(sum(val)), 6) AS val FROM u GROUP BY a, b, feat HAVING abs(sum(val)) <> 0
+""")
