@@ -25,11 +25,27 @@ def group_counts(df: DataFrame, group_cols: Sequence[str], name: str = "n_group"
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(name))
 
 
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Size of the largest group (one small aggregate job; a scalar to the driver)."""
+    c = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c")) if group_cols else df.agg(F.count(F.lit(1)).alias("__c"))
+    return int(c.agg(F.max("__c")).first()[0] or 0)
+
+
 def bucketed_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  bucket: Column, out: str = "rank") -> DataFrame:
+                  bucket: Column, out: str = "rank", max_group: int | None = None,
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """row_number() over (partition by group_cols order by order_cols), computed
-    per (group, bucket); ``bucket`` must be non-decreasing along the order."""
+    per (group, bucket); ``bucket`` must be non-decreasing along the order.
+
+    When every group fits one task (``max_group`` <= rows_per_bucket, measured
+    if not given) the plain window is used: salting is only paid for when a
+    group is actually larger than one task should sort."""
     group_cols = list(group_cols)
+    if max_group is None:
+        max_group = largest_group(df, group_cols)
+    if max_group <= rows_per_bucket:
+        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(*order_cols)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     d = df.withColumn("__b", bucket.cast("long"))
     w = Window.partitionBy(*group_cols, "__b").orderBy(*order_cols)
     ranked = d.withColumn("__r0", F.row_number().over(w))
@@ -66,9 +82,18 @@ def hash_rank(
     gn = "__gn"
     d = df.withColumn("__u", uniform(seed, *key_cols))
     counts = group_counts(df, group_cols, gn)
+    biggest = int(counts.agg(F.max(gn)).first()[0] or 0)
+    if biggest <= rows_per_bucket:
+        # every group fits one task: the plain window (no salting needed)
+        w = Window.partitionBy(*group_cols).orderBy("__u", *key_cols)
+        res = d.withColumn(out, F.row_number().over(w).cast("long"))
+        if count_col:
+            res = res.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
+        return res.drop("__u", *(["__all"] if whole else []))
     d = d.join(F.broadcast(counts), group_cols) if whole else d.join(counts, group_cols)
     buckets = F.greatest(F.lit(1), F.ceil(F.col(gn) / F.lit(float(rows_per_bucket))))
-    res = bucketed_rank(d, group_cols, ["__u", *key_cols], F.floor(F.col("__u") * buckets), out)
+    res = bucketed_rank(d, group_cols, ["__u", *key_cols], F.floor(F.col("__u") * buckets), out,
+                        max_group=biggest, rows_per_bucket=rows_per_bucket)
     if count_col:
         res = res.withColumnRenamed(gn, count_col)
     return res.drop("__u", *([] if count_col else [gn]), *(["__all"] if whole else []))
@@ -77,4 +102,5 @@ def hash_rank(
 def int_rank(df: DataFrame, group_cols: Sequence[str], key: str, out: str = "rank",
              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rank by a non-negative integer key (e.g. a draw number), salted by key ranges."""
-    return bucketed_rank(df, group_cols, [key], F.floor(F.col(key) / F.lit(rows_per_bucket)), out)
+    return bucketed_rank(df, group_cols, [key], F.floor(F.col(key) / F.lit(rows_per_bucket)), out,
+                         rows_per_bucket=rows_per_bucket)

@@ -175,40 +175,38 @@ def pairwise_projection(
     """
     if "author" not in ref.columns:
         ref = ref.withColumn("author", F.lit(None).cast("string"))
+    if "author" not in x.columns:
+        x = x.withColumn("author", F.lit(None).cast("string"))
     nx = x.count()
     nr = nx if symmetric else ref.count()
-    bx, br = _block_count(nx, block_rows), _block_count(nr, block_rows)
-    if symmetric:
-        br = bx
-    xb = x.select("doc_id", "vec", F.pmod(F.xxhash64("doc_id"), F.lit(bx)).alias("bx"))
+    bx = _block_count(nx, block_rows)
+    br = bx if symmetric else _block_count(nr, block_rows)
+    # fresh column names on each side: both sides may come from one DataFrame
+    xb = x.select(F.col("doc_id").alias("x_id"), F.col("vec").alias("x_vec"), F.col("author").alias("x_author"),
+                  F.pmod(F.xxhash64("doc_id"), F.lit(bx)).alias("bx"))
     xb = xb.withColumn("br", F.explode(F.sequence(F.col("bx") if symmetric else F.lit(0), F.lit(br - 1))))
-    rb = ref.select("doc_id", "vec", "author", F.pmod(F.xxhash64("doc_id"), F.lit(br)).alias("br"))
+    rb = ref.select(F.col("doc_id").alias("r_id"), F.col("vec").alias("r_vec"), F.col("author").alias("r_author"),
+                    F.pmod(F.xxhash64("doc_id"), F.lit(br)).alias("br"))
     rb = rb.withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("br") if symmetric else F.lit(bx - 1))))
     cf = np.asarray(coef, dtype=float) if coef is not None else None
     schema = "x_id long, ref_id long, ref_author string, p double"
 
     def score(xp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(xp) == 0 or len(rp) == 0:
-            empty = pd.DataFrame({"x_id": [], "ref_id": [], "ref_author": [], "p": []})
+            empty = pd.DataFrame({"x_id": pd.Series([], dtype="int64"), "ref_id": pd.Series([], dtype="int64"),
+                                  "ref_author": pd.Series([], dtype="object"), "p": pd.Series([], dtype="float64")})
             return reduce(empty) if reduce else empty
-        X = np.stack(xp["vec"].to_numpy()).astype(float)
-        R = np.stack(rp["vec"].to_numpy()).astype(float)
-        S = np_scores(metric, X, R, cf, intercept)
-        xi = np.repeat(xp["doc_id"].to_numpy(), len(rp))
-        rj = np.tile(rp["doc_id"].to_numpy(), len(xp))
-        ra = np.tile(rp["author"].to_numpy(), len(xp))
-        out = pd.DataFrame({"x_id": xi, "ref_id": rj, "ref_author": ra, "p": S.ravel()})
+        X = np.stack(xp["x_vec"].to_numpy()).astype(float)
+        R = np.stack(rp["r_vec"].to_numpy()).astype(float)
+        S = np_scores(metric, X, R, cf, intercept).ravel()
+        xi = np.repeat(xp["x_id"].to_numpy(), len(rp))
+        rj = np.tile(rp["r_id"].to_numpy(), len(xp))
+        out = pd.DataFrame({"x_id": xi, "ref_id": rj, "ref_author": np.tile(rp["r_author"].to_numpy(), len(xp)), "p": S})
         if symmetric and int(xp["bx"].iloc[0]) != int(xp["br"].iloc[0]):
-            # mirror the off-diagonal block pair
-            ax = dict(zip(rp["doc_id"], rp["author"]))
-            mirror = pd.DataFrame({"x_id": rj, "ref_id": xi, "ref_author": None, "p": S.ravel()})
-            xa = dict(zip(xp["doc_id"], xp.get("author", pd.Series([None] * len(xp)))))
-            mirror["ref_author"] = [xa.get(i) for i in xi]
-            del ax
+            # off-diagonal block pair: the mirrored half
+            mirror = pd.DataFrame({"x_id": rj, "ref_id": xi,
+                                   "ref_author": np.repeat(xp["x_author"].to_numpy(), len(rp)), "p": S})
             out = pd.concat([out, mirror], ignore_index=True)
         return reduce(out) if reduce else out
 
-    if symmetric:
-        xb = x.select("doc_id", "vec", "author", F.pmod(F.xxhash64("doc_id"), F.lit(bx)).alias("bx"))
-        xb = xb.withColumn("br", F.explode(F.sequence(F.col("bx"), F.lit(br - 1))))
     return xb.groupBy("bx", "br").cogroup(rb.groupBy("bx", "br")).applyInPandas(score, reduce_schema or schema)

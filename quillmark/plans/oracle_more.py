@@ -87,7 +87,7 @@ IDX_LS = f"""SELECT 'all' AS corpus_id, author, doc_id,
 GROUPS = """SELECT corpus_id, author, n, CAST(n * (n - 1) / 2 AS BIGINT) AS P,
   row_number() OVER (PARTITION BY corpus_id ORDER BY author) - 1 AS g,
   count(*) OVER (PARTITION BY corpus_id) AS n_grp FROM (SELECT corpus_id, author, count(*) AS n FROM idx GROUP BY corpus_id, author)"""
-CAP = """SELECT corpus_id, sum(n) AS n_docs, count(*) AS n_groups, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS max_pos,
+CAP = """SELECT corpus_id, CAST(sum(n) AS BIGINT) AS n_docs, count(*) AS n_groups, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS max_pos,
   CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS max_neg FROM (
   SELECT 'all' AS corpus_id, author, count(*) AS n FROM ({src}) GROUP BY author) GROUP BY corpus_id"""
 
@@ -452,3 +452,20 @@ u AS (SELECT p.a, p.b, f.feat, f.val FROM p JOIN f ON f.doc_id = p.a
   UNION ALL SELECT p.a, p.b, f.feat, -f.val FROM p JOIN f ON f.doc_id = p.b)
 SELECT a, b, feat, round(abs(sum(val)), 6) AS val FROM u GROUP BY a, b, feat HAVING abs(sum(val)) <> 0
 """)
+
+# ------------------------------------------------------------------ model inputs with exact twins
+o("stratified_folds", f"""
+SELECT doc_id, author, CAST((row_number() OVER (PARTITION BY author ORDER BY {U42}, doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM ({TR})
+""")
+EMB_TRAIN_CHAIN = chain_pairs_sql(f"SELECT doc_id, author FROM ({TR})")
+o("distance_range", f"""
+SELECT round(min(d), 6) AS dist_min, round(max(d), 6) AS dist_max FROM (
+  SELECT {L1('x.vec', 'y.vec')} AS d FROM {EMB_TRAIN_CHAIN} p
+  JOIN ({VECTORS}) x ON x.doc_id = p.a JOIN ({VECTORS}) y ON y.doc_id = p.b)
+""")
+o("platt_targets", f"""
+SELECT n_pos, n_neg, round((n_pos + 1.0) / (n_pos + 2.0), 6) AS t_pos, round(1.0 / (n_neg + 2.0), 6) AS t_neg FROM (
+  SELECT CAST(sum(CASE WHEN same = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos,
+    CAST(sum(CASE WHEN same = 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_neg FROM ({EVAL}))
+""")

@@ -65,7 +65,7 @@ def verification_coordinates(spark, sf):
 @q("multi_corpus_pairs")
 def multi_corpus_pairs(spark, sf):
     """Pairs per language corpus, never across (author = source)."""
-    return J.generate_pairs(documents_corpus(spark, sf), 300, 300, -1, "round_robin", SEED, part="lang")
+    return J.generate_pairs(documents_corpus(spark, sf), -1, -1, 300, "round_robin", SEED, part="lang")
 
 
 @q("verification_pairs")
