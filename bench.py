@@ -60,7 +60,8 @@ def main() -> None:
         v = lri_vectors(spark, sf).persist()
         te = v.where("split = 'test'").select("doc_id", "vec")
         tr = v.where("split = 'train'").select("doc_id", "vec", "author")
-        run(R.knn_attribution(S.pairwise_projection(te, tr, "cosine", block_rows=1024), 5))
+        sc = S.pairwise_projection(te, tr, "cosine", block_rows=1024, reduce=R.knn_block_reduce(5), reduce_schema=R.SCORE_SCHEMA)
+        run(R.knn_attribution(sc, 5))
         v.unpersist()
 
     timed("block_scoring_lri_knn", lri_knn)

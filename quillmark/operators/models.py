@@ -44,10 +44,11 @@ def train_lr_cv(train: DataFrame, label: str = "label", features: str = "feature
     accuracy (regParam = 1 / (C n), no standardisation).  Returns the fitted
     CrossValidatorModel; ``train`` needs a ``fold`` column (see with_folds)."""
     n = train.count()
-    lr = LogisticRegression(featuresCol=features, labelCol=label, standardization=False, elasticNetParam=0.0, maxIter=200)
+    lr = LogisticRegression(featuresCol=features, labelCol=label, standardization=False, elasticNetParam=0.0,
+                            maxIter=100, tol=1e-4)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in CS]).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k, parallelism=4)
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k, parallelism=8)
     return cv.fit(train)
 
 
@@ -135,7 +136,7 @@ def normalize_probs(df: DataFrame, probs: str = "probs") -> DataFrame:
 def pair_classifier(train_pairs: DataFrame, vectors: DataFrame, reg_param: float = 0.0):
     """M5 (DV-Bin): logistic regression on diff-vectors of SAME/DIFFERENT pairs."""
     d = diff_pairs(train_pairs, vectors).withColumn("label", F.col("same").cast("double"))
-    return LogisticRegression(standardization=False, regParam=reg_param, maxIter=200).fit(d)
+    return LogisticRegression(standardization=False, regParam=reg_param, maxIter=100, tol=1e-4).fit(d)
 
 
 def pair_scores(model, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def distance_classifier(train_pairs: DataFrame, vectors: DataFrame, metric: str
     d = d.select(F.col("same").cast("double").alias("label"), "dist", array_to_vector(F.array("dist")).alias("features"))
     n = d.count()
     rng = d.agg(F.min("dist"), F.max("dist")).first()
-    m = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=200).fit(d)
+    m = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=100, tol=1e-4).fit(d)
     return m, (float(rng[0]), float(rng[1]))
 
 
@@ -174,7 +175,7 @@ def naive_bayes(train: DataFrame, label: str = "label", features: str = "feature
 def linear_svc_lri(train: DataFrame, label: str = "label", features: str = "features", c: float = 1.0):
     """M2 base: linear SVM (hinge loss) on random-indexed vectors; regParam = 1 / (C n)."""
     n = train.count()
-    return LinearSVC(regParam=1.0 / (c * n), labelCol=label, featuresCol=features, maxIter=200, standardization=False).fit(train)
+    return LinearSVC(regParam=1.0 / (c * n), labelCol=label, featuresCol=features, maxIter=100, tol=1e-4, standardization=False).fit(train)
 
 
 def modified_huber_sgd(train: DataFrame, dims: int, epochs: int = 20, alpha: float = 1e-4, lr0: float = 0.1,

@@ -51,7 +51,9 @@ def stratified_folds(spark, sf):
 
 def _train_pairs(spark, sf, n=2000):
     e = _emb_split(spark, sf).where("split = 'train'")
-    return J.generate_pairs(e.select("doc_id", "author"), n, n, -1, "round_robin", SEED), embedding_vectors(spark, sf)
+    # the training pairs feed several model fits: keep them
+    pairs = J.generate_pairs(e.select("doc_id", "author"), n, n, -1, "round_robin", SEED).persist()
+    return pairs, embedding_vectors(spark, sf)
 
 
 @q("train_svm_lri")
@@ -60,6 +62,7 @@ def train_svm_lri(spark, sf):
     words = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
     ri = FE.random_index_dictionary(FE.feature_index(words), 256, 2, 0)
     vec = FE.dense_vectors(FE.random_indexing(words, ri), 256).join(sp.select("doc_id", "author", "split"), "doc_id")
+    vec = vec.persist()  # read by the pair sampler, the fit and the scoring
     tr = vec.where("split = 'train'")
     pairs = J.generate_pairs(tr.select("doc_id", "author"), 1000, 1000, -1, "round_robin", SEED)
     d = M.diff_pairs(pairs, tr).withColumn("label", F.col("same").cast("double"))
@@ -135,7 +138,7 @@ def calibrated_cv(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     pairs, v = _train_pairs(spark, sf)
     d = M.diff_pairs(pairs, v).withColumn("label", F.col("same").cast("double"))
-    d = M.with_folds(d.withColumn("doc_id", F.col("a") * 1_000_003 + F.col("b")), "label", 3)
+    d = M.with_folds(d.withColumn("doc_id", F.col("a") * 1_000_003 + F.col("b")), "label", 3).persist()
     model, cal = M.calibrated_cv(d, lambda: LogisticRegression(standardization=False, maxIter=100), k=3)
     ev = M.diff_pairs(_emb_eval_pairs(spark, sf), v)
     return M.calibrated_prob(model, cal, ev).select("a", "b", "same", "score", "prob")
@@ -149,7 +152,7 @@ def normalize_probs(spark, sf):
     g = a.groupBy("x_id").agg(F.array_sort(F.collect_list(F.struct("author", "score"))).alias("s"))
     g = g.select(F.col("x_id").alias("doc_id"), F.transform("s", lambda e: F.greatest(e["score"], F.lit(0.0))).alias("probs"))
     out = M.normalize_probs(g)
-    return out.select("doc_id", F.posexplode("proba").alias("cls", "p"), "argmax")
+    return round_doubles(out.select("doc_id", F.posexplode("proba").alias("cls", "p"), "argmax"))
 
 
 # ------------------------------------------------------------------ AA / AV
@@ -203,7 +206,8 @@ def experiment_log(spark, sf, seeds=(0, 1, 2), docs_by_author: int = 10) -> Data
     from ..operators.grouping import hash_rank
     r = hash_rank(d, ["dataset", "seed", "author"], SEED, ["seed", "doc_id"], out="rk", count_col=None)
     smp = r.where(F.col("rk") <= docs_by_author)
-    prof = P.word_length_profile(smp.select("doc_id", "text")).groupBy("doc_id").agg(
+    docs = documents_corpus(spark, sf).select("doc_id", "text").join(smp.select("doc_id").distinct(), "doc_id", "left_semi")
+    prof = P.word_length_profile(docs).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("i", "val"))).alias("s"))
     vec = prof.select("doc_id", F.transform("s", lambda e: e["val"]).alias("vec"))
     # chain pairs inside each (dataset, seed): consecutive sample positions of one author
@@ -233,8 +237,7 @@ def experiment_log(spark, sf, seeds=(0, 1, 2), docs_by_author: int = 10) -> Data
         F.sum(F.when((F.col("same") == 1) & (F.col("pred") == 1), 1).otherwise(0)).alias("tp"),
         F.sum(F.when((F.col("same") != 1) & (F.col("pred") == 1), 1).otherwise(0)).alias("fp"),
         F.sum(F.when((F.col("same") == 1) & (F.col("pred") != 1), 1).otherwise(0)).alias("fn"),
-        F.sum(F.when((F.col("same") != 1) & (F.col("pred") != 1), 1).otherwise(0)).alias("tn"),
-        F.countDistinct("a", "b").alias("np"))
+        F.sum(F.when((F.col("same") != 1) & (F.col("pred") != 1), 1).otherwise(0)).alias("tn"))
     n_auth = smp.groupBy("dataset", "seed").agg(F.countDistinct("author").alias("n_authors"))
     c = c.join(n_auth, ["dataset", "seed"])
     ratio = lambda n, d: F.when(d == 0, F.lit(0.0)).otherwise(n / d)
@@ -261,7 +264,7 @@ def log_append_roundtrip(spark, sf):
     path = scratch_path(spark, "savlog")
     RP.append_log(log.where("seed = 0"), path)
     RP.append_log(log.where("seed <> 0"), path)
-    return round_doubles(RP.read_logs(spark, [path]).drop("source_file"))
+    return round_doubles(RP.read_logs(spark, [path]).drop("source_file", "notes"))
 
 
 @q("log_union_read")
@@ -275,7 +278,7 @@ def log_union_read(spark, sf):
         RP.append_log(log.where(F.col("method") == m), p)
         paths.append(p)
     df = RP.read_logs(spark, paths)
-    return round_doubles(df.where(F.col("method") != "Dist-l2-close").drop("source_file"))
+    return round_doubles(df.where(F.col("method") != "Dist-l2-close").drop("source_file", "notes"))
 
 
 @q("pending_experiments")

@@ -469,3 +469,194 @@ SELECT n_pos, n_neg, round((n_pos + 1.0) / (n_pos + 2.0), 6) AS t_pos, round(1.0
   SELECT CAST(sum(CASE WHEN same = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos,
     CAST(sum(CASE WHEN same = 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_neg FROM ({EVAL}))
 """)
+
+# ------------------------------------------------------------------ experiment log and reports
+from .oracle import STYLE  # noqa: E402
+
+_U_SEED = sql_uniform(42, "seed", "doc_id")
+EXP_LOG = f"""
+WITH d AS (SELECT doc_id, source AS author, text, lang AS dataset, seed FROM documents, (VALUES (0), (1), (2)) s(seed)
+  WHERE text IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, seed, author ORDER BY {_U_SEED}, seed, doc_id) AS rk FROM d),
+smp AS (SELECT * FROM r WHERE rk <= 10),
+docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM smp)),
+lens AS (SELECT doc_id, list_transform({STYLE}, w -> length(w)) AS lens FROM docs),
+vec AS (SELECT doc_id, list_transform(range(1, 23), i -> len(list_filter(lens, x -> x >= i)) / greatest(1, len(lens))) AS vec FROM lens),
+same AS (SELECT x.dataset, x.seed, x.doc_id AS a, y.doc_id AS b, 1 AS same FROM smp x JOIN smp y
+  ON x.dataset = y.dataset AND x.seed = y.seed AND x.author = y.author AND y.rk = x.rk + 1),
+au AS (SELECT dataset, seed, author, dense_rank() OVER (PARTITION BY dataset, seed ORDER BY author) AS ai
+  FROM (SELECT DISTINCT dataset, seed, author FROM smp)),
+s2 AS (SELECT smp.*, au.ai FROM smp JOIN au USING (dataset, seed, author)),
+diff AS (SELECT x.dataset, x.seed, x.doc_id AS a, y.doc_id AS b, 0 AS same FROM s2 x JOIN s2 y
+  ON x.dataset = y.dataset AND x.seed = y.seed AND y.ai = x.ai + 1 AND y.rk = x.rk),
+pr AS (SELECT * FROM same UNION ALL SELECT * FROM diff),
+pv AS (SELECT pr.*, va.vec AS va, vb.vec AS vb FROM pr JOIN vec va ON va.doc_id = pr.a JOIN vec vb ON vb.doc_id = pr.b),
+m AS (SELECT dataset, seed, same, 'Dist-l1-close' AS method, round({L1('va', 'vb')}, 9) AS dist FROM pv
+  UNION ALL SELECT dataset, seed, same, 'Dist-l2-close', round({L2('va', 'vb')}, 9) FROM pv
+  UNION ALL SELECT dataset, seed, same, 'Dist-cos-close', round({COSD('va', 'vb')}, 9) FROM pv),
+med AS (SELECT dataset, seed, method, quantile_cont(dist, 0.5) AS thr FROM m GROUP BY dataset, seed, method),
+mp AS (SELECT m.*, CASE WHEN m.dist <= med.thr THEN 1 ELSE 0 END AS pred FROM m JOIN med USING (dataset, seed, method)),
+c AS (SELECT dataset, seed, method, count(*) AS n,
+  sum(CASE WHEN same = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN same <> 1 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN same = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN same <> 1 AND pred <> 1 THEN 1 ELSE 0 END) AS tn
+  FROM mp GROUP BY dataset, seed, method),
+na AS (SELECT dataset, seed, count(DISTINCT author) AS n_authors FROM smp GROUP BY dataset, seed)
+SELECT c.dataset, CAST(c.seed AS INTEGER) AS seed, 'CLOSE' AS mode, CAST(na.n_authors AS INTEGER) AS n_authors,
+  CAST(10 AS INTEGER) AS docs_by_author, CAST(na.n_authors AS INTEGER) AS n_authors_te, CAST(-1 AS INTEGER) AS docs_by_author_te,
+  c.method, 100.0 * (tp + tn) / n AS acc,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p,
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS r,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1, '' AS notes
+FROM c JOIN na USING (dataset, seed)"""
+
+LOG_COLS = "dataset, seed, mode, n_authors, docs_by_author, n_authors_te, docs_by_author_te, method"
+o("sav_experiment", f"""SELECT {LOG_COLS}, round(acc, 6) AS acc, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1, notes
+FROM ({EXP_LOG})""")
+o("log_append_roundtrip", f"""SELECT {LOG_COLS}, round(acc, 4) AS acc, round(p, 4) AS p, round(r, 4) AS r, round(f1, 4) AS f1
+FROM ({EXP_LOG})""")
+o("log_union_read", f"""SELECT {LOG_COLS}, round(acc, 4) AS acc, round(p, 4) AS p, round(r, 4) AS r, round(f1, 4) AS f1
+FROM ({EXP_LOG}) WHERE method <> 'Dist-l2-close'""")
+
+GRID = """SELECT d.dataset, CAST(s.seed AS INTEGER) AS seed, CAST(20 AS INTEGER) AS n_authors, CAST(10 AS INTEGER) AS docs_by_author, m.method
+FROM (SELECT DISTINCT lang AS dataset FROM documents WHERE text IS NOT NULL) d, range(0, 5) s(seed),
+  (VALUES ('Dist-l1-close'), ('Dist-l2-close'), ('Dist-cos-close')) m(method)"""
+o("pending_experiments", f"""
+SELECT g.* FROM ({GRID}) g WHERE NOT EXISTS (SELECT 1 FROM ({EXP_LOG}) l WHERE l.dataset = g.dataset AND l.seed = g.seed
+  AND l.n_authors = g.n_authors AND l.docs_by_author = g.docs_by_author AND l.method = g.method)
+""")
+o("completed_count", f"""
+SELECT g.dataset, g.seed, g.n_authors, coalesce(c.n_rows, 0) AS n_rows, CASE WHEN coalesce(c.n_rows, 0) >= 3 THEN 1 ELSE 0 END AS complete
+FROM (SELECT DISTINCT dataset, seed, n_authors FROM ({GRID})) g
+LEFT JOIN (SELECT dataset, seed, n_authors, count(*) AS n_rows FROM ({EXP_LOG}) GROUP BY dataset, seed, n_authors) c
+  ON c.dataset = g.dataset AND c.seed = g.seed AND c.n_authors = g.n_authors
+""")
+
+from ..operators.reports import METHOD_RENAMES  # noqa: E402
+_REN = "CASE " + " ".join(f"WHEN instr(method, '{a}') > 0 THEN replace(method, '{a}', '{b}')" for a, b in METHOD_RENAMES) + " ELSE method END"
+o("rename_methods", f"SELECT dataset, seed, {_REN} AS method FROM ({EXP_LOG})")
+
+STATS = f"SELECT dataset, method, avg(acc) AS mean, stddev_samp(acc) AS std, count(*) AS n FROM ({EXP_LOG}) GROUP BY dataset, method"
+o("report_pivot", f"""SELECT dataset, method, round(avg(acc / 100.0), 6) AS mean, round(stddev_samp(acc / 100.0), 6) AS std, count(*) AS n
+FROM ({EXP_LOG}) GROUP BY dataset, method""")
+BEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(mean, 9) DESC, method) AS rr FROM ({STATS}))
+WHERE rr = 1"""
+o("report_best", f"SELECT dataset, method, round(mean, 6) AS mean, round(std, 6) AS std, n FROM ({BEST})")
+
+
+def _simpson(upper: str, steps: int = 2000) -> str:
+    h = f"(({upper}) / {steps})"
+    return (f"(list_sum(list_transform(range(0, {steps + 1}), i -> (CASE WHEN i = 0 OR i = {steps} THEN 1.0 "
+            f"WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(cos(i * {h}), nu - 1))) * {h} / 3)")
+
+
+o("report_ttest", f"""
+WITH s AS ({STATS}), b AS (SELECT dataset, mean AS m2, std AS s2, n AS n2, method AS best FROM ({BEST})),
+j AS (SELECT s.*, b.m2, b.s2, b.n2, b.best, CAST(s.n + b.n2 - 2 AS DOUBLE) AS nu FROM s JOIN b USING (dataset)),
+k AS (SELECT *, sqrt(((n - 1) * std * std + (n2 - 1) * s2 * s2) / nu * (1.0 / n + 1.0 / n2)) AS se FROM j),
+t AS (SELECT *, CASE WHEN se = 0 THEN 0.0 ELSE (mean - m2) / se END AS t FROM k),
+pv AS (SELECT *, CASE WHEN method = best THEN 1.0 ELSE
+  1.0 - {_simpson('atan(abs(t) / sqrt(nu))')} / {_simpson('pi() / 2')} END AS pvalue FROM t)
+SELECT dataset, method, round(mean, 6) AS mean, round(std, 6) AS std, n, round(t, 6) AS t, round(pvalue, 6) AS pvalue,
+  CASE WHEN pvalue = 1 THEN '=' WHEN pvalue > 0.05 THEN '**' WHEN pvalue > 0.005 THEN '*' ELSE '' END AS mark FROM pv
+""")
+o("report_series", f"""
+SELECT dataset, mode, n_authors, method, docs_by_author, round(avg(acc), 6) AS y_mean, round(stddev_samp(acc), 6) AS y_std,
+  round(avg(acc) - stddev_samp(acc), 6) AS y_low, round(avg(acc) + stddev_samp(acc), 6) AS y_high
+FROM ({EXP_LOG}) GROUP BY dataset, mode, n_authors, method, docs_by_author
+""")
+
+
+def _hist(logscale: bool) -> str:
+    x = "ln(score + 0.01)" if logscale else "score"
+    return f"""
+WITH s AS (SELECT same, {x} AS x FROM (SELECT same, (score + 1) / 2 AS score FROM ({SCORED}))),
+mm AS (SELECT min(x) AS lo, max(x) AS hi FROM s),
+d AS (SELECT s.same, mm.lo, (mm.hi - mm.lo) / 20 AS width,
+  CAST(CASE WHEN (mm.hi - mm.lo) / 20 = 0 THEN 0 WHEN s.x >= mm.hi THEN 19 ELSE floor((s.x - mm.lo) / ((mm.hi - mm.lo) / 20)) END AS INTEGER) AS bin
+  FROM s, mm),
+g AS (SELECT same, bin, count(*) AS cnt, any_value(width) AS width, any_value(lo) AS lo FROM d GROUP BY same, bin),
+g2 AS (SELECT *, sum(cnt) OVER (PARTITION BY same) AS n FROM g)
+SELECT same, bin, round(lo + bin * width, 6) AS "left", cnt, round(CASE WHEN width = 0 THEN NULL ELSE cnt / (n * width) END, 6) AS density FROM g2"""
+
+
+o("score_histogram", _hist(False))
+o("score_histogram_log", _hist(True))
+
+# ------------------------------------------------------------------ flagship, feature round trip, probability normalisation
+o("feature_table_roundtrip", f"""
+WITH sp AS ({split_sql()}), f AS ({tfidf_sql(PUNCT_COUNTS)})
+SELECT f.doc_id, f.feat, round(f.val, 6) AS val, sp.split FROM f JOIN sp ON f.doc_id = sp.doc_id
+""")
+
+_VC_PAIRS = f"""WITH {uniform_pos_sql('42v', VC_REQ_POS, idx_of(TEST_DOCS, '42'))},
+{uniform_neg_sql('42v', VC_REQ_NEG, idx_of(TEST_DOCS, '42'))},
+vc AS (SELECT a, b, 1 AS same FROM pos_out UNION ALL SELECT a, b, 0 AS same FROM uneg_out),
+feats AS ({tfidf_sql(WORD_COUNTS, 3)}),
+nrm AS (SELECT doc_id, sqrt(sum(val * val)) AS nrm FROM feats GROUP BY doc_id),
+dots AS (SELECT vc.a, vc.b, sum(fa.val * fb.val) AS dot FROM vc JOIN feats fa ON fa.doc_id = vc.a
+  JOIN feats fb ON fb.doc_id = vc.b AND fb.feat = fa.feat GROUP BY vc.a, vc.b),
+sc AS (SELECT vc.a, vc.b, vc.same, CASE WHEN na.nrm IS NULL OR nb.nrm IS NULL OR na.nrm * nb.nrm = 0 THEN 0.0
+    ELSE coalesce(dots.dot, 0.0) / (na.nrm * nb.nrm) END AS score
+  FROM vc LEFT JOIN dots ON dots.a = vc.a AND dots.b = vc.b LEFT JOIN nrm na ON na.doc_id = vc.a LEFT JOIN nrm nb ON nb.doc_id = vc.b)
+SELECT a, b, same, score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS pred FROM sc"""
+o("sav_cosine_flagship", sav_metrics_sql(_VC_PAIRS.replace("WITH ", "SELECT * FROM (WITH ", 1) + ")"))
+
+o("normalize_probs", f"""
+WITH a AS (SELECT x_id AS doc_id, ref_author AS author, avg(p) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY x_id, ref_author ORDER BY round(p, 9) DESC, ref_id) AS rn FROM ({SCORES}))
+  WHERE rn <= 5 GROUP BY x_id, ref_author),
+l AS (SELECT doc_id, list(greatest(score, 0.0) ORDER BY author) AS probs FROM a GROUP BY doc_id),
+n AS (SELECT doc_id, CASE WHEN len(probs) = 1 THEN [1.0 - probs[1], probs[1]]
+    ELSE list_transform(probs, x -> CASE WHEN list_sum(probs) = 0 THEN 'NaN'::DOUBLE ELSE x / list_sum(probs) END) END AS p0,
+  len(probs) AS k FROM l),
+f AS (SELECT doc_id, list_transform(p0, x -> CASE WHEN isnan(x) THEN 1.0 / greatest(k, 2)
+    WHEN x > 1.0 AND x <= 1.0 + 1e-5 THEN 1.0 ELSE x END) AS pr FROM n)
+SELECT doc_id, CAST(unnest(range(0, len(pr))) AS INTEGER) AS cls, round(unnest(pr), 6) AS p,
+  CAST(list_position(pr, list_max(pr)) - 1 AS INTEGER) AS argmax FROM f
+""")
+
+# ------------------------------------------------------------------ sources
+DOCS = "SELECT doc_id, source AS author, text, lang FROM documents WHERE text IS NOT NULL"
+o("scan_tsv_corpus", f"""
+WITH d AS ({DOCS}), f AS (SELECT author, min(doc_id) AS first FROM d GROUP BY author),
+c AS (SELECT author, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS label FROM f)
+SELECT d.doc_id, d.author, c.label, d.lang || ' ' || regexp_replace(d.text, '[\\t\\r\\n]+', ' ', 'g') AS text
+FROM d JOIN c ON d.author = c.author
+""")
+o("scan_csv_corpus", f"""
+SELECT doc_id, regexp_replace(text, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') AS text,
+  CAST(regexp_extract(author, '(\\d+)$', 1) AS INTEGER) AS author FROM ({DOCS})
+""")
+_DOC_CHAIN = chain_pairs_sql(f"SELECT doc_id, author FROM ({DOCS})")
+o("scan_jsonl_pairs", f"""
+WITH p AS (SELECT CAST(p.a AS VARCHAR) || '-' || CAST(p.b AS VARCHAR) AS id, p.a, p.b FROM {_DOC_CHAIN} p),
+x AS (SELECT p.id, 0 AS pos, d.author, d.text FROM p JOIN ({DOCS}) d ON d.doc_id = p.a
+  UNION ALL SELECT p.id, 1 AS pos, d.author, d.text FROM p JOIN ({DOCS}) d ON d.doc_id = p.b),
+y AS (SELECT * FROM x WHERE len(regexp_extract_all(text, '\\S+')) >= 10 AND len(regexp_extract_all(text, '\\S+')) < 10000)
+SELECT id, CAST(pos AS INTEGER) AS pos, author, text FROM y
+WHERE author IN (SELECT author FROM y GROUP BY author HAVING count(*) >= 2)
+""")
+o("scan_tagged_records", f"SELECT CAST(doc_id AS VARCHAR) AS text_id, author, text FROM ({DOCS})")
+o("scan_dir_corpus", f"SELECT author, doc_id, text FROM ({DOCS})")
+o("scan_filename_corpus", f"SELECT author, CAST(doc_id AS VARCHAR) AS title, text FROM ({DOCS})")
+
+_BODY = "text"
+for _m in ["-----Original Message-----", "----- Forward", "cc:", "To:", "to:", "From:", "from:"]:
+    _BODY = f"split_part({_BODY}, '{_m}', 1)"
+o("message_body_corpus", f"""
+WITH d AS (SELECT conv_id, turn, role AS author, {_BODY} AS text FROM conversations),
+k AS (SELECT * FROM d WHERE len(regexp_extract_all(text, '\\S+')) >= 10)
+SELECT conv_id, turn, author, text FROM k WHERE author IN (SELECT author FROM k GROUP BY author HAVING count(*) >= 5)
+""")
+o("merge_dedup_requests", """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS title, text AS abstract, source AS author, lang FROM documents
+  WHERE text IS NOT NULL),
+u AS (SELECT id, title, abstract, author, 0 AS req_no FROM d WHERE lang IN ('en', 'fr')
+  UNION ALL SELECT id, title, abstract, author, 1 FROM d WHERE lang IN ('fr', 'de')
+  UNION ALL SELECT id, title, abstract, author, 2 FROM d WHERE lang IN ('de', 'es', 'en')),
+f AS (SELECT * FROM (SELECT *, min(req_no) OVER (PARTITION BY id) AS first_ FROM u) WHERE req_no = first_),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY title, abstract, author) AS r FROM f) WHERE r = 1
+  AND NOT contains(author, 'Collaboration'))
+SELECT id, author, CAST(req_no AS INTEGER) AS req_no, title || chr(10) || abstract AS text FROM g
+WHERE author IN (SELECT author FROM g GROUP BY author HAVING count(*) >= 10)
+""")

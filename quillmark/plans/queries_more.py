@@ -102,7 +102,8 @@ def pairwise_symmetric(spark, sf):
 def _knn_scores(spark, sf):
     e = _emb_split(spark, sf)
     te, tr = e.where("split = 'test'"), e.where("split = 'train'")
-    return S.pairwise_projection(te.select("doc_id", "vec"), tr.select("doc_id", "vec", "author"), "cosine", block_rows=128), te
+    return S.pairwise_projection(te.select("doc_id", "vec"), tr.select("doc_id", "vec", "author"), "cosine", block_rows=128,
+                                 reduce=R.knn_block_reduce(5), reduce_schema=R.SCORE_SCHEMA), te
 
 
 @q("knn_attribution")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import experiments, flagship, queries, queries_more  # noqa: F401  (registration side effects)
+    from . import experiments, flagship, queries, queries_more, sources_queries  # noqa: F401  (registration side effects)
     from . import oracle, oracle_more  # noqa: F401
 
 
