@@ -50,6 +50,7 @@ def main() -> None:
         t0 = time.time()
         fn()
         times[name] = round(time.time() - t0, 3)
+        print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
 
     sp = C.stratified_split(corpus)
     timed("tfidf_char", lambda: run(FE.tfidf(P.char_ngram_counts(sp), sp, "char")))
@@ -72,8 +73,9 @@ def main() -> None:
         tr = v.where("split = 'train'").select("doc_id", "vec", "author")
         pairs = J.verification_coordinates(te.select("doc_id", "author"), True, 1000)
         imps = I.top_impostors(te.select("doc_id", "vec"), tr, 50, "cosine", block_rows=1024)
-        masks = I.subset_masks(I.feature_subsets(256, 100, 42, spark), 256)
-        run(I.impostor_scores(pairs.select("a", "b"), v.select("doc_id", "vec"), imps, masks, 50, 10, 100, "cosine"))
+        subsets = I.feature_subsets(256, 100, 42, spark)
+        run(I.impostor_scores_by_pair(pairs.select("a", "b"), v.select("doc_id", "vec"), imps, subsets,
+                                      50, 10, 100, 256, "cosine"))
         v.unpersist()
 
     timed("impostors_1000_pairs", impostors)

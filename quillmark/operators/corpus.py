@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey
-from .grouping import group_counts, hash_rank
+from .grouping import global_index, group_counts, hash_rank
 
 SEED = 42
 
@@ -83,8 +83,7 @@ def label_reindex(split_corpus: DataFrame) -> DataFrame:
     """Gap-free label codes from sorted train authors; open-set authors continue
     after them; a closed-test author unseen in train raises.
 
-    The code tables have one row per author (a dimension table), so their
-    global ``dense_rank`` runs over authors, not documents.
+    Codes come from a distributed dense index over the distinct authors.
     """
     tr_auth = split_corpus.where(F.col("split") == "train").select("author").distinct()
     out_auth = (
@@ -92,10 +91,8 @@ def label_reindex(split_corpus: DataFrame) -> DataFrame:
         .join(tr_auth, "author", "left_anti")
     )
     # train authors first (flag 0), open-set authors after them (flag 1)
-    codes = (
-        tr_auth.withColumn("__f", F.lit(0)).unionByName(out_auth.withColumn("__f", F.lit(1)))
-        .withColumn("__c", F.row_number().over(Window.orderBy("__f", "author")) - 1)
-    )
+    codes = global_index(tr_auth.withColumn("__f", F.lit(0)).unionByName(out_auth.withColumn("__f", F.lit(1))),
+                         ["__f", "author"], "__c")
     tr_codes = codes.where(F.col("__f") == 0).select("author", F.col("__c").alias("__lab"))
     out_codes = codes.where(F.col("__f") == 1).select("author", F.col("__c").alias("__olab"))
     d = split_corpus.join(tr_codes, "author", "left").join(out_codes, "author", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey, uniform_of_hex
+from .grouping import global_index
 
 
 def _one_row_per_block(df: DataFrame, block: str, **aggs) -> DataFrame:
@@ -132,11 +133,11 @@ BLOCK_ORDER = ["post", "punct", "word", "char", "fw", "wl", "sl"]
 def feature_index(features: DataFrame) -> DataFrame:
     """global column index over (block order, feat): sparse blocks first, then dense.
 
-    Runs over the vocabulary (after chi2 selection), one row per feature.
+    Distributed dense index over the vocabulary (``global_index``).
     """
     order = F.create_map(*sum([[F.lit(b), F.lit(i)] for i, b in enumerate(BLOCK_ORDER)], []))
     vocab = features.select("block", "feat").distinct().withColumn("__bo", F.coalesce(order[F.col("block")], F.lit(99)))
-    return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("__bo", "block", "feat")) - 1).cast("int")).drop("__bo")
+    return global_index(vocab, ["__bo", "block", "feat"], "idx").withColumn("idx", F.col("idx").cast("int")).drop("__bo")
 
 
 def random_index_dictionary(index: DataFrame, dims: int, non_zeros: int = 2, seed: int = 0) -> DataFrame:

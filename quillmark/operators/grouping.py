@@ -104,3 +104,20 @@ def int_rank(df: DataFrame, group_cols: Sequence[str], key: str, out: str = "ran
     """Rank by a non-negative integer key (e.g. a draw number), salted by key ranges."""
     return bucketed_rank(df, group_cols, [key], F.floor(F.col(key) / F.lit(rows_per_bucket)), out,
                          rows_per_bucket=rows_per_bucket)
+
+
+def global_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx", rows_per_bucket: int = ROWS_PER_BUCKET,
+                 base: int = 0) -> DataFrame:
+    """Dense ``row_number() over (order by order_cols) - 1 + base`` without one task
+    holding the whole table: above ``rows_per_bucket`` rows the table is range
+    partitioned on the order (sampled split points), the partition id is a bucket
+    that follows the order, and each bucket is ranked on its own plus the counts
+    of the buckets before it."""
+    n = int(df.count())
+    if n <= rows_per_bucket:
+        w = Window.orderBy(*order_cols)
+        return df.withColumn(out, (F.row_number().over(w) - 1 + base).cast("long"))
+    parts = max(2, -(-n // rows_per_bucket) * 2)
+    d = df.repartitionByRange(parts, *order_cols).withColumn("__pid", F.spark_partition_id())
+    r = bucketed_rank(d, [], list(order_cols), F.col("__pid"), "__gi", max_group=n + 1, rows_per_bucket=rows_per_bucket)
+    return r.withColumn(out, (F.col("__gi") - 1 + base).cast("long")).drop("__gi", "__pid")

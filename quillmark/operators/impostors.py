@@ -140,3 +140,86 @@ def threshold_search_f1(scored: DataFrame, compat: bool = False) -> DataFrame:
     return c.withColumn("__r", F.row_number().over(wb)).where("__r = 1").select(
         F.col("score").alias("sigma"), "f1", "pos"
     )
+
+
+def masks_matrix(subsets: DataFrame, n_features: int, k: int) -> np.ndarray:
+    """k x n_features 0/1 matrix of the subsets (k * n_features numbers, a bound
+    set by the parameters), shared by every scoring task."""
+    m = np.zeros((k, n_features))
+    for r in subsets.select("iter", "feat").collect():
+        m[int(r["iter"]), int(r["feat"])] = 1.0
+    return m
+
+
+def _np_subset_sims(x: np.ndarray, Y: np.ndarray, M: np.ndarray, similarity: str) -> np.ndarray:
+    """sim(x restricted to subset t, y restricted to subset t) for every row y of Y and
+    subset t: returns (len(Y), k)."""
+    if similarity == "cosine":
+        num = (Y * x) @ M.T
+        nx = np.sqrt((x * x) @ M.T)
+        ny = np.sqrt((Y * Y) @ M.T)
+        den = ny * nx
+    elif similarity == "minmax":
+        num = np.minimum(Y, x) @ M.T
+        den = np.maximum(Y, x) @ M.T
+    else:
+        raise ValueError(similarity)
+    return np.divide(num, den, out=np.zeros_like(num), where=den != 0)
+
+
+def impostor_scores_by_pair(pairs: DataFrame, vectors: DataFrame, impostors: DataFrame, subsets: DataFrame,
+                            m: int, n: int, k: int, n_features: int, similarity: str = "cosine",
+                            seed=SEED) -> DataFrame:
+    """I4 + I5 with one task per group of pairs: each pair brings its two vectors
+    and its documents' impostor vectors once (2 + 2m rows), the seeded draws come
+    as a second cogrouped input, and NumPy computes all k subset similarities
+    with matrix products.  Same result as ``impostor_scores``."""
+    M = masks_matrix(subsets, n_features, k)
+    p = pairs.select("a", "b")
+    vec = vectors.select("doc_id", "vec")
+    own_a = p.join(vec.withColumnRenamed("doc_id", "a"), "a").select("a", "b", F.lit(0).alias("role"), F.lit(0).cast("long").alias("rk"), "vec")
+    own_b = p.join(vec.withColumnRenamed("doc_id", "b"), "b").select("a", "b", F.lit(1).alias("role"), F.lit(0).cast("long").alias("rk"), "vec")
+    imp = impostors.select("doc_id", F.col("imp_rank").cast("long").alias("rk"), "imp_id")
+    imp_v = imp.join(vec.withColumnRenamed("doc_id", "imp_id"), "imp_id").select("doc_id", "rk", "vec")
+    imp_a = p.join(imp_v.withColumnRenamed("doc_id", "a"), "a").select("a", "b", F.lit(2).alias("role"), "rk", "vec")
+    imp_b = p.join(imp_v.withColumnRenamed("doc_id", "b"), "b").select("a", "b", F.lit(3).alias("role"), "rk", "vec")
+    rows = own_a.unionByName(own_b).unionByName(imp_a).unionByName(imp_b)
+    # fresh names on the draw side: both inputs of the cogroup come from the pair table
+    draws = impostor_draws(p, m, n, k, seed).select(F.col("a").alias("d_a"), F.col("b").alias("d_b"),
+                                                    F.col("dir").cast("int").alias("dir"), "iter", "j", "imp_rank")
+
+    def score(vr: pd.DataFrame, dr: pd.DataFrame) -> pd.DataFrame:
+        if len(vr) == 0 or len(dr) == 0:
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
+                                 "score_ab": [], "score_ba": [], "score": []})
+        out = []
+        by_pair = {key: grp for key, grp in dr.groupby(["d_a", "d_b"], sort=False)}
+        for (a, b), g in vr.groupby(["a", "b"], sort=False):
+            own = {int(r): np.asarray(v, dtype=float) for r, v in zip(g["role"], g["vec"]) if r < 2}
+            imps = {}
+            for role in (2, 3):
+                gi = g[g["role"] == role].sort_values("rk")
+                imps[role] = (gi["rk"].to_numpy(), np.stack(gi["vec"].to_numpy()).astype(float) if len(gi) else None)
+            d = by_pair.get((a, b), dr.iloc[:0])
+            res = []
+            for direction, (xr, vr_, ir) in enumerate(((0, 1, 3), (1, 0, 2))):
+                x, v = own[xr], own[vr_]
+                s_xv = _np_subset_sims(x, v[None, :], M, similarity)[0]
+                ranks, I = imps[ir]
+                s_imp = _np_subset_sims(x, I, M, similarity)  # (m, k)
+                pos = {int(rk): i for i, rk in enumerate(ranks)}
+                dd = d[d["dir"] == direction]
+                rows_ = np.array([pos[int(r)] for r in dd["imp_rank"]])
+                vals = s_imp[rows_, dd["iter"].to_numpy().astype(int)]
+                best = pd.Series(vals).groupby(dd["iter"].to_numpy()).max()
+                hits = sum(1 for t, mx in best.items() if s_xv[int(t)] >= mx)
+                res.append(hits / float(k))
+            out.append((a, b, res[0], res[1], (res[0] + res[1]) / 2))
+        return pd.DataFrame(out, columns=["a", "b", "score_ab", "score_ba", "score"])
+
+    groups = F.lit(max(1, pairs.sparkSession.sparkContext.defaultParallelism * 4))
+    rows = rows.withColumn("__g", F.pmod(F.xxhash64("a", "b"), groups))
+    draws = draws.withColumn("__g", F.pmod(F.xxhash64("d_a", "d_b"), groups))
+    return rows.groupBy("__g").cogroup(draws.groupBy("__g")).applyInPandas(
+        lambda vr, dr: score(vr.drop(columns="__g"), dr.drop(columns="__g")),
+        "a long, b long, score_ab double, score_ba double, score double")

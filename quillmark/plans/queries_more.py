@@ -228,9 +228,9 @@ def _impostor_scores(spark, sf, sim="minmax"):
     m, n, k = 20, 5, 30
     imps = I.top_impostors(te.select("doc_id", "vec"), tr, m, sim, block_rows=128)
     dim = 64
-    masks = I.subset_masks(I.feature_subsets(dim, k, SEED, spark), dim)
+    subsets = I.feature_subsets(dim, k, SEED, spark)
     ev = _emb_eval_pairs(spark, sf)
-    sc = I.impostor_scores(ev.select("a", "b"), v, imps, masks, m, n, k, sim, SEED)
+    sc = I.impostor_scores_by_pair(ev.select("a", "b"), v, imps, subsets, m, n, k, dim, sim, SEED)
     return sc.join(ev, ["a", "b"])
 
 

@@ -8,7 +8,9 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
 QUICK = ["stratified_split", "group_docs", "tfidf_words", "function_word_freq", "positive_pairs_round_robin",
-         "negative_pairs", "verification_coordinates", "knn_attribution", "impostor_scores", "feature_matrix"]
+         "negative_pairs", "verification_coordinates", "knn_attribution", "impostor_scores", "feature_matrix",
+         "scan_tsv_corpus", "scan_tagged_records", "scan_dir_corpus", "message_body_corpus", "merge_dedup_requests",
+         "sav_experiment", "report_ttest", "sav_cosine_flagship"]
 
 
 def _digest(df):
