@@ -199,7 +199,10 @@ def impostor_scores_by_pair(pairs: DataFrame, vectors: DataFrame, impostors: Dat
             imps = {}
             for role in (2, 3):
                 gi = g[g["role"] == role].sort_values("rk")
-                imps[role] = (gi["rk"].to_numpy(), np.stack(gi["vec"].to_numpy()).astype(float) if len(gi) else None)
+                if len(gi) == 0 or len(own) < 2:
+                    raise ValueError(f"pair ({a}, {b}): roles {sorted(set(g['role']))}, {len(g)} rows, "
+                                     f"{len(vr)} rows in the task")
+                imps[role] = (gi["rk"].to_numpy(), np.stack(gi["vec"].to_numpy()).astype(float))
             d = by_pair.get((a, b), dr.iloc[:0])
             res = []
             for direction, (xr, vr_, ir) in enumerate(((0, 1, 3), (1, 0, 2))):
@@ -217,9 +220,7 @@ def impostor_scores_by_pair(pairs: DataFrame, vectors: DataFrame, impostors: Dat
             out.append((a, b, res[0], res[1], (res[0] + res[1]) / 2))
         return pd.DataFrame(out, columns=["a", "b", "score_ab", "score_ba", "score"])
 
-    groups = F.lit(max(1, pairs.sparkSession.sparkContext.defaultParallelism * 4))
-    rows = rows.withColumn("__g", F.pmod(F.xxhash64("a", "b"), groups))
-    draws = draws.withColumn("__g", F.pmod(F.xxhash64("d_a", "d_b"), groups))
-    return rows.groupBy("__g").cogroup(draws.groupBy("__g")).applyInPandas(
-        lambda vr, dr: score(vr.drop(columns="__g"), dr.drop(columns="__g")),
+    # one cogroup key per pair: its vector rows and its draws meet in one call
+    return rows.groupBy("a", "b").cogroup(draws.groupBy("d_a", "d_b")).applyInPandas(
+        score,
         "a long, b long, score_ab double, score_ba double, score double")

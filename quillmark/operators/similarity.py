@@ -184,10 +184,11 @@ def pairwise_projection(
     # fresh column names on each side: both sides may come from one DataFrame
     xb = x.select(F.col("doc_id").alias("x_id"), F.col("vec").alias("x_vec"), F.col("author").alias("x_author"),
                   F.pmod(F.xxhash64("doc_id"), F.lit(bx)).alias("bx"))
-    xb = xb.withColumn("br", F.explode(F.sequence(F.col("bx") if symmetric else F.lit(0), F.lit(br - 1))))
+    # block keys are bigint on both sides: int and bigint keys hash to different partitions
+    xb = xb.withColumn("br", F.explode(F.sequence(F.col("bx") if symmetric else F.lit(0).cast("long"), F.lit(br - 1).cast("long"))))
     rb = ref.select(F.col("doc_id").alias("r_id"), F.col("vec").alias("r_vec"), F.col("author").alias("r_author"),
                     F.pmod(F.xxhash64("doc_id"), F.lit(br)).alias("br"))
-    rb = rb.withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("br") if symmetric else F.lit(bx - 1))))
+    rb = rb.withColumn("bx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("br") if symmetric else F.lit(bx - 1).cast("long"))))
     cf = np.asarray(coef, dtype=float) if coef is not None else None
     schema = "x_id long, ref_id long, ref_author string, p double"
 
