@@ -133,8 +133,8 @@ def report_ttest(stats: DataFrame, levels=(0.05, 0.005)) -> DataFrame:
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("n2")))
     d = d.withColumn("nu", nu.cast("double")).withColumn("t", F.when(se == 0, F.lit(0.0)).otherwise((F.col("mean") - F.col("m2")) / se))
     d = d.withColumn("pvalue", F.when(F.col("method") == F.col("best"), F.lit(1.0)).otherwise(student_t_pvalue("t", "nu")))
-    mark = (F.when(F.col("pvalue") == 1, "=").when(F.col("pvalue") > levels[0], "**")
-            .when(F.col("pvalue") > levels[1], "*").otherwise(""))
+    pv = F.round("pvalue", 9)  # equal means up to float noise count as equal
+    mark = (F.when(pv == 1, "=").when(pv > levels[0], "**").when(pv > levels[1], "*").otherwise(""))
     return d.select("dataset", "method", "mean", "std", "n", "t", "pvalue", mark.alias("mark"))
 
 

@@ -112,7 +112,7 @@ def rr_sql(pos_req: int) -> str:
     u_d = sql_uniform("42|rrd", "corpus_id", "author", "d")
     return f"""
 WITH idx AS ({IDX_LS}), grp AS ({GROUPS}),
-g AS (SELECT *, {pos_req} AS pos_req,
+g AS (SELECT *, least(sum(P) OVER (PARTITION BY corpus_id), {pos_req}) AS pos_req,
   row_number() OVER (PARTITION BY corpus_id ORDER BY P, author) AS i_,
   coalesce(sum(P) OVER (PARTITION BY corpus_id ORDER BY P, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM grp),
 st AS (SELECT corpus_id, arg_min(cp, i_) AS cps, min(i_) AS i_s FROM g
@@ -227,7 +227,7 @@ uneg_out AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTI
 
 
 o("positive_pairs_random", f"""
-WITH {uniform_pos_sql('42', '1500', IDX_LS)}
+WITH {uniform_pos_sql('42', 'least(sum(P), 1500)', IDX_LS)}
 SELECT corpus_id, a, b, 1 AS same, rk FROM pos_out
 """)
 
@@ -557,7 +557,7 @@ t AS (SELECT *, CASE WHEN se = 0 THEN 0.0 ELSE (mean - m2) / se END AS t FROM k)
 pv AS (SELECT *, CASE WHEN method = best THEN 1.0 ELSE
   1.0 - {_simpson('atan(abs(t) / sqrt(nu))')} / {_simpson('pi() / 2')} END AS pvalue FROM t)
 SELECT dataset, method, round(mean, 6) AS mean, round(std, 6) AS std, n, round(t, 6) AS t, round(pvalue, 6) AS pvalue,
-  CASE WHEN pvalue = 1 THEN '=' WHEN pvalue > 0.05 THEN '**' WHEN pvalue > 0.005 THEN '*' ELSE '' END AS mark FROM pv
+  CASE WHEN round(pvalue, 9) = 1 THEN '=' WHEN round(pvalue, 9) > 0.05 THEN '**' WHEN round(pvalue, 9) > 0.005 THEN '*' ELSE '' END AS mark FROM pv
 """)
 o("report_series", f"""
 SELECT dataset, mode, n_authors, method, docs_by_author, round(avg(acc), 6) AS y_mean, round(stddev_samp(acc), 6) AS y_std,
