@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,11 @@ def tfidf_transform(counts: DataFrame, vocab: DataFrame, use_idf: bool = True, n
 
 def tfidf(counts: DataFrame, split_docs: DataFrame, block: str, min_df: int = 1,
           use_idf: bool = True, norm: str = "l2") -> DataFrame:
-    """Fit on ``split='train'`` docs, transform all docs of ``split_docs``."""
+    """Fit on ``split='train'`` docs, transform all docs of ``split_docs``.
+
+    The term counts feed both the fit and the transform; they are persisted
+    (memory and disk) so the n-gram explode runs once."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     train = split_docs.where(F.col("split") == "train").select("doc_id")
     tc = counts.join(train, "doc_id", "left_semi")
     vocab = tfidf_fit(tc, train, block, min_df)

@@ -136,6 +136,8 @@ def round_robin_quotas(groups: DataFrame, req: DataFrame) -> DataFrame:
     first groups in label order with P >= r* give one more.
     """
     g = groups.join(req.select("corpus_id", "pos_req"), "corpus_id")
+    # groups taking part (a verification task keeps only the positive class)
+    g = g.withColumn("n_grp", F.count(F.lit(1)).over(Window.partitionBy("corpus_id")))
     w = Window.partitionBy("corpus_id").orderBy("P", "author")
     g = (
         g.withColumn("__i", F.row_number().over(w))

@@ -106,19 +106,21 @@ def decode_sql(k: str) -> tuple[str, str]:
     return i, j
 
 
-def rr_sql(pos_req: int) -> str:
+def rr_sql(pos_req, idx: str = IDX_LS, group_filter: str = "TRUE", with_clause: bool = True) -> str:
     i, j = decode_sql("k")
     u_e = sql_uniform("42|rre", "corpus_id", "author", "k")
     u_d = sql_uniform("42|rrd", "corpus_id", "author", "d")
     return f"""
-WITH idx AS ({IDX_LS}), grp AS ({GROUPS}),
+{"WITH " if with_clause else ""}idx AS ({idx}), grp AS ({GROUPS}),
+g0 AS (SELECT * EXCLUDE (n_grp), count(*) OVER (PARTITION BY corpus_id) AS n_grp FROM grp WHERE {group_filter}),
 g AS (SELECT *, least(sum(P) OVER (PARTITION BY corpus_id), {pos_req}) AS pos_req,
   row_number() OVER (PARTITION BY corpus_id ORDER BY P, author) AS i_,
-  coalesce(sum(P) OVER (PARTITION BY corpus_id ORDER BY P, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM grp),
-st AS (SELECT corpus_id, arg_min(cp, i_) AS cps, min(i_) AS i_s FROM g
+  coalesce(sum(P) OVER (PARTITION BY corpus_id ORDER BY P, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp
+  FROM g0),
+rst AS (SELECT corpus_id, arg_min(cp, i_) AS cps, min(i_) AS i_s FROM g
   WHERE cp + P + (n_grp - i_) * P >= pos_req GROUP BY corpus_id),
-g2 AS (SELECT g.*, st.cps, st.i_s,
-  CAST(CASE WHEN st.i_s IS NULL THEN P + 1 ELSE ceil((pos_req - st.cps) / (n_grp - st.i_s + 1)) END AS BIGINT) AS r_ FROM g LEFT JOIN st USING (corpus_id)),
+g2 AS (SELECT g.*, rst.cps, rst.i_s,
+  CAST(CASE WHEN rst.i_s IS NULL THEN P + 1 ELSE ceil((pos_req - rst.cps) / (n_grp - rst.i_s + 1)) END AS BIGINT) AS r_ FROM g LEFT JOIN rst USING (corpus_id)),
 g3 AS (SELECT *, least(P, greatest(r_ - 1, 0)) AS full_ FROM g2),
 g4 AS (SELECT *, pos_req - sum(full_) OVER (PARTITION BY corpus_id) AS rem, (P >= r_ AND i_s IS NOT NULL) AS e_ FROM g3),
 q AS (SELECT corpus_id, author, P, full_ + CASE WHEN e_ AND row_number() OVER (PARTITION BY corpus_id, e_ ORDER BY author) <= rem THEN 1 ELSE 0 END AS t FROM g4),
@@ -131,10 +133,11 @@ dr1 AS (SELECT corpus_id, author, least(CAST(floor({u_d} * P) AS BIGINT), P - 1)
   FROM dr0 GROUP BY corpus_id, author, least(CAST(floor({u_d} * P) AS BIGINT), P - 1)),
 dr AS (SELECT corpus_id, author, k, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, author ORDER BY d) AS rk FROM dr1) WHERE rk <= t),
 s AS (SELECT * FROM en UNION ALL SELECT * FROM dr),
-s2 AS (SELECT s.*, {i} + 1 AS pi, {j} + 1 AS pj FROM s)
-SELECT s2.corpus_id, s2.author, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, 1 AS same, s2.rk AS round
+s2 AS (SELECT s.*, {i} + 1 AS pi, {j} + 1 AS pj FROM s),
+rr_out AS (SELECT s2.corpus_id, s2.author, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, 1 AS same, s2.rk AS round
 FROM s2 JOIN idx x ON x.corpus_id = s2.corpus_id AND x.author = s2.author AND x.pos = s2.pi
-JOIN idx y ON y.corpus_id = s2.corpus_id AND y.author = s2.author AND y.pos = s2.pj"""
+JOIN idx y ON y.corpus_id = s2.corpus_id AND y.author = s2.author AND y.pos = s2.pj)""" + (
+        "\nSELECT * FROM rr_out" if with_clause else "")
 
 
 o("positive_pairs_round_robin", rr_sql(1500))
@@ -660,3 +663,31 @@ g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY title
 SELECT id, author, CAST(req_no AS INTEGER) AS req_no, title || chr(10) || abstract AS text FROM g
 WHERE author IN (SELECT author FROM g GROUP BY author HAVING count(*) >= 10)
 """)
+
+
+def idx_part(src: str, part: str) -> str:
+    """Indexed docs with corpus_id = a partition column."""
+    return f"""SELECT CAST({part} AS VARCHAR) AS corpus_id, author, doc_id,
+  row_number() OVER (PARTITION BY {part}, author ORDER BY {U42}, doc_id) AS pos,
+  count(*) OVER (PARTITION BY {part}, author) AS n_docs,
+  row_number() OVER (PARTITION BY {part} ORDER BY {sql_uniform('42g', 'doc_id')}, doc_id) AS gpos,
+  count(*) OVER (PARTITION BY {part}) AS n_corpus FROM ({src})"""
+
+
+# Per-language corpora; pos = all positives capped at 300, neg = min(all positives, all negatives) capped at 300
+_NEG_REQ_ALL = "least(least(sum(P), CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT)), 300)"
+o("multi_corpus_pairs", f"""
+WITH {rr_sql(300, idx_part(CORPUS, 'lang'), with_clause=False)},
+{weighted_neg_sql('42', _NEG_REQ_ALL, idx_part(CORPUS, 'lang')).replace('idx AS (', 'idx2 AS (', 1).replace('grp AS (', 'grp2 AS (', 1)}
+SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS same FROM neg_out
+""")
+
+
+# Binary target (labels.quality); positives only inside class '1', negatives across the classes
+_VT = """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS author FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+WHERE d.text IS NOT NULL"""
+o("verification_pairs", f"""
+WITH {rr_sql(500, idx_part(_VT, "'all'"), group_filter="author = '1'", with_clause=False)},
+{weighted_neg_sql('42', '500', idx_part(_VT, "'all'")).replace('idx AS (', 'idx2 AS (', 1).replace('grp AS (', 'grp2 AS (', 1)}
+SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS same FROM neg_out
+""")

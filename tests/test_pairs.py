@@ -84,3 +84,17 @@ def test_negative_weights_follow_group_draw(spark):
     n = J.negative_pairs(idx, req).count()
     assert n == 20000
     assert math.isfinite(n)
+
+
+def test_verification_task_positives_inside_class_one(spark):
+    """Positives only between class-1 documents, exact request."""
+    from quillmark.session import read_table
+    d = documents_corpus(spark, SF_MID).drop("author").join(
+        read_table(spark, SF_MID, "labels").select("doc_id", F.col("quality").cast("string").alias("author")), "doc_id")
+    p = J.generate_pairs(d, 400, 300, verification_task=True)
+    la = d.select(F.col("doc_id").alias("a"), F.col("author").alias("la"))
+    lb = d.select(F.col("doc_id").alias("b"), F.col("author").alias("lb"))
+    j = p.join(la, "a").join(lb, "b")
+    assert j.where("same = 1").count() == 400
+    assert j.where("same = 1 AND (la <> '1' OR lb <> '1')").count() == 0
+    assert j.where("same = 0").count() == 300 and j.where("same = 0 AND la = lb").count() == 0
