@@ -131,7 +131,9 @@ def report_ttest(stats: DataFrame, levels=(0.05, 0.005)) -> DataFrame:
     nu = F.col("n") + F.col("n2") - 2
     sp2 = ((F.col("n") - 1) * F.col("std") * F.col("std") + (F.col("n2") - 1) * F.col("s2") * F.col("s2")) / nu
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("n2")))
-    d = d.withColumn("nu", nu.cast("double")).withColumn("t", F.when(se == 0, F.lit(0.0)).otherwise((F.col("mean") - F.col("m2")) / se))
+    # means rounded to 9 digits: equal means give t = 0 exactly, whatever the summation order
+    diff = F.round("mean", 9) - F.round("m2", 9)
+    d = d.withColumn("nu", nu.cast("double")).withColumn("t", F.when(se == 0, F.lit(0.0)).otherwise(diff / se))
     d = d.withColumn("pvalue", F.when(F.col("method") == F.col("best"), F.lit(1.0)).otherwise(student_t_pvalue("t", "nu")))
     pv = F.round("pvalue", 9)  # equal means up to float noise count as equal
     mark = (F.when(pv == 1, "=").when(pv > levels[0], "**").when(pv > levels[1], "*").otherwise(""))

@@ -348,3 +348,49 @@ def feature_table_roundtrip(spark, sf):
     path = scratch_path(spark, "features")
     f.write.mode("overwrite").partitionBy("split").parquet(path)
     return round_doubles(spark.read.parquet(path).select("doc_id", "feat", "val", "split"))
+
+
+def _aa_metrics_row(pred: DataFrame, method: str, n_train: int) -> DataFrame:
+    """One AA log row: attribution metrics (G1-G3) and binarised verification
+    metrics (G4) under their own names (quirk Q7 fixed)."""
+    a = G.attribution_metrics(pred).withColumn("__k", F.lit(1))
+    v = G.verification_metrics(pred).select(F.col("acc").alias("acc_verif"), F.col("f1_macro").alias("f1_verif"),
+                                             F.col("f1_micro").alias("f1_verif_micro")).withColumn("__k", F.lit(1))
+    return a.join(F.broadcast(v), "__k").select(  # one-row tables
+        F.lit("embeddings").alias("dataset"), F.lit(SEED).alias("seed"), F.lit(method).alias("method"),
+        F.lit(n_train).alias("trainsize"), F.col("acc").alias("acc_attr"), F.col("f1_macro").alias("f1_attr_macro"),
+        F.col("f1_micro").alias("f1_attr_micro"), "acc_verif", "f1_verif", "f1_verif_micro")
+
+
+@q("aa_experiment")
+def aa_experiment(spark, sf):
+    """G18 (AA): STD-AA (multinomial LR on the vectors), Lazy AA (kNN rule on
+    cosine scores) and Stacked AA, each scored with G1-G4 into log rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from .queries_more import _knn_scores
+    e = _emb_labelled(spark, sf)
+    tr, te = e.where("split = 'train'"), e.where("split = 'test'")
+    n_train = tr.count()
+    truth = te.select("doc_id", F.col("author").alias("truth"))
+    lr = LogisticRegression(standardization=False, maxIter=100, tol=1e-4, regParam=1.0 / n_train).fit(tr)
+    p_lr = lr.transform(te).select("doc_id", F.col("prediction").cast("int").cast("string").alias("pred")).join(truth, "doc_id")
+    s, _ = _knn_scores(spark, sf)
+    p_knn = R.knn_attribution(s, 5).select("doc_id", "pred").join(truth, "doc_id")
+    p_st = stacked_attribution(spark, sf).select("doc_id", F.col("pred").cast("string").alias("pred")).join(truth, "doc_id")
+    rows = [_aa_metrics_row(p_lr, "LR", n_train), _aa_metrics_row(p_knn, "PairLRknn", n_train),
+            _aa_metrics_row(p_st, "PairLRlinear", n_train)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return round_doubles(out)
+
+
+@q("av_experiment")
+def av_experiment(spark, sf):
+    """G18 (AV): one binary verifier per author (one-vs-rest), metrics G1/G4."""
+    e = _emb_labelled(spark, sf)
+    tr, te = e.where("split = 'train'"), e.where("split = 'test'")
+    m = M.one_vs_rest(tr)
+    p = m.transform(te).select("doc_id", F.col("author").alias("truth"),
+                               F.col("prediction").cast("int").cast("string").alias("pred"))
+    return round_doubles(_aa_metrics_row(p, "LRbin", tr.count()).withColumn("method", F.lit("LRbin")))

@@ -556,7 +556,7 @@ o("report_ttest", f"""
 WITH s AS ({STATS}), b AS (SELECT dataset, mean AS m2, std AS s2, n AS n2, method AS best FROM ({BEST})),
 j AS (SELECT s.*, b.m2, b.s2, b.n2, b.best, CAST(s.n + b.n2 - 2 AS DOUBLE) AS nu FROM s JOIN b USING (dataset)),
 k AS (SELECT *, sqrt(((n - 1) * std * std + (n2 - 1) * s2 * s2) / nu * (1.0 / n + 1.0 / n2)) AS se FROM j),
-t AS (SELECT *, CASE WHEN se = 0 THEN 0.0 ELSE (mean - m2) / se END AS t FROM k),
+t AS (SELECT *, CASE WHEN se = 0 THEN 0.0 ELSE (round(mean, 9) - round(m2, 9)) / se END AS t FROM k),
 pv AS (SELECT *, CASE WHEN method = best THEN 1.0 ELSE
   1.0 - {_simpson('atan(abs(t) / sqrt(nu))')} / {_simpson('pi() / 2')} END AS pvalue FROM t)
 SELECT dataset, method, round(mean, 6) AS mean, round(std, 6) AS std, n, round(t, 6) AS t, round(pvalue, 6) AS pvalue,
