@@ -50,6 +50,7 @@ def main() -> None:
         t0 = time.time()
         fn()
         times[name] = round(time.time() - t0, 3)
+        spark.catalog.clearCache()  # workloads are independent: release what the last one persisted
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
 
     sp = C.stratified_split(corpus)
