@@ -353,10 +353,19 @@ SELECT n_docs, CAST(CASE WHEN 50 > floor(n_docs / 2) THEN floor(n_docs / 2) ELSE
 FROM (SELECT count(*) AS n_docs FROM ({TR}))
 """)
 
+from .oracle import WORD_COUNTS as _WC  # noqa: E402
+WORD_COUNTS_TR = _WC.replace("{src}", f"SELECT * FROM ({split_sql()}) WHERE split = 'train'")
 SUBSETS = f"""SELECT iter, feat FROM (
   SELECT iter, feat, row_number() OVER (PARTITION BY iter ORDER BY {sql_uniform(42, 'iter', 'feat')}, feat) AS r
   FROM range(0, {{k}}) i(iter), range(0, 64) f(feat)) WHERE r <= 32"""
-o("impostor_feature_subsets", SUBSETS.replace("{k}", "100"))
+_NFEAT = f"""(SELECT count(*) FROM (
+  SELECT feat FROM ({WORD_COUNTS_TR}) GROUP BY feat HAVING count(*) >= 3))"""
+o("impostor_feature_subsets", f"""
+SELECT iter, feat FROM (
+  SELECT iter, feat, row_number() OVER (PARTITION BY iter ORDER BY {sql_uniform(42, 'iter', 'feat')}, feat) AS r,
+    (SELECT * FROM nf) AS nf FROM range(0, 100) i(iter), range(0, (SELECT * FROM nf)) f(feat))
+WHERE r <= nf // 2
+""".replace("SELECT iter, feat FROM (", "WITH nf AS " + _NFEAT + " SELECT iter, feat FROM (", 1))
 
 ATE = f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({TE}) t ON v.doc_id = t.doc_id"
 ATR = f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({TR}) t ON v.doc_id = t.doc_id"

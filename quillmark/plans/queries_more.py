@@ -205,9 +205,13 @@ def impostor_params(spark, sf):
 
 @q("impostor_feature_subsets")
 def impostor_feature_subsets(spark, sf):
-    # the width comes from the data: the embedding dimension
-    dim = embedding_vectors(spark, sf).select(F.max(F.size("vec")).alias("d")).first()["d"]
-    return I.feature_subsets(dim, 100, SEED, spark).withColumn("feat", F.col("feat").cast("long"))
+    """I1 over the training vocabulary (word TF-IDF, min_df 3): k = 100 subsets of nF div 2 features."""
+    from ..operators import features as FE
+    from ..operators import text_features as P
+    sp = C.stratified_split(documents_corpus(spark, sf))
+    tr = sp.where("split = 'train'")
+    n_feat = FE.tfidf_fit(P.word_unigram_counts(tr), tr.select("doc_id"), "word", 3).count()
+    return I.feature_subsets(n_feat, 100, SEED, spark).withColumn("feat", F.col("feat").cast("long"))
 
 
 @q("top_impostors")
