@@ -22,3 +22,12 @@ def test_int_rank_dense(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("d"), F.lit("c").alias("corpus_id"))
     r = int_rank(df, ["corpus_id"], "d", "rk", rows_per_bucket=50)
     assert r.where(F.col("rk") != F.col("d") + 1).count() == 0
+
+
+def test_global_index_range_buckets(spark):
+    from quillmark.operators.grouping import global_index
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).cast("string").alias("k"))
+    got = global_index(df, ["k"], "idx", rows_per_bucket=300)
+    exp = df.withColumn("idx2", F.row_number().over(Window.orderBy("k")) - 1)
+    j = got.join(exp, "k")
+    assert j.count() == 5000 and j.where("idx != idx2").count() == 0
