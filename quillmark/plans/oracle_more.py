@@ -700,3 +700,22 @@ WITH {rr_sql(500, idx_part(_VT, "'all'"), group_filter="author = '1'", with_clau
 {weighted_neg_sql('42', '500', idx_part(_VT, "'all'")).replace('idx AS (', 'idx2 AS (', 1).replace('grp AS (', 'grp2 AS (', 1)}
 SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS same FROM neg_out
 """)
+
+
+# ------------------------------------------------------------------ named entries
+o("positive_pairs", rr_sql(10 ** 15))
+o("negative_pairs_large", f"""
+WITH {weighted_neg_sql('42', '20000', idx_part(CORPUS, "'all'"))}
+SELECT corpus_id, a, b, 0 AS same, rk FROM neg_out
+""")
+o("metric_accuracy", f"SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS acc FROM ({PRED})")
+o("metric_f1_macro", f"SELECT round(avg({F1C}), 6) AS f1_macro FROM ({CLS})")
+o("metric_f1_micro", f"""SELECT round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1_micro
+FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({CLS}))""")
+o("impostor_decision", f"""SELECT a, b, same, round(score, 6) AS score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS pred
+FROM ({IMP_SCORES})""")
+_TRTR = f"""SELECT x.doc_id AS x_id, r.doc_id AS ref_id, {COS('x.vec', 'r.vec')} AS p FROM ({TR}) x, ({TR}) r"""
+o("stacked_features", f"""
+SELECT x_id AS doc_id, CAST(count(*) AS BIGINT) AS width, round(sum(p), 6) AS total, round(arg_min(p, ref_id), 6) AS "first"
+FROM ({_TRTR}) GROUP BY x_id
+""")

@@ -259,3 +259,55 @@ def threshold_search_f1(spark, sf):
 def impostors_eval(spark, sf):
     s = _impostor_scores(spark, sf)
     return round_doubles(G.sav_metrics(I.impostor_decision(s, 0.5)))
+
+
+# ------------------------------------------------------------------ named entries of SURVEY §2
+
+@q("positive_pairs")
+def positive_pairs(spark, sf):
+    """Every same-author pair (pos_request = -1), listed in round-robin order."""
+    c = _ls(spark, sf)
+    idx = J.indexed_docs(c, SEED)
+    return J.positive_pairs_round_robin(idx, J.pair_request(J.pair_capacity(c), -1, 0), SEED)
+
+
+@q("negative_pairs_large")
+def negative_pairs_large(spark, sf):
+    """The draw-based negative sampler on the whole corpus (author = source)."""
+    c = documents_corpus(spark, sf)
+    idx = J.indexed_docs(c, SEED)
+    req = J.pair_request(J.pair_capacity(c), 0, 20000)
+    return J.negative_pairs(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
+
+
+@q("metric_accuracy")
+def metric_accuracy(spark, sf):
+    return round_doubles(G.accuracy(_knn_predictions(spark, sf)))
+
+
+@q("metric_f1_macro")
+def metric_f1_macro(spark, sf):
+    return round_doubles(G.f1_macro(_knn_predictions(spark, sf)))
+
+
+@q("metric_f1_micro")
+def metric_f1_micro(spark, sf):
+    return round_doubles(G.f1_micro(_knn_predictions(spark, sf)))
+
+
+@q("impostor_decision")
+def impostor_decision(spark, sf):
+    """SAME iff the two-way impostor score is above sigma (0.5)."""
+    s = _impostor_scores(spark, sf)
+    return round_doubles(I.impostor_decision(s, 0.5).select("a", "b", "same", "score", "pred"))
+
+
+@q("stacked_features")
+def stacked_features(spark, sf):
+    """M14 features: per training document its score vector against the training set
+    (summarised as width, sum and first score, in reference-id order)."""
+    e = _emb_split(spark, sf).where("split = 'train'").select("doc_id", "vec", "author")
+    f = R.stacked_features(S.pairwise_projection(e, e, "cosine", 128, symmetric=True))
+    return round_doubles(f.select("doc_id", F.size("vec").cast("long").alias("width"),
+                                  F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"),
+                                  F.col("vec")[0].alias("first")))
