@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference is a batch pipeline: no event time, windows over time,
+watermarks, late data or per-key state appear anywhere in it, so there is no
+Structured Streaming operator to rebuild.  Batch operators here are plain
+DataFrame functions and can be applied per micro-batch (``foreachBatch``) by a
+caller that streams corpora in.
+"""
