@@ -315,7 +315,8 @@ FROM (SELECT count(*) AS n, sum(CASE WHEN same = 1 AND pred = 1 THEN 1 ELSE 0 EN
 o("sav_via_attribution", sav_metrics_sql(f"""
 SELECT e.a, e.b, e.same, CASE WHEN pa.pred = pb.pred THEN 1 ELSE 0 END AS pred FROM ({EVAL}) e
 JOIN ({KNN}) pa ON pa.doc_id = e.a JOIN ({KNN}) pb ON pb.doc_id = e.b"""))
-o("trivial_rejector", f"SELECT round(100.0 * avg(1 - same), 6) AS acc, 1.0 AS p, 0.0 AS r, 0.0 AS f1 FROM ({EVAL})")
+o("trivial_rejector", f"""SELECT round(100.0 * avg(1 - same), 6) AS acc, CAST(1.0 AS DOUBLE) AS p, CAST(0.0 AS DOUBLE) AS r,
+  CAST(0.0 AS DOUBLE) AS f1 FROM ({EVAL})""")
 
 SCORED = f"""SELECT e.a, e.b, e.same, {COS('x.vec', 'y.vec')} AS score FROM ({EVAL}) e
 JOIN ({VECTORS}) x ON x.doc_id = e.a JOIN ({VECTORS}) y ON y.doc_id = e.b"""
@@ -426,7 +427,7 @@ allk AS (SELECT x_id, ref_author, r AS k, rm FROM s2 WHERE r < n_a
 pr AS (SELECT x_id, k, ref_author AS pred FROM (
   SELECT *, row_number() OVER (PARTITION BY x_id, k ORDER BY round(rm, 9) DESC, ref_author) AS rn FROM allk) WHERE rn = 1),
 acc AS (SELECT pr.k, avg(CASE WHEN pr.pred = t.author THEN 1.0 ELSE 0.0 END) AS acc FROM pr JOIN ({TR}) t ON t.doc_id = pr.x_id GROUP BY pr.k)
-SELECT CAST(k AS INTEGER) AS k, round(acc, 6) AS acc,
+SELECT CAST(k AS BIGINT) AS k, round(acc, 6) AS acc,
   CAST(CASE WHEN row_number() OVER (ORDER BY round(acc, 9) DESC, k) = 1 THEN 1 ELSE 0 END AS INTEGER) AS best FROM acc
 """)
 
@@ -705,7 +706,7 @@ SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS
 # ------------------------------------------------------------------ named entries
 o("positive_pairs", rr_sql(10 ** 15))
 o("negative_pairs_large", f"""
-WITH {weighted_neg_sql('42', '20000', idx_part(CORPUS, "'all'"))}
+WITH {weighted_neg_sql('42', 'least(20000, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT))', idx_part(CORPUS, "'all'"))}
 SELECT corpus_id, a, b, 0 AS same, rk FROM neg_out
 """)
 o("metric_accuracy", f"SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS acc FROM ({PRED})")

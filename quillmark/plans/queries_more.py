@@ -276,7 +276,10 @@ def negative_pairs_large(spark, sf):
     """The draw-based negative sampler on the whole corpus (author = source)."""
     c = documents_corpus(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), 0, 20000)
+    cap = J.pair_capacity(c)
+    # 20,000 negatives, or every negative when the corpus holds fewer
+    req = cap.select("corpus_id", F.lit(0).cast("long").alias("pos_req"),
+                     F.least(F.lit(20000).cast("long"), F.col("max_neg")).alias("neg_req"))
     return J.negative_pairs(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
 
 
