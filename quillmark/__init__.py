@@ -1,0 +1,10 @@
+"""Authorship analytics on Spark.
+
+Functions that run inside Python workers are pickled by value, so executors
+need no copy of this package and no particular working folder.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,11 +8,6 @@ Tokenizer rules are our own documented regexes (no Treebank / Punkt):
 """
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,23 +33,41 @@ LATIN_FUNCTION_WORDS = [
     "postea", "nunquam",
 ]
 
-LANG_NAMES = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "it": "italian",
-              "pt": "portuguese", "nl": "dutch", "la": "latin"}
+# fixed values: function words (closed-class words) per language, in natural order
+ENGLISH_FUNCTION_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below "
+    "between both but by can could did do does doing down during each few for from further had has have "
+    "having he her here hers him his how i if in into is it its just me more most my no nor not now of off "
+    "on once only or other our out over own same she should so some such than that the their them then "
+    "there these they this those through to too under until up very was we were what when where which "
+    "while who whom why will with would you your"
+).split()
+FRENCH_FUNCTION_WORDS = (
+    "a ai au aux avec avait ce ces cette comme dans de des du elle elles en entre est et eu il ils je la "
+    "le les leur leurs lui ma mais me même mes moi mon ne nos notre nous on ont ou où par pas plus pour "
+    "qu que qui sa sans se ses si son sont sous sur ta te tes toi ton très tu un une vos votre vous y"
+).split()
+GERMAN_FUNCTION_WORDS = (
+    "aber als am an auch auf aus bei bin bis da damit dann das dass dein dem den der des die doch dort du "
+    "durch ein eine einem einen einer eines er es euer für gegen habe haben hat hatte hier ich ihm ihn ihr "
+    "im in ist ja jede jener kein können man mein mich mir mit nach nicht noch nun nur ob oder ohne sehr "
+    "sein sich sie sind so über um und uns unter vom von vor war was weil wenn wer wie wir wird wo zu zum "
+    "zur zwischen"
+).split()
+SPANISH_FUNCTION_WORDS = (
+    "a al algo como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era es "
+    "esa ese eso esta este esto está fue ha hay la las le les lo los me mi mis más mucho muy nada ni no nos "
+    "nosotros o os otra otro para pero poco por porque que quien se ser si sin sobre son su sus sí también "
+    "tanto te tiene todo tu tus un una uno unos vosotros y ya yo"
+).split()
+
+#: Lists by language code; a document in any other language uses the English one.
+FUNCTION_WORDS = {"en": ENGLISH_FUNCTION_WORDS, "fr": FRENCH_FUNCTION_WORDS, "de": GERMAN_FUNCTION_WORDS,
+                  "es": SPANISH_FUNCTION_WORDS, "la": LATIN_FUNCTION_WORDS}
 
 
-@functools.lru_cache(maxsize=None)
 def function_words(lang: str) -> tuple[str, ...]:
-    """Latin: the built-in list; other languages: Spark ML's default stop words
-    (read from the public MLlib jar, no JVM needed)."""
-    lang = LANG_NAMES.get(lang, lang)
-    if lang == "latin":
-        return tuple(LATIN_FUNCTION_WORDS)
-    import pyspark
-
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{lang}.txt").decode("utf8")
-    return tuple(w for w in raw.split("\n") if w)
+    return tuple(FUNCTION_WORDS.get(lang, ENGLISH_FUNCTION_WORDS))
 
 
 def _c(x) -> Column:

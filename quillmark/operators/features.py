@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey, uniform_of_hex
+from ..session import keep
 from .grouping import global_index
 
 
@@ -61,7 +61,7 @@ def tfidf(counts: DataFrame, split_docs: DataFrame, block: str, min_df: int = 1,
 
     The term counts feed both the fit and the transform; they are persisted
     (memory and disk) so the n-gram explode runs once."""
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = keep(counts)
     train = split_docs.where(F.col("split") == "train").select("doc_id")
     tc = counts.join(train, "doc_id", "left_semi")
     vocab = tfidf_fit(tc, train, block, min_df)

@@ -22,11 +22,11 @@ The first ``request`` distinct pairs in draw order are kept.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey, uniform, uniform_of_hex
+from ..session import keep
 from .grouping import hash_rank, int_rank
 
 SEED = 42
@@ -66,7 +66,7 @@ def indexed_docs(corpus: DataFrame, seed=SEED, part: str | None = None) -> DataF
     c = hash_rank(c, ["corpus_id", "author"], seed, ["doc_id"], out="pos", count_col="n_docs")
     c = hash_rank(c, ["corpus_id"], f"{seed}g", ["doc_id"], out="gpos", count_col="n_corpus")
     # read by every draw join below: keep it (memory and disk; lost blocks are recomputed)
-    return c.persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(c)
 
 
 def group_table(idx: DataFrame) -> DataFrame:

@@ -45,17 +45,18 @@ def function_word_freq(corpus: DataFrame, lang: str | None = None) -> DataFrame:
     word of the function-word list, in list order.
 
     ``lang`` fixes one list for the whole corpus (as one extractor does); when
-    None, each document's ``lang`` column picks its language's list.
+    None, each document's ``lang`` column picks its language's list (the English
+    one where the language is null or has none, so no document is lost).
     """
     toks = T.style_tokens("text")
     if lang is not None:
         words = F.array(*[F.lit(w) for w in T.function_words(lang)])
     else:
-        langs = ["en", "fr", "de", "es"]
         pairs = []
-        for lg in langs:
-            pairs += [F.lit(lg), F.array(*[F.lit(w) for w in T.function_words(lg)])]
-        words = F.element_at(F.create_map(*pairs), F.col("lang"))
+        for lg, ws in T.FUNCTION_WORDS.items():
+            pairs += [F.lit(lg), F.array(*[F.lit(w) for w in ws])]
+        default = F.array(*[F.lit(w) for w in T.ENGLISH_FUNCTION_WORDS])
+        words = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("lang")), default)
     d = corpus.select("doc_id", toks.alias("toks"), words.alias("words"))
     d = d.select(
         "doc_id",

@@ -19,7 +19,7 @@ from ..operators import reports as RP
 from ..operators import rules as R
 from ..operators import similarity as S
 from ..operators import text_features as P
-from ..session import scratch_path
+from ..session import keep, scratch_path
 from ..sources.testbed import documents_corpus, embedding_vectors
 from .queries import chain_pairs, q, round_doubles
 from .queries_more import _emb_eval_pairs, _emb_split, _scored_eval
@@ -52,7 +52,7 @@ def stratified_folds(spark, sf):
 def _train_pairs(spark, sf, n=2000):
     e = _emb_split(spark, sf).where("split = 'train'")
     # the training pairs feed several model fits: keep them
-    pairs = J.generate_pairs(e.select("doc_id", "author"), n, n, -1, "round_robin", SEED).persist()
+    pairs = keep(J.generate_pairs(e.select("doc_id", "author"), n, n, -1, "round_robin", SEED))
     return pairs, embedding_vectors(spark, sf)
 
 
@@ -62,7 +62,7 @@ def train_svm_lri(spark, sf):
     words = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
     ri = FE.random_index_dictionary(FE.feature_index(words), 256, 2, 0)
     vec = FE.dense_vectors(FE.random_indexing(words, ri), 256).join(sp.select("doc_id", "author", "split"), "doc_id")
-    vec = vec.persist()  # read by the pair sampler, the fit and the scoring
+    vec = keep(vec)  # read by the pair sampler, the fit and the scoring
     tr = vec.where("split = 'train'")
     pairs = J.generate_pairs(tr.select("doc_id", "author"), 1000, 1000, -1, "round_robin", SEED)
     d = M.diff_pairs(pairs, tr).withColumn("label", F.col("same").cast("double"))
@@ -138,7 +138,7 @@ def calibrated_cv(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     pairs, v = _train_pairs(spark, sf)
     d = M.diff_pairs(pairs, v).withColumn("label", F.col("same").cast("double"))
-    d = M.with_folds(d.withColumn("doc_id", F.col("a") * 1_000_003 + F.col("b")), "label", 3).persist()
+    d = keep(M.with_folds(d.withColumn("doc_id", F.col("a") * 1_000_003 + F.col("b")), "label", 3))
     model, cal = M.calibrated_cv(d, lambda: LogisticRegression(standardization=False, maxIter=100), k=3)
     ev = M.diff_pairs(_emb_eval_pairs(spark, sf), v)
     return M.calibrated_prob(model, cal, ev).select("a", "b", "same", "score", "prob")

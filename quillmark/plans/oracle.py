@@ -81,8 +81,8 @@ PUNCT_CHARS = (f"list_filter(string_split({CHARPRE}, ''), ch -> length(ch) = 1 A
 
 def fw_table() -> str:
     rows = []
-    for lg in ("en", "fr", "de", "es"):
-        for i, w in enumerate(T.function_words(lg), start=1):
+    for lg, words in T.FUNCTION_WORDS.items():
+        for i, w in enumerate(words, start=1):
             rows.append(f"({lit(lg)}, {i}, {lit(w)})")
     return "(VALUES " + ", ".join(rows) + ") AS fwl(lang, idx, word)"
 
@@ -118,7 +118,7 @@ o("function_word_freq", f"""
 WITH d AS (SELECT doc_id, lang, {STYLE} AS tk FROM ({CORPUS}))
 SELECT d.doc_id, 'fw:' || lpad(CAST(f.idx AS VARCHAR), 3, '0') || ':' || f.word AS feat,
   round(len(list_filter(d.tk, t -> t = f.word)) / greatest(1, len(d.tk)), 6) AS val
-FROM d JOIN {fw_table()} ON d.lang = f.lang
+FROM d JOIN {fw_table()} ON f.lang = CASE WHEN d.lang IN ({", ".join(lit(x) for x in T.FUNCTION_WORDS)}) THEN d.lang ELSE 'en' END
 """.replace("JOIN (VALUES", "JOIN (VALUES").replace("AS fwl(lang, idx, word)", "AS f(lang, idx, word)"))
 
 o("word_length_profile", f"""

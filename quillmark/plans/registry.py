@@ -1,33 +1,30 @@
 """Assembles the query registry and the SQL twins from their modules."""
 from __future__ import annotations
 
+import functools
 
-def _load():
-    from . import experiments, flagship, queries, queries_more, sources_queries  # noqa: F401  (registration side effects)
-    from . import oracle, oracle_more  # noqa: F401
+from ..session import release
 
 
 def _fresh(fn):
-    """Each registered query starts by releasing what earlier queries persisted
-    (their results have been consumed); its own intermediates stay cached while
-    its plan runs."""
+    """A query starts by releasing what this package persisted for an earlier one."""
+    @functools.wraps(fn)
     def run(spark, sf_dir):
-        spark.catalog.clearCache()
+        release()
         return fn(spark, sf_dir)
-    run.__name__ = getattr(fn, "__name__", "query")
-    run.__doc__ = fn.__doc__
     return run
 
 
 def all_queries():
-    _load()
+    from . import experiments, flagship, queries_more, sources_queries  # noqa: F401  (registration side effects)
     from .queries import REGISTRY
 
     return {k: _fresh(v) for k, v in REGISTRY.items()}
 
 
 def all_oracles():
-    _load()
+    from . import oracle_more  # noqa: F401  (registration side effects)
     from .oracle import ORACLE
 
-    return {k: v for k, v in ORACLE.items() if k in all_queries()}
+    names = all_queries()
+    return {k: v for k, v in ORACLE.items() if k in names}

@@ -7,8 +7,11 @@ which is the case in tests and local benches.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "embeddings", "labels", "conversations", "benchmark")
@@ -36,12 +39,16 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "quillm
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder of the session.
+
+    A cluster must name one in ``spark.checkpoint.dir``; only a local master,
+    whose tasks share the driver's disk, gets a scratch folder of its own.
+    """
+    cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not cur:
-        cur = tempfile.mkdtemp(prefix="quill-ckpt-", dir="/tmp")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        cur = tempfile.mkdtemp(prefix="quill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(cur)
@@ -50,16 +57,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_KEPT: list[DataFrame] = []
+
 
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a frame that several parts of one query read."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss, unlike localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release() -> None:
+    """Unpersist what ``keep`` holds (a caller's own cached frames stay)."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
