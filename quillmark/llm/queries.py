@@ -5,11 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dup import op8_near_dup
 from .packing import op1_packing
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing]
+    found = [op1_packing, op8_near_dup]
     return {f.__name__: f for f in found}
 
 
