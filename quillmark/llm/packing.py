@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder
+from .tokens import worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, tiers: tuple[int, .
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = TaskPacker(TaskContext.get().partitionId() << 36, tiers, block_tokens, step_windows, with_ids)
-        encoder = WordEncoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             docs_of = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]

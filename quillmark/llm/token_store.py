@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import save
-from .tokens import WordEncoder
+from .tokens import worker_encoder
 
 SHARD_TOKENS = 1 << 20
 END_ID = 0
@@ -199,7 +199,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file)
         held: list[tuple[int, bytes]] = []
         tokens = 0
 

@@ -9,9 +9,11 @@ word be encoded by the library once and kept.
 from __future__ import annotations
 
 import re
+import sys
+import types
 
-#: Words kept by one encoder; beyond it the store starts anew (memory bound).
-KEPT_WORDS = 400_000
+#: Words kept by one encoder, some 200 MB; beyond it the store starts anew.
+KEPT_WORDS = 1_000_000
 #: Characters whose new words go to the library in one call.
 BATCH_CHARS = 2_000_000
 
@@ -72,3 +74,15 @@ class WordEncoder:
             self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
+
+
+def worker_encoder(path: str | None = None) -> WordEncoder:
+    """The encoder of this Python worker, kept for its later tasks.
+
+    Task code arrives pickled by value, without lasting globals, so the encoder
+    lives in a module object of its own."""
+    state = sys.modules.setdefault("quillmark_worker_state", types.ModuleType("quillmark_worker_state"))
+    kept = state.__dict__.setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
