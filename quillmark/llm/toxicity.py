@@ -94,7 +94,7 @@ def choose_vocabulary(sample: DataFrame, size: int, least_docs: int = 3, least_g
 
 
 def fit_logistic(x: Rows, y: np.ndarray, weight: np.ndarray, swapped: Rows, of: np.ndarray, l2: float, fairness: float,
-                 steps: int = 600, rate: float = 0.1) -> np.ndarray:
+                 steps: int = 1500, rate: float = 0.1) -> np.ndarray:
     """Weights and, last, the intercept (Adam on the full sample).
 
     ``swapped`` row i is the counterfactual of row ``of[i]`` of x."""
@@ -115,7 +115,7 @@ def fit_logistic(x: Rows, y: np.ndarray, weight: np.ndarray, swapped: Rows, of:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 8000, vocabulary: int = 3000,
-          l2: float = 1e-5, fairness: float = 1.0, seed: int = 7, groups=IDENTITY_TERMS) -> tuple[dict[str, float], float]:
+          l2: float = 1e-6, fairness: float = 1.0, seed: int = 7, groups=IDENTITY_TERMS) -> tuple[dict[str, float], float]:
     """(feature weights, intercept)."""
     chosen, each = fit_sample(docs, labels, label, per_class, seed)
     sample = save(chosen, "toxicity-sample")
