@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_dup import op8_near_dup
 from .packing import op1_packing
+from .quality import op6_quality
 from .token_store import op4_token_store
 from .toxicity import op7_toxicity
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op4_token_store, op7_toxicity, op8_near_dup]
+    found = [op1_packing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup]
     return {f.__name__: f for f in found}
 
 
