@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP3_SQL, op3_mixing
 from .near_dup import op8_near_dup
 from .packing import op1_packing
 from .quality import op6_quality
@@ -13,9 +14,9 @@ from .toxicity import op7_toxicity
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup]
+    found = [op1_packing, op3_mixing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup]
     return {f.__name__: f for f in found}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL}
