@@ -15,8 +15,13 @@ from .toxicity import op7_toxicity
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_packing, op3_mixing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup]
-    return {f.__name__: f for f in found}
+    from corpus_pipeline import run as pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    from corpus_pipeline import ORACLE_SQL
+
+    found = {"op3_mixing": OP3_SQL, "pipeline": ORACLE_SQL}
+    return {k: v for k, v in found.items() if v}
