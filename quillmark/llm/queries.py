@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op2_chat
+from .html_text import op10_html_text
 from .mixing import OP3_SQL, op3_mixing
 from .near_dup import op8_near_dup
 from .packing import op1_packing
@@ -14,7 +16,7 @@ from .toxicity import op7_toxicity
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op3_mixing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup]
+    found = [op1_packing, op2_chat, op3_mixing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup, op10_html_text]
     from corpus_pipeline import run as pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
