@@ -5,8 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op5_ann
 from .chat import op2_chat
 from .html_text import op10_html_text
+from .metric_search import OP9_SQL, op9_metric_search
 from .mixing import OP3_SQL, op3_mixing
 from .near_dup import op8_near_dup
 from .packing import op1_packing
@@ -16,7 +18,7 @@ from .toxicity import op7_toxicity
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_chat, op3_mixing, op4_token_store, op6_quality, op7_toxicity, op8_near_dup, op10_html_text]
+    found = [op1_packing, op2_chat, op3_mixing, op4_token_store, op5_ann, op6_quality, op7_toxicity, op8_near_dup, op9_metric_search, op10_html_text]
     from corpus_pipeline import run as pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
@@ -25,5 +27,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def llm_oracles() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    found = {"op3_mixing": OP3_SQL, "pipeline": ORACLE_SQL}
+    found = {"op3_mixing": OP3_SQL, "op9_metric_search": OP9_SQL, "pipeline": ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
