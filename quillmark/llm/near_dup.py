@@ -10,11 +10,12 @@ densification, banded buckets and star-shaped candidate edges.
 3. A bucket links its members to one centre only (a star), so it makes as many
    candidate pairs as it has members.  Candidates are confirmed on full sets.
    Connected components follow from the confirmed links.
-4. A few more rounds take other centres in the buckets that still span several
-   components.  What then remains is completed exactly: every pair of a bucket
-   that lies in two components and that neither the sizes nor the triangle
-   inequality of the Jaccard distance to a common centre rules out is confirmed
-   too.  No cap: a pair that shares a bucket is confirmed or proven irrelevant.
+4. Another round takes other centres in the buckets that still span several
+   components.  What then remains is completed: every pair of a bucket that lies
+   in two components is confirmed too, unless it is ruled out by the set sizes,
+   by the triangle inequality of the Jaccard distance to a common centre, or by
+   its sketches (two bits of 1024 bins) agreeing less than a pair at the
+   threshold would 4.8 standard deviations below its mean.  No cap on partners.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with
 nothing; texts shorter than a shingle are one shingle; rows without a doc_id
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import save
 
 BINS = 256
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
+SKETCH_BINS = 1024
+SKETCH_LONGS = SKETCH_BINS // 32
+SKETCH_DEVIATIONS = 4.8
 BATCH_BYTES = 4_000_000
 
 
@@ -137,13 +141,33 @@ def signature_table(docs: DataFrame, width: int, bands: int, rows: int) -> DataF
     return docs.mapInPandas(run, "doc_id long, n long, set_key binary, keys array<long>")
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Two bits of each of 1024 densified bins, 32 bins to a 64-bit word."""
+    bits = mix(signatures(sets, SKETCH_BINS)) & np.uint64(3)
+    places = np.arange(0, 64, 2, dtype=np.uint64)
+    return (bits.reshape(len(sets), SKETCH_LONGS, 32) << places).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the full sets as sorted arrays."""
+    """(doc_id, shingles, sketch): the full non-empty sets as sorted arrays, and their sketches."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, texts in _batches(frames):
-            yield pd.DataFrame({"doc_id": ids, "shingles": [shingle_set(t, width).view(np.int64) for t in texts]})
+            sets = [shingle_set(t, width) for t in texts]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            sets = [sets[i] for i in some]
+            yield pd.DataFrame({"doc_id": ids[some], "shingles": [s.view(np.int64) for s in sets],
+                                "sketch": list(sketches(sets))})
+
+    return docs.mapInPandas(run, "doc_id long, shingles array<long>, sketch array<long>")
+
 
-    return docs.mapInPandas(run, "doc_id long, shingles array<long>")
+def may_agree(a: str, b: str, percent: int):
+    """Whether two sketches differ in no more bins than a pair at the threshold may."""
+    same = percent / 100 + (1 - percent / 100) / 4
+    most = SKETCH_BINS * (1 - same) + SKETCH_DEVIATIONS * (SKETCH_BINS * same * (1 - same)) ** 0.5
+    differ = [f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & 6148914691236517205L)"
+              for i in range(SKETCH_LONGS)]
+    return F.expr(f"{' + '.join(differ)} <= {int(most)}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,7 +226,8 @@ def star_pairs(members: DataFrame, percent: int, salt: int) -> DataFrame:
             .select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct())
 
 
-def remaining_pairs(members: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(members: DataFrame, seen: DataFrame, sets: DataFrame, classes: DataFrame,
+                    percent: int) -> DataFrame:
     """Pairs of a bucket in two components that are not yet confirmed or ruled
     out.  One side is always outside the component of the bucket's first centre,
     so a large, resolved group meets only the few members outside it."""
@@ -213,12 +238,16 @@ def remaining_pairs(members: DataFrame, seen: DataFrame, percent: int) -> DataFr
                                           (F.col("comp") == F.col("c.comp")).alias("inner"))
     m = m.join(dist.withColumnRenamed("x", "doc_id").withColumnRenamed("y", "centre"), ["doc_id", "centre"], "left")
     m = m.withColumn("d", F.when(F.col("doc_id") == F.col("centre"), 0.0).otherwise(F.col("d")))
+    m = (m.join(sets.select("doc_id", "sketch"), "doc_id")
+         .join(classes.select(F.col("rep").alias("doc_id"), "keys"), "doc_id"))
     x, y = m.where(~F.col("inner")).alias("x"), m.alias("y")
     far = 1 - percent / 100 + 1e-9
     fits = ((F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
             & (F.col("y.inner") | (F.col("x.doc_id") < F.col("y.doc_id")))
             & close_enough("x.n", "y.n", percent)
-            & (F.abs(F.coalesce(F.col("x.d") - F.col("y.d"), F.lit(0.0))) <= far))
+            & (F.abs(F.coalesce(F.col("x.d") - F.col("y.d"), F.lit(0.0))) <= far)
+            & may_agree("x.sketch", "y.sketch", percent)
+            & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))  # each pair in one bucket
     pairs = x.join(y, fits).select(F.least("x.doc_id", "y.doc_id").alias("a"),
                                    F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     return pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
@@ -231,13 +260,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Two texts are linked where 100 * intersection >= percent * union of their
     sets of ``width``-word shingles.  ``bands`` x ``rows`` <= 256 bins."""
-    if bands * rows > BINS:
-        raise ValueError(f"bands x rows must be at most {BINS}")
+    if bands * rows > BINS or centre_rounds < 1:
+        raise ValueError(f"bands x rows must be at most {BINS}, centre_rounds at least 1")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sigs = save(signature_table(docs, width, bands, rows), "signatures")
-    classes = (sigs.where("n > 0 and doc_id is not null").groupBy("set_key")
-               .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-                    F.first("keys").alias("keys")))
+    classes = save(sigs.where("n > 0 and doc_id is not null").groupBy("set_key")
+                   .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+                        F.first("keys").alias("keys")), "classes")
     buckets = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = save(buckets.join(shared, "key"), "buckets")
@@ -246,7 +275,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     seen, comps = None, None
     for turn in range(centre_rounds + 1):
         spanning = bucket_components(members, comps)
-        pairs = star_pairs(spanning, percent, turn) if turn < centre_rounds else remaining_pairs(spanning, seen, percent)
+        pairs = star_pairs(spanning, percent, turn) if turn < centre_rounds else remaining_pairs(
+            spanning, seen, sets, classes, percent)
         if seen is not None and turn < centre_rounds:
             pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
         found = save(confirm(pairs, sets), "confirmed")
