@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 
-# rows one window task ranks at most (per group bucket)
+# rows one window task ranks at most (dense global indexes)
 ROWS_PER_BUCKET = 1 << 20
 
 
@@ -25,39 +25,26 @@ def group_counts(df: DataFrame, group_cols: Sequence[str], name: str = "n_group"
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(name))
 
 
-def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Size of the largest group (one small aggregate job; a scalar to the driver)."""
-    c = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c")) if group_cols else df.agg(F.count(F.lit(1)).alias("__c"))
-    return int(c.agg(F.max("__c")).first()[0] or 0)
+def task_count(df: DataFrame) -> int:
+    """Into how many tasks the session deals a shuffle."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucketed_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  bucket: Column, out: str = "rank", max_group: int | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  bucket: Column, out: str = "rank", count_col: str | None = None) -> DataFrame:
     """row_number() over (partition by group_cols order by order_cols), computed
-    per (group, bucket); ``bucket`` must be non-decreasing along the order.
-
-    When every group fits one task (``max_group`` <= rows_per_bucket, measured
-    if not given) the plain window is used: salting is only paid for when a
-    group is actually larger than one task should sort."""
+    per (group, bucket); ``bucket`` must be non-decreasing along the order.  Also
+    the group's size, if ``count_col`` is given."""
     group_cols = list(group_cols)
-    if max_group is None:
-        max_group = largest_group(df, group_cols)
-    if max_group <= rows_per_bucket:
-        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(*order_cols)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
     d = df.withColumn("__b", bucket.cast("long"))
-    w = Window.partitionBy(*group_cols, "__b").orderBy(*order_cols)
-    ranked = d.withColumn("__r0", F.row_number().over(w))
+    ranked = d.withColumn("__r0", F.row_number().over(Window.partitionBy(*group_cols, "__b").orderBy(*order_cols)))
     per_bucket = d.groupBy(*group_cols, "__b").agg(F.count(F.lit(1)).alias("__bn"))
-    wb = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__b") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*group_cols, "__b", F.coalesce(F.sum("__bn").over(wb), F.lit(0)).alias("__off"))
-    return (
-        ranked.join(offsets, group_cols + ["__b"])
-        .withColumn(out, (F.col("__off") + F.col("__r0")).cast("long"))
-        .drop("__b", "__r0", "__off")
-    )
+    whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    offsets = per_bucket.select(
+        *group_cols, "__b", (F.sum("__bn").over(whole.orderBy("__b")) - F.col("__bn")).alias("__off"),
+        *([F.sum("__bn").over(whole).alias(count_col)] if count_col else []))
+    res = ranked.join(offsets, [*group_cols, "__b"]).withColumn(out, (F.col("__off") + F.col("__r0")).cast("long"))
+    return res.drop("__b", "__r0", "__off")
 
 
 def hash_rank(
@@ -67,43 +54,27 @@ def hash_rank(
     key_cols: Sequence[str],
     out: str = "rank",
     count_col: str | None = "n_group",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group's seeded shuffle.
 
     Order is ``uniform(seed, *key_cols)`` then the keys (tie-break).  Also adds
-    the group size as ``count_col`` (kept if a name is given).
+    the group size as ``count_col`` (kept if a name is given).  Every group,
+    large or small, is dealt into as many buckets as a shuffle has tasks, so one
+    author with a third of all rows is ranked by all of them.
     """
-    key_cols = list(key_cols)
+    key_cols, group_cols = list(key_cols), list(group_cols)
     whole = not group_cols
-    if whole:  # one group: a constant key, its one-row count table is broadcast
-        df = df.withColumn("__all", F.lit(0))
-    group_cols = list(group_cols) or ["__all"]
-    gn = "__gn"
     d = df.withColumn("__u", uniform(seed, *key_cols))
-    counts = group_counts(df, group_cols, gn)
-    biggest = int(counts.agg(F.max(gn)).first()[0] or 0)
-    if biggest <= rows_per_bucket:
-        # every group fits one task: the plain window (no salting needed)
-        w = Window.partitionBy(*group_cols).orderBy("__u", *key_cols)
-        res = d.withColumn(out, F.row_number().over(w).cast("long"))
-        if count_col:
-            res = res.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
-        return res.drop("__u", *(["__all"] if whole else []))
-    d = d.join(F.broadcast(counts), group_cols) if whole else d.join(counts, group_cols)
-    buckets = F.greatest(F.lit(1), F.ceil(F.col(gn) / F.lit(float(rows_per_bucket))))
-    res = bucketed_rank(d, group_cols, ["__u", *key_cols], F.floor(F.col("__u") * buckets), out,
-                        max_group=biggest, rows_per_bucket=rows_per_bucket)
-    if count_col:
-        res = res.withColumnRenamed(gn, count_col)
-    return res.drop("__u", *([] if count_col else [gn]), *(["__all"] if whole else []))
-
-
-def int_rank(df: DataFrame, group_cols: Sequence[str], key: str, out: str = "rank",
-             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Rank by a non-negative integer key (e.g. a draw number), salted by key ranges."""
-    return bucketed_rank(df, group_cols, [key], F.floor(F.col(key) / F.lit(rows_per_bucket)), out,
-                         rows_per_bucket=rows_per_bucket)
+    if whole:
+        d, group_cols = d.withColumn("__all", F.lit(0)), ["__all"]
+    buckets = F.lit(float(task_count(df)))
+    res = bucketed_rank(d, group_cols, ["__u", *key_cols], F.floor(F.col("__u") * buckets), out, count_col)
+    return res.drop("__u", *(["__all"] if whole else []))
+
+
+def int_rank(df: DataFrame, group_cols: Sequence[str], key: str, out: str = "rank") -> DataFrame:
+    """Rank by a non-negative integer key, salted by key ranges."""
+    return bucketed_rank(df, group_cols, [key], F.floor(F.col(key) / F.lit(ROWS_PER_BUCKET)), out)
 
 
 def global_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx", rows_per_bucket: int = ROWS_PER_BUCKET,
@@ -119,5 +90,5 @@ def global_index(df: DataFrame, order_cols: Sequence[str], out: str = "idx", row
         return df.withColumn(out, (F.row_number().over(w) - 1 + base).cast("long"))
     parts = max(2, -(-n // rows_per_bucket) * 2)
     d = df.repartitionByRange(parts, *order_cols).withColumn("__pid", F.spark_partition_id())
-    r = bucketed_rank(d, [], list(order_cols), F.col("__pid"), "__gi", max_group=n + 1, rows_per_bucket=rows_per_bucket)
+    r = bucketed_rank(d, [], list(order_cols), F.col("__pid"), "__gi")
     return r.withColumn(out, (F.col("__gi") - 1 + base).cast("long")).drop("__gi", "__pid")

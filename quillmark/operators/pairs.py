@@ -1,33 +1,33 @@
 """Pair generation: the join layer.
 
 No generator self-joins an author group or enumerates all pairs of a group.
-Pairs are *drawn*: a draw is a row of ``sequence`` arithmetic that picks pair
-or document positions from seeded hashes, then two equi-joins to the indexed
-documents ``(corpus_id, author, pos)`` turn positions into doc ids.  Draw
-counts are proportional to the requested pair count, so work and output are
-bounded by the request, never by a group's size squared.  When a request comes
-close to the whole capacity (capacity <= 4 * request + 16), the candidate set
-itself is at most a small multiple of the request and is enumerated instead.
+The pairs that a request may draw from are numbered, and the request is split
+into quotas over groups (or pairs of groups) that add up to it exactly.  A quota
+of t numbers out of P is drawn by cutting [0, P) into t strata and taking one
+seeded number of each: distinct by construction, so a request is met without
+rejected draws, at any ratio of request to capacity.  Two equi-joins to the
+indexed documents turn numbers into doc ids.  Work follows the request, never a
+group's size squared.
 
 Selection rules (all reproducible from the seed):
   * positives, round robin (J2): per-group quotas by water-filling on the group
-    table (one pair per group per round, groups in label order), then a uniform
-    sample of the quota inside each group;
-  * positives, random (J3) and verification coordinates (J10): uniform over
-    the positive pairs of the corpus;
-  * negatives (J4): draw two distinct groups uniformly, then one doc of each
-    uniformly; duplicates are rejected in draw order (successive sampling);
-  * uniform negatives (J10): two uniform docs, kept when authors differ.
-The first ``request`` distinct pairs in draw order are kept.
+    table (one pair per group per round, groups in label order);
+  * positives, random (J3) and verification coordinates (J10): quotas in
+    proportion to the groups' numbers of pairs;
+  * negatives (J4): every pair of groups alike; where the request exceeds their
+    number, by water-filling over them, else one pair each of as many pairs of
+    groups, drawn by strata;
+  * uniform negatives (J10): quotas in proportion to a group's number of pairs
+    with later groups.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hkey, uniform, uniform_of_hex
+from ..functions.hashing import uniform
 from ..session import keep
-from .grouping import hash_rank, int_rank
+from .grouping import hash_rank, task_count
 
 SEED = 42
 CHUNK = 1 << 16
@@ -36,22 +36,51 @@ CHUNK = 1 << 16
 # --------------------------------------------------------------------------- helpers
 
 def _explode_range(df: DataFrame, count_col: str, out: str) -> DataFrame:
-    """One row per value 0..count-1 for every input row (chunked generation)."""
+    """One row per value 0..count-1 for every input row; chunks of the range are
+    dealt over the tasks before they are written out."""
     d = df.where(F.col(count_col) > 0)
-    d = d.withColumn("__ch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count_col) - 1) / CHUNK).cast("long"))))
+    d = d.withColumn("__ch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count_col} - 1) div {CHUNK}"))))
     lo = F.col("__ch") * CHUNK
     hi = F.least(lo + CHUNK, F.col(count_col).cast("long")) - 1
+    d = d.repartition(task_count(df), *[c for c in d.columns])
     return d.withColumn(out, F.explode(F.sequence(lo, hi))).drop("__ch")
 
 
 def decode_pair(k: Column) -> tuple[Column, Column]:
-    """Pair index k in [0, n(n-1)/2) -> 0-based positions (i, j), i < j
-    (pairs listed (0,1), (0,2), (1,2), (0,3), ...)."""
-    j0 = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(8.0) * k.cast("double"))) / 2).cast("long")
-    j1 = F.when(j0 * (j0 - 1) / 2 > k, j0 - 1).otherwise(j0)
-    j = F.when((j1 + 1) * j1 / 2 <= k, j1 + 1).otherwise(j1)
-    i = (k - j * (j - 1) / 2).cast("long")
-    return i, j
+    """Pair index k in [0, n(n-1)/2) -> 0-based positions (i, j), i < j (pairs
+    listed (0,1), (0,2), (1,2), (0,3), ...).  The square root is a first
+    guess, at most one off for any long k; a step in whole numbers corrects it."""
+    def below(j: Column) -> Column:  # pairs before (0, j), in whole numbers
+        return F.shiftright(j * (j - 1), 1)
+
+    guess = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(8.0) * k.cast("double"))) / 2).cast("long")
+    j = F.when(below(guess) > k, guess - 1).when(below(guess + 1) <= k, guess + 1).otherwise(guess)
+    return k - below(j), j
+
+
+def strata(quotas: DataFrame, size: str, take: str, seed, keys: list[str]) -> DataFrame:
+    """``take`` distinct numbers k of [0, ``size``) per row of ``quotas``, one from
+    each of as many strata; ``d`` is the stratum (0-based)."""
+    rows = _explode_range(quotas, take, "d")
+    q, r = F.expr(f"{size} div {take}"), F.col(size) % F.col(take)
+    width = q + (F.col("d") < r).cast("long")
+    inside = F.least(F.floor(uniform(seed, *keys, "d") * width).cast("long"), width - 1)
+    # made by a generator so that the hash is not repeated wherever k is used
+    return rows.withColumn("k", F.explode(F.array(F.col("d") * q + F.least(F.col("d"), r) + inside)))
+
+
+def proportional_quotas(groups: DataFrame, size: str, req: str) -> DataFrame:
+    """t per group: its share of ``req`` by ``size``, rounded along the running
+    total in label order, so that the quotas of a corpus add up exactly; ``before``
+    is the sum of the quotas of earlier groups."""
+    run = Window.partitionBy("corpus_id").orderBy("author")
+    every = Window.partitionBy("corpus_id")
+    upto = F.sum(F.col(size).cast("decimal(38,0)")).over(run)
+    g = groups.withColumn("__upto", upto).withColumn("__cap", F.sum(F.col(size).cast("decimal(38,0)")).over(every))
+    g = g.where(F.col("__cap") > 0)
+    share = f"cast({req} as decimal(19,0)) * cast(%s as decimal(19,0)) div __cap"
+    g = g.withColumn("before", F.expr(share % f"(__upto - {size})")).withColumn("t", F.expr(share % "__upto") - F.col("before"))
+    return g.drop("__upto", "__cap")
 
 
 def with_corpus(corpus: DataFrame, part: str | None) -> DataFrame:
@@ -60,38 +89,48 @@ def with_corpus(corpus: DataFrame, part: str | None) -> DataFrame:
 
 
 def indexed_docs(corpus: DataFrame, seed=SEED, part: str | None = None) -> DataFrame:
-    """(corpus_id, author, doc_id, pos, n_docs, gpos, n_corpus): positions in the
-    seeded shuffle of the author group (pos) and of the whole corpus (gpos)."""
+    """(corpus_id, author, doc_id, pos, n_docs): position in the seeded shuffle of
+    the author group."""
     c = with_corpus(corpus.select("doc_id", "author", *([part] if part else [])), part).select("corpus_id", "author", "doc_id")
-    c = hash_rank(c, ["corpus_id", "author"], seed, ["doc_id"], out="pos", count_col="n_docs")
-    c = hash_rank(c, ["corpus_id"], f"{seed}g", ["doc_id"], out="gpos", count_col="n_corpus")
     # read by every draw join below: keep it (memory and disk; lost blocks are recomputed)
-    return keep(c)
+    return keep(hash_rank(c, ["corpus_id", "author"], seed, ["doc_id"], out="pos", count_col="n_docs"))
 
 
 def group_table(idx: DataFrame) -> DataFrame:
-    """(corpus_id, author, n, P, g, G): one row per group; g = label-order code."""
+    """(corpus_id, author, n, P, g, n_grp, upto): one row per group; g = label-order
+    code, upto = documents of this and the earlier groups."""
     g = idx.groupBy("corpus_id", "author").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("corpus_id").orderBy("author")
     return (
-        g.withColumn("P", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+        g.withColumn("P", F.expr("case when n % 2 = 0 then (n div 2) * (n - 1) else n * ((n - 1) div 2) end"))
         .withColumn("g", (F.row_number().over(w) - 1).cast("long"))
         .withColumn("n_grp", F.count(F.lit(1)).over(Window.partitionBy("corpus_id")))
+        .withColumn("upto", F.sum("n").over(w))
     )
 
 
+def _wide(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,0)")
+
+
+def _long(doubled: Column, name: str) -> Column:
+    """Half of an even count; a capacity beyond a long is held at its end."""
+    return F.least(doubled / 2, F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long").alias(name)
+
+
+def capacity_columns(pos_n: Column) -> list[Column]:
+    """max_pos and max_neg over groups of n documents, pos_n of which may pair up."""
+    return [_long(F.sum(_wide(pos_n) * _wide(pos_n - 1)), "max_pos"),
+            _long(_wide(F.sum("n")) * _wide(F.sum("n")) - F.sum(_wide("n") * _wide("n")), "max_neg")]
+
+
 def pair_capacity(corpus: DataFrame, part: str | None = None, positive_label: str | None = None) -> DataFrame:
     """Per corpus, max positives sum n(n-1)/2 (only the positive class in a
     verification task) and max negatives ((sum n)^2 - sum n^2) / 2."""
     c = with_corpus(corpus, part)
     g = c.groupBy("corpus_id", "author").agg(F.count(F.lit(1)).alias("n"))
     pos_n = F.when(F.col("author") == positive_label, F.col("n")).otherwise(0) if positive_label is not None else F.col("n")
-    return g.groupBy("corpus_id").agg(
-        F.sum(F.col("n")).alias("n_docs"),
-        F.count(F.lit(1)).alias("n_groups"),
-        F.sum(pos_n * (pos_n - 1) / 2).cast("long").alias("max_pos"),
-        ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("max_neg"),
-    )
+    return g.groupBy("corpus_id").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_groups"), *capacity_columns(pos_n))
 
 
 def pair_request(capacity: DataFrame, pos_request: int, neg_request: int, max_request: int = -1) -> DataFrame:
@@ -101,8 +140,8 @@ def pair_request(capacity: DataFrame, pos_request: int, neg_request: int, max_re
     neg = F.lit(neg_request).cast("long") if neg_request != -1 else F.least(pos, F.col("max_neg"))
     if max_request != -1:
         pos, neg = F.least(pos, F.lit(max_request)), F.least(neg, F.lit(max_request))
-    chk_pos = F.when(F.lit(pos_request) > F.col("max_pos"), F.raise_error(F.lit("the requested positive pairs exceed the number of combinations")))
-    chk_neg = F.when(F.lit(neg_request) > F.col("max_neg"), F.raise_error(F.lit("the requested negative pairs exceed the number of combinations")))
+    chk_pos = F.when(F.lit(pos_request) > F.col("max_pos"), F.raise_error(F.lit("fewer positive pairs exist than were asked for")))
+    chk_neg = F.when(F.lit(neg_request) > F.col("max_neg"), F.raise_error(F.lit("fewer negative pairs exist than were asked for")))
     return capacity.select(
         "corpus_id", "max_pos", "max_neg",
         F.coalesce(chk_pos.cast("long"), pos.cast("long")).alias("pos_req"),
@@ -110,13 +149,6 @@ def pair_request(capacity: DataFrame, pos_request: int, neg_request: int, max_re
     )
 
 
-def _first_by_draw(cands: DataFrame, keys: list[str], req_col: str, out: str = "rk") -> DataFrame:
-    """Dedupe candidates on ``keys`` (first draw wins) and keep the first ``req`` per corpus."""
-    first = cands.groupBy("corpus_id", *keys).agg(F.min("d").alias("d"), *[F.first(c).alias(c) for c in cands.columns if c not in ("corpus_id", "d", *keys)])
-    r = int_rank(first, ["corpus_id"], "d", out)
-    return r.where(F.col(out) <= F.col(req_col))
-
-
 def _order_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("a", F.least(x, y)).withColumn("b", F.greatest(x, y))
 
@@ -166,160 +198,83 @@ def round_robin_quotas(groups: DataFrame, req: DataFrame) -> DataFrame:
     )
 
 
-def sample_within_groups(quotas: DataFrame, seed=SEED, tag: str = "rr") -> DataFrame:
-    """Uniform sample of ``t`` distinct pair indices k in [0, P) per group, with
-    its rank ``rk`` (1..t) in the seeded order."""
-    q = quotas.where(F.col("t") > 0).select("corpus_id", "author", "P", "t")
-    small = F.col("P") <= 4 * F.col("t") + 16
-    # enumerate: P <= 4t + 16 candidates
-    e = _explode_range(q.where(small), "P", "k")
-    e = hash_rank(e, ["corpus_id", "author"], f"{seed}|{tag}e", ["corpus_id", "author", "k"], out="rk", count_col=None)
-    e = e.where(F.col("rk") <= F.col("t")).select("corpus_id", "author", "k", "rk")
-    # draw: 3t + 32 draws with replacement, first t distinct in draw order
-    dq = q.where(~small).withColumn("__D", 3 * F.col("t") + 32)
-    d = _explode_range(dq, "__D", "d")
-    u = uniform(f"{seed}|{tag}d", "corpus_id", "author", "d")
-    d = d.withColumn("k", F.least(F.floor(u * F.col("P")).cast("long"), F.col("P") - 1))
-    d = d.groupBy("corpus_id", "author", "k").agg(F.min("d").alias("d"), F.first("t").alias("t"))
-    d = int_rank(d, ["corpus_id", "author"], "d", "rk").where(F.col("rk") <= F.col("t")).select("corpus_id", "author", "k", "rk")
-    return e.unionByName(d)
-
-
 def positive_pairs_round_robin(idx: DataFrame, req: DataFrame, seed=SEED, positive_label: str | None = None) -> DataFrame:
-    """J1 + J2: (corpus_id, a, b, same=1, rk) with ``rk`` the round-robin order."""
+    """J1 + J2: (corpus_id, author, a, b, same=1, round)."""
     groups = group_table(idx)
     if positive_label is not None:
         groups = groups.where(F.col("author") == positive_label)
-    q = round_robin_quotas(groups, req)
-    s = sample_within_groups(q, seed, "rr")
+    q = round_robin_quotas(groups, req).where(F.col("t") > 0)
+    s = strata(q.select("corpus_id", "author", "P", "t"), "P", "t", f"{seed}|rr", ["corpus_id", "author"])
+    return _positive_docs(s, idx).select("corpus_id", "author", "a", "b", F.lit(1).alias("same"), (F.col("d") + 1).alias("round"))
+
+
+def _positive_docs(s: DataFrame, idx: DataFrame) -> DataFrame:
     i, j = decode_pair(F.col("k"))
     s = s.withColumn("__pi", i + 1).withColumn("__pj", j + 1).withColumn("__aj", F.col("author"))
     s = _attach_doc(s, idx, "author", "__pi", "__x")
     s = _attach_doc(s, idx, "__aj", "__pj", "__y")
-    s = _order_pair(s, "__x", "__y")
-    return s.select("corpus_id", "author", "a", "b", F.lit(1).alias("same"), F.col("rk").alias("round"))
+    return _order_pair(s, "__x", "__y")
 
 
 # ----------------------------------------------------------------- J3 / J10 uniform
 
 def positive_pairs_uniform(idx: DataFrame, req: DataFrame, seed=SEED, req_col: str = "pos_req",
                            positive_label: str | None = None) -> DataFrame:
-    """Uniform sample of ``req_col`` distinct positive pairs per corpus."""
+    """Sample of ``req_col`` distinct positive pairs per corpus, spread evenly over all."""
     groups = group_table(idx)
     if positive_label is not None:
         groups = groups.where(F.col("author") == positive_label)
-        idx = idx.join(groups.select("corpus_id", "author"), ["corpus_id", "author"], "left_semi")
-    stats = groups.groupBy("corpus_id").agg(
-        F.sum("P").alias("__cap"), F.max("n").alias("__nmax"), F.sum("n").alias("__ntot"),
-    ).join(req.select("corpus_id", F.col(req_col).alias("__req")), "corpus_id").where(F.col("__req") > 0)
-    small = F.col("__cap") <= 4 * F.col("__req") + 16
-    # enumerate all positives of small-capacity corpora
-    eg = groups.join(stats.where(small).select("corpus_id", "__req"), "corpus_id")
-    e = _explode_range(eg, "P", "k")
-    e = hash_rank(e, ["corpus_id"], f"{seed}|upe", ["corpus_id", "author", "k"], out="rk", count_col=None)
-    e = e.where(F.col("rk") <= F.col("__req"))
-    i, j = decode_pair(F.col("k"))
-    e = e.withColumn("__pi", i + 1).withColumn("__pj", j + 1).withColumn("__aj", F.col("author"))
-    e = _attach_doc(e, idx, "author", "__pi", "__x")
-    e = _attach_doc(e, idx, "__aj", "__pj", "__y")
-    e = _order_pair(e, "__x", "__y").select("corpus_id", "a", "b", "rk")
-    # draws: x uniform over the corpus, y uniform in x's group, accepted with
-    # probability (n - 1) / (n_max - 1): uniform over positive pairs
-    st = stats.where(~small).withColumn("__acc", (F.col("__cap") * 2) / (F.col("__ntot") * (F.col("__nmax") - 1)))
-    st = st.withColumn("__D", F.ceil(F.col("__req") / F.col("__acc") * 1.5 + 64).cast("long"))
-    d = _explode_range(st, "__D", "d")
-    h = hkey(f"{seed}|upd", "corpus_id", "d")
-    gidx = idx.select("corpus_id", F.col("gpos").alias("__gx"), F.col("author").alias("__ax"), F.col("pos").alias("__px"),
-                      F.col("n_docs").alias("__n"), F.col("doc_id").alias("__x"))
-    d = d.withColumn("__gx", (F.floor(uniform_of_hex(h, 1) * F.col("__ntot")) + 1).cast("long"))
-    d = d.withColumn("__u2", uniform_of_hex(h, 14)).withColumn("__u3", uniform(f"{seed}|upa", "corpus_id", "d"))
-    d = d.join(gidx, ["corpus_id", "__gx"])
-    d = d.where((F.col("__n") > 1) & (F.col("__u3") * (F.col("__nmax") - 1) <= (F.col("__n") - 1)))
-    y0 = (F.floor(F.col("__u2") * (F.col("__n") - 1)) + 1).cast("long")
-    d = d.withColumn("__py", F.when(y0 >= F.col("__px"), y0 + 1).otherwise(y0))
-    d = _attach_doc(d, idx, "__ax", "__py", "__y")
-    d = _order_pair(d, "__x", "__y").select("corpus_id", "a", "b", "d", "__req")
-    d = _first_by_draw(d, ["a", "b"], "__req").select("corpus_id", "a", "b", "rk")
-    return e.unionByName(d).withColumn("same", F.lit(1))
+    g = groups.join(req.select("corpus_id", F.col(req_col).alias("__req")), "corpus_id")
+    q = proportional_quotas(g, "P", "__req").where(F.col("t") > 0)
+    s = strata(q.select("corpus_id", "author", "P", "t", "before"), "P", "t", f"{seed}|up", ["corpus_id", "author"])
+    return _positive_docs(s, idx).select("corpus_id", "a", "b", (F.col("before") + F.col("d") + 1).alias("rk"), F.lit(1).alias("same"))
 
 
 def negative_pairs_uniform(idx: DataFrame, req: DataFrame, seed=SEED, req_col: str = "neg_req") -> DataFrame:
-    """Uniform sample of ``req_col`` distinct different-author pairs per corpus."""
+    """Sample of ``req_col`` distinct different-author pairs per corpus, spread evenly
+    over all: a group's quota covers its pairs with documents of later groups."""
     groups = group_table(idx)
-    stats = groups.groupBy("corpus_id").agg(
-        F.sum("n").alias("__ntot"), F.sum(F.col("n") * F.col("n")).alias("__sq"),
-    ).join(req.select("corpus_id", F.col(req_col).alias("__req")), "corpus_id").where(F.col("__req") > 0)
-    stats = stats.withColumn("__cap", ((F.col("__ntot") * F.col("__ntot") - F.col("__sq")) / 2).cast("long"))
-    small = F.col("__cap") <= 4 * F.col("__req") + 16
-    e = _enumerate_negatives(groups, idx, stats.where(small), f"{seed}|une", weighted=False)
-    st = stats.where(~small).withColumn("__acc", F.lit(1.0) - F.col("__sq") / (F.col("__ntot") * F.col("__ntot")))
-    st = st.withColumn("__D", F.ceil(F.col("__req") / F.col("__acc") * 1.5 + 64).cast("long"))
-    d = _explode_range(st, "__D", "d")
-    d = d.withColumn("__gx", (F.floor(uniform(f"{seed}|unx", "corpus_id", "d") * F.col("__ntot")) + 1).cast("long"))
-    d = d.withColumn("__gy", (F.floor(uniform(f"{seed}|uny", "corpus_id", "d") * F.col("__ntot")) + 1).cast("long"))
-    gx = idx.select("corpus_id", F.col("gpos").alias("__gx"), F.col("author").alias("__ax"), F.col("doc_id").alias("__x"))
-    gy = idx.select("corpus_id", F.col("gpos").alias("__gy"), F.col("author").alias("__ay"), F.col("doc_id").alias("__y"))
-    d = d.join(gx, ["corpus_id", "__gx"]).join(gy, ["corpus_id", "__gy"]).where(F.col("__ax") != F.col("__ay"))
-    d = _order_pair(d, "__x", "__y").select("corpus_id", "a", "b", "d", "__req")
-    d = _first_by_draw(d, ["a", "b"], "__req").select("corpus_id", "a", "b", "rk")
-    return e.unionByName(d).withColumn("same", F.lit(0))
-
-
-def _enumerate_negatives(groups: DataFrame, idx: DataFrame, stats: DataFrame, seed, weighted: bool) -> DataFrame:
-    """All different-author pairs of small-capacity corpora (capacity <= 4 req + 16),
-    ranked by a seeded key; weighted keys follow the group-then-doc draw."""
-    g = groups.join(stats.select("corpus_id", "__req"), "corpus_id")
-    g1 = g.select("corpus_id", "__req", "n_grp", F.col("g").alias("g1"), F.col("author").alias("__ax"), F.col("n").alias("n1"))
-    g1 = g1.withColumn("g2", F.explode(F.sequence(F.col("g1") + 1, F.greatest(F.col("n_grp") - 1, F.col("g1") + 1))))
-    g1 = g1.where(F.col("g2") < F.col("n_grp"))
-    g2 = g.select("corpus_id", F.col("g").alias("g2"), F.col("author").alias("__ay"), F.col("n").alias("n2"))
-    gp = g1.join(g2, ["corpus_id", "g2"]).withColumn("__m", F.col("n1") * F.col("n2"))
-    e = _explode_range(gp, "__m", "k")
-    e = e.withColumn("__px", (F.floor(F.col("k") / F.col("n2")) + 1).cast("long")).withColumn("__py", (F.col("k") % F.col("n2") + 1).cast("long"))
-    e = _attach_doc(e, idx, "__ax", "__px", "__x")
-    e = _attach_doc(e, idx, "__ay", "__py", "__y")
-    e = _order_pair(e, "__x", "__y")
-    u = uniform(seed, "corpus_id", "a", "b")
-    if weighted:
-        # Efraimidis-Spirakis: successive sampling with weight 1 / (n1 * n2)
-        e = e.withColumn("__key", -F.log(u) * F.col("n1") * F.col("n2"))
-    else:
-        e = e.withColumn("__key", u)
-    w = Window.partitionBy("corpus_id").orderBy("__key", "a", "b")
-    # the candidate set is at most 4 * request + 16 rows per corpus
-    e = e.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= F.col("__req"))
-    return e.select("corpus_id", "a", "b", "rk")
+    total = groups.groupBy("corpus_id").agg(F.sum("n").alias("__n"))
+    g = groups.join(req.select("corpus_id", F.col(req_col).alias("__req")), "corpus_id").join(total, "corpus_id")
+    g = g.withColumn("__later", F.col("__n") - F.col("upto")).withColumn("M", F.col("n") * F.col("__later"))
+    q = proportional_quotas(g, "M", "__req").where(F.col("t") > 0)
+    s = strata(q.select("corpus_id", "author", "M", "t", "before", "__later", "upto"), "M", "t", f"{seed}|un", ["corpus_id", "author"])
+    s = s.withColumn("__px", F.expr("k div __later") + 1).withColumn("__op", F.col("upto") + F.col("k") % F.col("__later") + 1)
+    s = _attach_doc(s, idx, "author", "__px", "__x")
+    starts = groups.select("corpus_id", "author", (F.col("upto") - F.col("n")).alias("__start"))
+    placed = idx.join(starts, ["corpus_id", "author"]).select(
+        "corpus_id", (F.col("__start") + F.col("pos")).alias("__op"), F.col("doc_id").alias("__y"))
+    s = _order_pair(s.join(placed, ["corpus_id", "__op"]), "__x", "__y")
+    return s.select("corpus_id", "a", "b", (F.col("before") + F.col("d") + 1).alias("rk"), F.lit(0).alias("same"))
 
 
 # ----------------------------------------------------------------- J4 negatives
 
 def negative_pairs(idx: DataFrame, req: DataFrame, seed=SEED, req_col: str = "neg_req") -> DataFrame:
-    """(corpus_id, a, b, same=0, rk): two distinct groups uniformly, then one
-    doc of each uniformly; the first ``req`` distinct pairs in draw order."""
+    """(corpus_id, a, b, same=0, rk): every pair of groups counts alike, and so
+    does every pair of documents of two groups; ``rk`` is the round in which a pair
+    of groups gives it."""
     groups = group_table(idx)
-    stats = groups.groupBy("corpus_id").agg(
-        F.sum("n").alias("__ntot"), F.sum(F.col("n") * F.col("n")).alias("__sq"), F.first("n_grp").alias("n_grp"),
-    ).join(req.select("corpus_id", F.col(req_col).alias("__req")), "corpus_id").where((F.col("__req") > 0) & (F.col("n_grp") > 1))
-    stats = stats.withColumn("__cap", ((F.col("__ntot") * F.col("__ntot") - F.col("__sq")) / 2).cast("long"))
-    small = F.col("__cap") <= 4 * F.col("__req") + 16
-    e = _enumerate_negatives(groups, idx, stats.where(small), f"{seed}|wne", weighted=True)
-    st = stats.where(~small).withColumn("__D", (F.col("__req") * 2 + 64).cast("long"))
-    d = _explode_range(st, "__D", "d")
-    h = hkey(f"{seed}|wnd", "corpus_id", "d")
-    g1 = F.floor(uniform_of_hex(h, 1) * F.col("n_grp")).cast("long")
-    g2 = F.floor(uniform_of_hex(h, 14) * (F.col("n_grp") - 1)).cast("long")
-    d = d.withColumn("g1", g1).withColumn("__g2", g2).withColumn("g2", F.when(F.col("__g2") >= F.col("g1"), F.col("__g2") + 1).otherwise(F.col("__g2")))
+    stats = groups.groupBy("corpus_id").agg(F.first("n_grp").alias("n_grp"))
+    stats = stats.join(req.select("corpus_id", F.col(req_col).alias("__req")), "corpus_id").where("__req > 0 and n_grp > 1")
+    stats = stats.withColumn("__gp", F.expr("case when n_grp % 2 = 0 then (n_grp div 2) * (n_grp - 1) else n_grp * ((n_grp - 1) div 2) end"))
+    stats = stats.withColumn("__e", F.least("__gp", "__req"))
+    e = strata(stats, "__gp", "__e", f"{seed}|ng", ["corpus_id"]).drop("d")
+    g1, g2 = decode_pair(F.col("k"))
+    e = e.select("corpus_id", "__req", g1.alias("g1"), g2.alias("g2"))
     gt = groups.select("corpus_id", "g", "author", "n")
-    d = d.join(gt.select("corpus_id", F.col("g").alias("g1"), F.col("author").alias("__ax"), F.col("n").alias("__n1")), ["corpus_id", "g1"])
-    d = d.join(gt.select("corpus_id", F.col("g").alias("g2"), F.col("author").alias("__ay"), F.col("n").alias("__n2")), ["corpus_id", "g2"])
-    h2 = hkey(f"{seed}|wnp", "corpus_id", "d")
-    d = d.withColumn("__px", (F.floor(uniform_of_hex(h2, 1) * F.col("__n1")) + 1).cast("long"))
-    d = d.withColumn("__py", (F.floor(uniform_of_hex(h2, 14) * F.col("__n2")) + 1).cast("long"))
-    d = _attach_doc(d, idx, "__ax", "__px", "__x")
-    d = _attach_doc(d, idx, "__ay", "__py", "__y")
-    d = _order_pair(d, "__x", "__y").select("corpus_id", "a", "b", "d", "__req")
-    d = _first_by_draw(d, ["a", "b"], "__req").select("corpus_id", "a", "b", "rk")
-    return e.unionByName(d).withColumn("same", F.lit(0))
+    e = e.join(gt.select("corpus_id", F.col("g").alias("g1"), F.col("author").alias("__ax"), F.col("n").alias("__n1")), ["corpus_id", "g1"])
+    e = e.join(gt.select("corpus_id", F.col("g").alias("g2"), F.col("author").alias("__ay"), F.col("n").alias("__n2")), ["corpus_id", "g2"])
+    label = F.concat_ws("|", F.lpad(F.col("g1").cast("string"), 12, "0"), F.lpad(F.col("g2").cast("string"), 12, "0"))
+    e = e.withColumn("P", F.col("__n1") * F.col("__n2")).withColumn("author", label)
+    want = stats.select("corpus_id", F.col("__req").alias("pos_req"))
+    q = round_robin_quotas(e.select("corpus_id", "author", "P", "__ax", "__ay", "__n2"), want).where(F.col("t") > 0)
+    s = strata(q, "P", "t", f"{seed}|np", ["corpus_id", "author"])
+    s = s.withColumn("__px", F.expr("k div __n2") + 1).withColumn("__py", F.col("k") % F.col("__n2") + 1)
+    s = _attach_doc(s, idx, "__ax", "__px", "__x")
+    s = _attach_doc(s, idx, "__ay", "__py", "__y")
+    s = _order_pair(s, "__x", "__y")
+    return s.select("corpus_id", "a", "b", (F.col("d") + 1).alias("rk"), F.lit(0).alias("same"))
 
 
 # ----------------------------------------------------------------- J5 / J8 driver

@@ -84,9 +84,14 @@ IDX_LS = f"""SELECT 'all' AS corpus_id, author, doc_id,
   count(*) OVER (PARTITION BY author) AS n_docs,
   row_number() OVER (ORDER BY {sql_uniform('42g', 'doc_id')}, doc_id) AS gpos,
   count(*) OVER () AS n_corpus FROM ({CORPUS_LS})"""
-GROUPS = """SELECT corpus_id, author, n, CAST(n * (n - 1) / 2 AS BIGINT) AS P,
+def groups_sql(idx: str) -> str:
+    return f"""SELECT corpus_id, author, n, CAST(n * (n - 1) / 2 AS BIGINT) AS P,
   row_number() OVER (PARTITION BY corpus_id ORDER BY author) - 1 AS g,
-  count(*) OVER (PARTITION BY corpus_id) AS n_grp FROM (SELECT corpus_id, author, count(*) AS n FROM idx GROUP BY corpus_id, author)"""
+  count(*) OVER (PARTITION BY corpus_id) AS n_grp,
+  CAST(sum(n) OVER (PARTITION BY corpus_id ORDER BY author) AS BIGINT) AS upto
+  FROM (SELECT corpus_id, author, count(*) AS n FROM {idx} GROUP BY corpus_id, author)"""
+
+
 CAP = """SELECT corpus_id, CAST(sum(n) AS BIGINT) AS n_docs, count(*) AS n_groups, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS max_pos,
   CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS max_neg FROM (
   SELECT 'all' AS corpus_id, author, count(*) AS n FROM ({src}) GROUP BY author) GROUP BY corpus_id"""
@@ -106,136 +111,103 @@ def decode_sql(k: str) -> tuple[str, str]:
     return i, j
 
 
+def strata_sql(src: str, size: str, take: str, seed: str, keys: tuple[str, ...]) -> str:
+    """``take`` numbers k of [0, size) per row of src, one per stratum d."""
+    u = sql_uniform(seed, *keys, "d")
+    return f"""SELECT *, CAST(d * q_ + least(d, r_) + least(CAST(floor({u} * w_) AS BIGINT), w_ - 1) AS BIGINT) AS k FROM (
+  SELECT *, q_ + CASE WHEN d < r_ THEN 1 ELSE 0 END AS w_ FROM (
+    SELECT *, CAST({size} // {take} AS BIGINT) AS q_, CAST({size} % {take} AS BIGINT) AS r_,
+      unnest(range(0, CAST({take} AS BIGINT))) AS d FROM {src} WHERE {take} > 0))"""
+
+
+def fill_sql(p: str, src: str) -> str:
+    """CTEs: water-filling quotas t of pos_req over src (corpus_id, author, P, pos_req); result {p}q."""
+    return f"""
+{p}f1 AS (SELECT *, count(*) OVER (PARTITION BY corpus_id) AS ng_, row_number() OVER (PARTITION BY corpus_id ORDER BY P, author) AS i_,
+  coalesce(sum(P) OVER (PARTITION BY corpus_id ORDER BY P, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp FROM {src}),
+{p}f2 AS (SELECT corpus_id, arg_min(cp, i_) AS cps, min(i_) AS i_s FROM {p}f1
+  WHERE cp + P + (ng_ - i_) * P >= pos_req GROUP BY corpus_id),
+{p}f3 AS (SELECT {p}f1.*, i_s, CAST(CASE WHEN i_s IS NULL THEN P + 1 ELSE ceil((pos_req - cps) / (ng_ - i_s + 1)) END AS BIGINT) AS lv_
+  FROM {p}f1 LEFT JOIN {p}f2 USING (corpus_id)),
+{p}f4 AS (SELECT *, least(P, greatest(lv_ - 1, 0)) AS full_, (P >= lv_ AND i_s IS NOT NULL) AS e_ FROM {p}f3),
+{p}f5 AS (SELECT *, pos_req - sum(full_) OVER (PARTITION BY corpus_id) AS rem_ FROM {p}f4),
+{p}q AS (SELECT *, CAST(full_ + CASE WHEN e_ AND row_number() OVER (PARTITION BY corpus_id, e_ ORDER BY author) <= rem_ THEN 1 ELSE 0 END AS BIGINT) AS t FROM {p}f5)"""
+
+
+def docs_sql(src: str, idx: str, ax: str, px: str, ay: str, py: str, cols: str) -> str:
+    return f"""SELECT {cols}, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM {src} s
+JOIN {idx} x ON x.corpus_id = s.corpus_id AND x.author = s.{ax} AND x.pos = {px}
+JOIN {idx} y ON y.corpus_id = s.corpus_id AND y.author = s.{ay} AND y.pos = {py}"""
+
+
 def rr_sql(pos_req, idx: str = IDX_LS, group_filter: str = "TRUE", with_clause: bool = True) -> str:
-    i, j = decode_sql("k")
-    u_e = sql_uniform("42|rre", "corpus_id", "author", "k")
-    u_d = sql_uniform("42|rrd", "corpus_id", "author", "d")
+    i, j = decode_sql("s.k")
     return f"""
-{"WITH " if with_clause else ""}idx AS ({idx}), grp AS ({GROUPS}),
-g0 AS (SELECT * EXCLUDE (n_grp), count(*) OVER (PARTITION BY corpus_id) AS n_grp FROM grp WHERE {group_filter}),
-g AS (SELECT *, least(sum(P) OVER (PARTITION BY corpus_id), {pos_req}) AS pos_req,
-  row_number() OVER (PARTITION BY corpus_id ORDER BY P, author) AS i_,
-  coalesce(sum(P) OVER (PARTITION BY corpus_id ORDER BY P, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cp
-  FROM g0),
-rst AS (SELECT corpus_id, arg_min(cp, i_) AS cps, min(i_) AS i_s FROM g
-  WHERE cp + P + (n_grp - i_) * P >= pos_req GROUP BY corpus_id),
-g2 AS (SELECT g.*, rst.cps, rst.i_s,
-  CAST(CASE WHEN rst.i_s IS NULL THEN P + 1 ELSE ceil((pos_req - rst.cps) / (n_grp - rst.i_s + 1)) END AS BIGINT) AS r_ FROM g LEFT JOIN rst USING (corpus_id)),
-g3 AS (SELECT *, least(P, greatest(r_ - 1, 0)) AS full_ FROM g2),
-g4 AS (SELECT *, pos_req - sum(full_) OVER (PARTITION BY corpus_id) AS rem, (P >= r_ AND i_s IS NOT NULL) AS e_ FROM g3),
-q AS (SELECT corpus_id, author, P, full_ + CASE WHEN e_ AND row_number() OVER (PARTITION BY corpus_id, e_ ORDER BY author) <= rem THEN 1 ELSE 0 END AS t FROM g4),
-sm AS (SELECT corpus_id, author, P, t FROM q WHERE t > 0 AND P <= 4 * t + 16),
-en AS (SELECT corpus_id, author, k, rk FROM (
-  SELECT corpus_id, author, k, t, row_number() OVER (PARTITION BY corpus_id, author ORDER BY {u_e}, corpus_id, author, k) AS rk
-  FROM (SELECT corpus_id, author, t, unnest(range(0, P)) AS k FROM sm)) WHERE rk <= t),
-dr0 AS (SELECT corpus_id, author, P, t, unnest(range(0, 3 * t + 32)) AS d FROM q WHERE t > 0 AND NOT (P <= 4 * t + 16)),
-dr1 AS (SELECT corpus_id, author, least(CAST(floor({u_d} * P) AS BIGINT), P - 1) AS k, min(d) AS d, any_value(t) AS t
-  FROM dr0 GROUP BY corpus_id, author, least(CAST(floor({u_d} * P) AS BIGINT), P - 1)),
-dr AS (SELECT corpus_id, author, k, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, author ORDER BY d) AS rk FROM dr1) WHERE rk <= t),
-s AS (SELECT * FROM en UNION ALL SELECT * FROM dr),
-s2 AS (SELECT s.*, {i} + 1 AS pi, {j} + 1 AS pj FROM s),
-rr_out AS (SELECT s2.corpus_id, s2.author, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, 1 AS same, s2.rk AS round
-FROM s2 JOIN idx x ON x.corpus_id = s2.corpus_id AND x.author = s2.author AND x.pos = s2.pi
-JOIN idx y ON y.corpus_id = s2.corpus_id AND y.author = s2.author AND y.pos = s2.pj)""" + (
+{"WITH " if with_clause else ""}idx AS ({idx}), grp AS ({groups_sql('idx')}),
+rr0 AS (SELECT corpus_id, author, P, least(sum(P) OVER (PARTITION BY corpus_id), {pos_req}) AS pos_req FROM grp WHERE {group_filter}),
+{fill_sql('rr', 'rr0')},
+rrk AS ({strata_sql('rrq', 'P', 't', '42|rr', ('corpus_id', 'author'))}),
+rr_out AS (SELECT corpus_id, author, a, b, 1 AS same, round FROM (
+  {docs_sql('rrk', 'idx', 'author', f'{i} + 1', 'author', f'{j} + 1', 's.corpus_id, s.author, s.d + 1 AS round')}))""" + (
         "\nSELECT * FROM rr_out" if with_clause else "")
 
 
 o("positive_pairs_round_robin", rr_sql(1500))
 
 
+def share_sql(src: str, size: str, req: str) -> str:
+    """Proportional quotas: t by running total, before = quotas of earlier groups."""
+    return f"""SELECT *, CAST(req_ * up_ // cap_ AS BIGINT) - before AS t FROM (
+  SELECT *, CAST(req_ * (up_ - {size}) // cap_ AS BIGINT) AS before FROM (
+    SELECT *, {req} AS req_, CAST(sum({size}) OVER (PARTITION BY corpus_id ORDER BY author) AS HUGEINT) AS up_,
+      CAST(sum({size}) OVER (PARTITION BY corpus_id) AS HUGEINT) AS cap_ FROM {src}) WHERE cap_ > 0)"""
+
+
 def uniform_pos_sql(seed: str, req: str, idx: str) -> str:
     """Twin of positive_pairs_uniform: (corpus_id, a, b, rk) for one request expression."""
-    i, j = decode_sql("k")
-    u_e = sql_uniform(f"{seed}|upe", "corpus_id", "author", "k")
-    h = sql_hkey(f"{seed}|upd", "corpus_id", "d")
-    u3 = sql_uniform(f"{seed}|upa", "corpus_id", "d")
+    i, j = decode_sql("s.k")
     return f"""
-idx AS ({idx}), grp AS ({GROUPS}),
-stats AS (SELECT corpus_id, sum(P) AS cap, max(n) AS nmax, sum(n) AS ntot, {req} AS req_ FROM grp GROUP BY corpus_id),
-st AS (SELECT * FROM stats WHERE req_ > 0),
-pe AS (SELECT corpus_id, a, b, rk FROM (
-  SELECT e.corpus_id, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b, e.rk, e.req_ FROM (
-    SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY {u_e}, corpus_id, author, k) AS rk FROM (
-      SELECT grp.corpus_id, grp.author, st.req_, unnest(range(0, grp.P)) AS k FROM grp JOIN st USING (corpus_id)
-      WHERE st.cap <= 4 * st.req_ + 16)) e
-  JOIN idx x ON x.corpus_id = e.corpus_id AND x.author = e.author AND x.pos = {i.replace('k', 'e.k')} + 1
-  JOIN idx y ON y.corpus_id = e.corpus_id AND y.author = e.author AND y.pos = {j.replace('k', 'e.k')} + 1
-  WHERE e.rk <= e.req_)),
-dd AS (SELECT corpus_id, ntot, nmax, req_, unnest(range(0, CAST(ceil(req_ / (cap * 2.0 / (ntot * (nmax - 1))) * 1.5 + 64) AS BIGINT))) AS d
-  FROM st WHERE NOT (cap <= 4 * req_ + 16)),
-dh AS (SELECT *, {h} AS h FROM dd),
-dx AS (SELECT dh.corpus_id, dh.d, dh.req_, x.author AS ax, x.pos AS px, x.n_docs AS n_, x.doc_id AS xd, dh.nmax,
-    {sql_uniform_of_hex('dh.h', 14)} AS u2, {u3.replace('corpus_id', 'dh.corpus_id').replace("CAST(d AS", "CAST(dh.d AS")} AS u3
-  FROM dh JOIN idx x ON x.corpus_id = dh.corpus_id AND x.gpos = CAST(floor({sql_uniform_of_hex('dh.h', 1)} * dh.ntot) + 1 AS BIGINT)),
-dy AS (SELECT dx.*, CAST(floor(u2 * (n_ - 1)) + 1 AS BIGINT) AS y0 FROM dx WHERE n_ > 1 AND u3 * (nmax - 1) <= (n_ - 1)),
-dz AS (SELECT dy.corpus_id, dy.d, dy.req_, least(dy.xd, y.doc_id) AS a, greatest(dy.xd, y.doc_id) AS b FROM dy
-  JOIN idx y ON y.corpus_id = dy.corpus_id AND y.author = dy.ax AND y.pos = CASE WHEN dy.y0 >= dy.px THEN dy.y0 + 1 ELSE dy.y0 END),
-df AS (SELECT corpus_id, a, b, min(d) AS d, any_value(req_) AS req_ FROM dz GROUP BY corpus_id, a, b),
-pd AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY d) AS rk FROM df) WHERE rk <= req_),
-pos_out AS (SELECT * FROM pe UNION ALL SELECT * FROM pd)"""
-
-
-def enum_neg_sql(seed: str, weighted: bool) -> str:
-    u = sql_uniform(seed, "corpus_id", "a", "b")
-    key = f"-ln({u}) * n1 * n2" if weighted else u
-    return f"""
-ne AS (SELECT corpus_id, a, b, rk FROM (
-  SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY {key}, a, b) AS rk FROM (
-    SELECT gp.corpus_id, gp.req_, gp.n1, gp.n2, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM (
-      SELECT g1.corpus_id, st.req_, g1.author AS ax, g1.n AS n1, g2.author AS ay, g2.n AS n2, unnest(range(0, g1.n * g2.n)) AS k
-      FROM grp g1 JOIN grp g2 ON g1.corpus_id = g2.corpus_id AND g2.g > g1.g
-      JOIN st ON st.corpus_id = g1.corpus_id WHERE st.cap <= 4 * st.req_ + 16) gp
-    JOIN idx x ON x.corpus_id = gp.corpus_id AND x.author = gp.ax AND x.pos = CAST(floor(gp.k / gp.n2) + 1 AS BIGINT)
-    JOIN idx y ON y.corpus_id = gp.corpus_id AND y.author = gp.ay AND y.pos = gp.k % gp.n2 + 1)) WHERE rk <= req_)"""
-
-
-def weighted_neg_sql(seed: str, req: str, idx: str) -> str:
-    h = sql_hkey(f"{seed}|wnd", "corpus_id", "d")
-    h2 = sql_hkey(f"{seed}|wnp", "corpus_id", "d")
+idx AS ({idx}), grp AS ({groups_sql('idx')}),
+up_t AS ({share_sql('grp', 'P', req)}),
+up_k AS ({strata_sql('up_t', 'P', 't', f'{seed}|up', ('corpus_id', 'author'))}),
+pos_out AS ({docs_sql('up_k', 'idx', 'author', f'{i} + 1', 'author', f'{j} + 1', 's.corpus_id, s.before + s.d + 1 AS rk')})"""
+
+
+def negative_sql(seed: str, req: str, idx: str, p: str = "n") -> str:
+    """Twin of negative_pairs; ``req`` is an expression over the groups of a corpus."""
+    g1, g2 = decode_sql("k")
     return f"""
-idx AS ({idx}), grp AS ({GROUPS}),
-stats AS (SELECT corpus_id, sum(n) AS ntot, sum(n * n) AS sq, any_value(n_grp) AS n_grp, {req} AS req_ FROM grp GROUP BY corpus_id),
-st AS (SELECT *, CAST((ntot * ntot - sq) / 2 AS BIGINT) AS cap FROM stats WHERE req_ > 0 AND n_grp > 1),
-{enum_neg_sql(f"{seed}|wne", True)},
-dd AS (SELECT corpus_id, n_grp, req_, unnest(range(0, CAST(req_ * 2 + 64 AS BIGINT))) AS d FROM st WHERE NOT (cap <= 4 * req_ + 16)),
-dh AS (SELECT *, {h} AS h, {h2} AS h2 FROM dd),
-dg AS (SELECT *, CAST(floor({sql_uniform_of_hex('h', 1)} * n_grp) AS BIGINT) AS g1,
-  CAST(floor({sql_uniform_of_hex('h', 14)} * (n_grp - 1)) AS BIGINT) AS g2_ FROM dh),
-dj AS (SELECT dg.corpus_id, dg.d, dg.req_, a1.author AS ax, a1.n AS n1, a2.author AS ay, a2.n AS n2, dg.h2 FROM dg
-  JOIN grp a1 ON a1.corpus_id = dg.corpus_id AND a1.g = dg.g1
-  JOIN grp a2 ON a2.corpus_id = dg.corpus_id AND a2.g = CASE WHEN dg.g2_ >= dg.g1 THEN dg.g2_ + 1 ELSE dg.g2_ END),
-dz AS (SELECT dj.corpus_id, dj.d, dj.req_, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM dj
-  JOIN idx x ON x.corpus_id = dj.corpus_id AND x.author = dj.ax AND x.pos = CAST(floor({sql_uniform_of_hex('dj.h2', 1)} * dj.n1) + 1 AS BIGINT)
-  JOIN idx y ON y.corpus_id = dj.corpus_id AND y.author = dj.ay AND y.pos = CAST(floor({sql_uniform_of_hex('dj.h2', 14)} * dj.n2) + 1 AS BIGINT)),
-df AS (SELECT corpus_id, a, b, min(d) AS d, any_value(req_) AS req_ FROM dz GROUP BY corpus_id, a, b),
-nd AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY d) AS rk FROM df) WHERE rk <= req_),
-neg_out AS (SELECT * FROM ne UNION ALL SELECT * FROM nd)"""
+{p}idx AS ({idx}), {p}grp AS ({groups_sql(f'{p}idx')}),
+{p}st AS (SELECT *, least(gp, req_) AS e FROM (SELECT corpus_id, any_value(n_grp) AS n_grp, CAST({req} AS BIGINT) AS req_,
+  CAST(any_value(n_grp) * (any_value(n_grp) - 1) / 2 AS BIGINT) AS gp FROM {p}grp GROUP BY corpus_id) WHERE req_ > 0 AND n_grp > 1),
+{p}e AS (SELECT corpus_id, req_, {g1} AS g1, {g2} AS g2 FROM ({strata_sql(f'{p}st', 'gp', 'e', f'{seed}|ng', ('corpus_id',))})),
+{p}c AS (SELECT e.corpus_id, e.req_ AS pos_req, u.author AS ax, v.author AS ay, v.n AS n2, u.n * v.n AS P,
+  concat_ws('|', lpad(CAST(e.g1 AS VARCHAR), 12, '0'), lpad(CAST(e.g2 AS VARCHAR), 12, '0')) AS author
+  FROM {p}e e JOIN {p}grp u ON u.corpus_id = e.corpus_id AND u.g = e.g1 JOIN {p}grp v ON v.corpus_id = e.corpus_id AND v.g = e.g2),
+{fill_sql(p, f'{p}c')},
+{p}k AS ({strata_sql(f'{p}q', 'P', 't', f'{seed}|np', ('corpus_id', 'author'))}),
+neg_out AS ({docs_sql(f'{p}k', f'{p}idx', 'ax', 's.k // s.n2 + 1', 'ay', 's.k % s.n2 + 1', 's.corpus_id, s.d + 1 AS rk')})"""
 
 
 def uniform_neg_sql(seed: str, req: str, idx: str) -> str:
-    ux = sql_uniform(f"{seed}|unx", "corpus_id", "d")
-    uy = sql_uniform(f"{seed}|uny", "corpus_id", "d")
     return f"""
-nidx AS ({idx}), ngrp AS (SELECT corpus_id, author, count(*) AS n FROM nidx GROUP BY corpus_id, author),
-nst0 AS (SELECT corpus_id, sum(n) AS ntot, sum(n * n) AS sq, {req} AS req_ FROM ngrp GROUP BY corpus_id),
-nst AS (SELECT *, CAST((ntot * ntot - sq) / 2 AS BIGINT) AS cap FROM nst0 WHERE req_ > 0),
-ndd AS (SELECT corpus_id, ntot, req_, unnest(range(0, CAST(ceil(req_ / (1.0 - sq / (ntot * ntot)) * 1.5 + 64) AS BIGINT))) AS d
-  FROM nst WHERE NOT (cap <= 4 * req_ + 16)),
-ndz AS (SELECT ndd.corpus_id, ndd.d, ndd.req_, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM ndd
-  JOIN nidx x ON x.corpus_id = ndd.corpus_id AND x.gpos = CAST(floor({ux.replace('corpus_id', 'ndd.corpus_id').replace('CAST(d AS', 'CAST(ndd.d AS')} * ndd.ntot) + 1 AS BIGINT)
-  JOIN nidx y ON y.corpus_id = ndd.corpus_id AND y.gpos = CAST(floor({uy.replace('corpus_id', 'ndd.corpus_id').replace('CAST(d AS', 'CAST(ndd.d AS')} * ndd.ntot) + 1 AS BIGINT)
-  WHERE x.author <> y.author),
-ndf AS (SELECT corpus_id, a, b, min(d) AS d, any_value(req_) AS req_ FROM ndz GROUP BY corpus_id, a, b),
-uneg_out AS (SELECT corpus_id, a, b, rk FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY d) AS rk FROM ndf) WHERE rk <= req_)"""
+nidx AS ({idx}), ngrp AS ({groups_sql('nidx')}),
+un_g AS (SELECT *, n * later AS M FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY corpus_id) - upto AS BIGINT) AS later FROM ngrp)),
+un_t AS ({share_sql('un_g', 'M', req)}),
+un_k AS ({strata_sql('un_t', 'M', 't', f'{seed}|un', ('corpus_id', 'author'))}),
+un_p AS (SELECT i.corpus_id, g.upto - g.n + i.pos AS op, i.doc_id FROM nidx i JOIN ngrp g ON g.corpus_id = i.corpus_id AND g.author = i.author),
+uneg_out AS (SELECT s.corpus_id, s.before + s.d + 1 AS rk, least(x.doc_id, y.doc_id) AS a, greatest(x.doc_id, y.doc_id) AS b FROM un_k s
+  JOIN nidx x ON x.corpus_id = s.corpus_id AND x.author = s.author AND x.pos = s.k // s.later + 1
+  JOIN un_p y ON y.corpus_id = s.corpus_id AND y.op = s.upto + s.k % s.later + 1)"""
 
 
 o("positive_pairs_random", f"""
-WITH {uniform_pos_sql('42', 'least(sum(P), 1500)', IDX_LS)}
+WITH {uniform_pos_sql('42', '1500', IDX_LS)}
 SELECT corpus_id, a, b, 1 AS same, rk FROM pos_out
 """)
 
 o("negative_pairs", f"""
-WITH {weighted_neg_sql('42', '2000', IDX_LS)}
+WITH {negative_sql('42', '2000', IDX_LS)}
 SELECT corpus_id, a, b, 0 AS same, rk FROM neg_out
 """)
 
@@ -688,7 +660,7 @@ def idx_part(src: str, part: str) -> str:
 _NEG_REQ_ALL = "least(least(sum(P), CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT)), 300)"
 o("multi_corpus_pairs", f"""
 WITH {rr_sql(300, idx_part(CORPUS, 'lang'), with_clause=False)},
-{weighted_neg_sql('42', _NEG_REQ_ALL, idx_part(CORPUS, 'lang')).replace('idx AS (', 'idx2 AS (', 1).replace('grp AS (', 'grp2 AS (', 1)}
+{negative_sql('42', _NEG_REQ_ALL, idx_part(CORPUS, 'lang'))}
 SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS same FROM neg_out
 """)
 
@@ -698,7 +670,7 @@ _VT = """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS author FROM documents d
 WHERE d.text IS NOT NULL"""
 o("verification_pairs", f"""
 WITH {rr_sql(500, idx_part(_VT, "'all'"), group_filter="author = '1'", with_clause=False)},
-{weighted_neg_sql('42', '500', idx_part(_VT, "'all'")).replace('idx AS (', 'idx2 AS (', 1).replace('grp AS (', 'grp2 AS (', 1)}
+{negative_sql('42', '500', idx_part(_VT, "'all'"))}
 SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS same FROM neg_out
 """)
 
@@ -706,7 +678,7 @@ SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS
 # ------------------------------------------------------------------ named entries
 o("positive_pairs", rr_sql(10 ** 15))
 o("negative_pairs_large", f"""
-WITH {weighted_neg_sql('42', 'least(20000, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT))', idx_part(CORPUS, "'all'"))}
+WITH {negative_sql('42', '15000', idx_part(CORPUS, "'all'"))}
 SELECT corpus_id, a, b, 0 AS same, rk FROM neg_out
 """)
 o("metric_accuracy", f"SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS acc FROM ({PRED})")

@@ -36,7 +36,7 @@ def pair_request(spark, sf):
 def positive_pairs_round_robin(spark, sf):
     c = _ls(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), -1, 0, 1500)  # all positives, capped at 1500
+    req = J.pair_request(J.pair_capacity(c), 1500, 0)
     return J.positive_pairs_round_robin(idx, req, SEED)
 
 
@@ -44,7 +44,7 @@ def positive_pairs_round_robin(spark, sf):
 def positive_pairs_random(spark, sf):
     c = _ls(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), -1, 0, 1500)  # all positives, capped at 1500
+    req = J.pair_request(J.pair_capacity(c), 1500, 0)
     return J.positive_pairs_uniform(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
 
 
@@ -273,13 +273,10 @@ def positive_pairs(spark, sf):
 
 @q("negative_pairs_large")
 def negative_pairs_large(spark, sf):
-    """The draw-based negative sampler on the whole corpus (author = source)."""
+    """A large request of negatives on the whole corpus (author = source)."""
     c = documents_corpus(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    cap = J.pair_capacity(c)
-    # 20,000 negatives, or every negative when the corpus holds fewer
-    req = cap.select("corpus_id", F.lit(0).cast("long").alias("pos_req"),
-                     F.least(F.lit(20000).cast("long"), F.col("max_neg")).alias("neg_req"))
+    req = J.pair_request(J.pair_capacity(c), 0, 15000)
     return J.negative_pairs(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
 
 

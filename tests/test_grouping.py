@@ -7,10 +7,10 @@ from quillmark.operators.grouping import hash_rank, int_rank
 
 
 def test_hash_rank_matches_row_number_with_hot_group(spark):
-    # one hot group holding most rows, rows_per_bucket tiny -> many buckets
+    # one hot group holding most rows, dealt into as many buckets as a shuffle has tasks
     df = spark.range(0, 3000).select(F.col("id").alias("doc_id"),
                                      F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("author"))
-    got = hash_rank(df, ["author"], 42, ["doc_id"], out="rk", count_col="n", rows_per_bucket=37)
+    got = hash_rank(df, ["author"], 42, ["doc_id"], out="rk", count_col="n")
     w = Window.partitionBy("author").orderBy(uniform(42, "doc_id"), "doc_id")
     exp = df.withColumn("rk2", F.row_number().over(w)).withColumn("n2", F.count(F.lit(1)).over(Window.partitionBy("author")))
     j = got.join(exp, ["doc_id", "author"])
@@ -18,9 +18,11 @@ def test_hash_rank_matches_row_number_with_hot_group(spark):
     assert j.where((F.col("rk") != F.col("rk2")) | (F.col("n") != F.col("n2"))).count() == 0
 
 
-def test_int_rank_dense(spark):
+def test_int_rank_dense(spark, monkeypatch):
+    from quillmark.operators import grouping
+    monkeypatch.setattr(grouping, "ROWS_PER_BUCKET", 50)
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("d"), F.lit("c").alias("corpus_id"))
-    r = int_rank(df, ["corpus_id"], "d", "rk", rows_per_bucket=50)
+    r = int_rank(df, ["corpus_id"], "d", "rk")
     assert r.where(F.col("rk") != F.col("d") + 1).count() == 0
 
 

@@ -42,6 +42,52 @@ def test_generate_pairs_counts(spark, pos, neg):
     _check(J.generate_pairs(c, pos, neg), c, exp_pos, neg)
 
 
+def test_decode_pair_beyond_doubles(spark):
+    ks = []
+    for j in (2, 3, 10 ** 5, 3 * 10 ** 8, 10 ** 9, 2_999_999_999):
+        first = j * (j - 1) // 2
+        ks += [(first, 0, j), (first + j - 1, j - 1, j), (first + j // 2, j // 2, j)]
+    i, j = J.decode_pair(F.col("k"))
+    for r in spark.createDataFrame(ks, "k long, i long, j long").select("i", "j", i.alias("gi"), j.alias("gj")).collect():
+        assert (r["gi"], r["gj"]) == (r["i"], r["j"])
+
+
+def _skewed(spark):
+    return spark.range(3030).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30, F.concat(F.lit("one"), F.col("id")))
+                                    .otherwise(F.lit("big")).alias("author"))
+
+
+@pytest.mark.parametrize("n", [1, 435, 465, 466, 20_000, 90_435])
+def test_skewed_authors_give_exactly_the_request(spark, n):
+    c = _skewed(spark)
+    _check(J.generate_pairs(c, 0, n), c, 0, n)
+    idx = J.indexed_docs(c)
+    req = J.pair_request(J.pair_capacity(c), n, n)
+    got = J.negative_pairs_uniform(idx, req).union(J.positive_pairs_uniform(idx, req))
+    _check(got.select("a", "b", "same"), c, n, n)
+
+
+def test_capacity_of_billions_of_documents(spark):
+    groups = spark.createDataFrame([("x", 2 * 10 ** 9), ("y", 2 * 10 ** 9)], "author string, n long")
+    row = groups.groupBy().agg(*J.capacity_columns(F.col("n"))).first()
+    assert row["max_pos"] == 2 * (2 * 10 ** 9 * (2 * 10 ** 9 - 1) // 2) and row["max_neg"] == 4 * 10 ** 18
+
+
+def test_draws_are_dealt_over_tasks(spark):
+    d = J._explode_range(spark.createDataFrame([("all", 5_000_000)], "corpus_id string, n long"), "n", "d")
+    assert d.groupBy(F.spark_partition_id().alias("p")).count().count() > 4 and d.count() == 5_000_000
+
+
+def test_building_pairs_starts_no_job(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "pairs-build"
+    corpus = documents_corpus(spark, SF_MID)  # the reader looks into the files
+    spark.sparkContext.setJobGroup(group, "build")
+    J.generate_pairs(corpus, 3000, 3000)
+    J.verification_coordinates(corpus)
+    assert list(tracker.getJobIdsForGroup(group)) == []
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_round_robin_balance(spark):
     c = documents_corpus(spark, SF_MID)
     idx = J.indexed_docs(c)
