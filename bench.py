@@ -23,7 +23,7 @@ from quillmark.operators import rules as R  # noqa: E402
 from quillmark.operators import similarity as S  # noqa: E402
 from quillmark.operators import text_features as P  # noqa: E402
 from quillmark.plans.flagship import flagship  # noqa: E402
-from quillmark.session import get_spark  # noqa: E402
+from quillmark.session import get_spark, release  # noqa: E402
 from quillmark.sources.testbed import documents_corpus  # noqa: E402
 
 
@@ -50,7 +50,7 @@ def main() -> None:
         t0 = time.time()
         fn()
         times[name] = round(time.time() - t0, 3)
-        spark.catalog.clearCache()  # workloads are independent: release what the last one persisted
+        release()  # workloads are independent
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
 
     sp = C.stratified_split(corpus)

@@ -24,8 +24,16 @@ def stratified_split(corpus: DataFrame, test_size: float = 0.3, seed=SEED) -> Da
     return r.withColumn("split", split).drop("__rk", "__n")
 
 
+def _require(df: DataFrame, facts: DataFrame, holds: str, message: str) -> DataFrame:
+    """``df``, or an error when run if the one-row table ``facts`` does not fulfil
+    ``holds`` (a second branch that never gives a row makes the check)."""
+    failed = F.when(F.expr(holds), False).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+    nothing = facts.where(failed).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.unionByName(nothing)
+
+
 def min_docs_filter(split_corpus: DataFrame, min_docs: int) -> DataFrame:
-    """Keep authors with >= min_docs training docs, in every split."""
+    """Keep authors with >= min_docs training docs, in every split; an error if none remains."""
     keep = (
         split_corpus.where(F.col("split") == "train")
         .groupBy("author")
@@ -33,7 +41,8 @@ def min_docs_filter(split_corpus: DataFrame, min_docs: int) -> DataFrame:
         .where(F.col("__n") >= min_docs)
         .select("author")
     )
-    return split_corpus.join(keep, "author", "left_semi")
+    return _require(split_corpus.join(keep, "author", "left_semi"), keep.agg(F.count(F.lit(1)).alias("n")), "n > 0",
+                    f"no author has {min_docs} training documents")
 
 
 def author_min_count(corpus: DataFrame, min_docs: int) -> DataFrame:
@@ -56,14 +65,26 @@ def author_order(corpus: DataFrame, seed=SEED) -> DataFrame:
 
 
 def sample_authors(corpus: DataFrame, n_authors: int, n_open: int = 0, seed=SEED) -> DataFrame:
-    """Keep the first n_authors + n_open authors of the seeded author order.
+    """Keep the first n_authors + n_open authors of the seeded author order; an
+    error if the corpus has fewer.
 
     The chosen author list is a top-k (TakeOrderedAndProject) of size
     n_authors + n_open, a bound given by the caller, so it is broadcast.
     """
     k = n_authors + n_open
     chosen = author_order(corpus, seed).orderBy("__h", "author").limit(k).select("author")
-    return corpus.join(F.broadcast(chosen), "author", "left_semi")
+    return _require(corpus.join(F.broadcast(chosen), "author", "left_semi"), chosen.agg(F.count(F.lit(1)).alias("n")),
+                    f"n >= {k}", f"the corpus has fewer than {k} authors")
+
+
+def attach_labels(docs: DataFrame, labels: DataFrame, required: bool = True) -> DataFrame:
+    """``docs`` with their row of ``labels`` (doc_id, ...); every document stays.
+    A document without one is an error, or, unless ``required``, has null labels."""
+    found = docs.join(labels.withColumn("__has", F.lit(True)), "doc_id", "left")
+    if required:
+        lost = F.raise_error(F.concat(F.lit("no label for document "), F.col("doc_id").cast("string"))).cast("boolean")
+        found = found.where(F.when(F.col("__has").isNull(), lost).otherwise(True))
+    return found.drop("__has")
 
 
 def open_set_split(split_corpus: DataFrame, n_open: int, seed=SEED) -> DataFrame:

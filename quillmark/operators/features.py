@@ -101,11 +101,6 @@ def chi2_topk(features: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return chi2_scores(features, labels).orderBy(F.desc("chi2"), "feat").limit(k)
 
 
-def select_features(features: DataFrame, selected: DataFrame) -> DataFrame:
-    """Apply a selected feature list (bounded by k) to any split."""
-    return features.join(F.broadcast(selected.select("feat")), "feat", "left_semi")
-
-
 def standardize_fit(train_dense: DataFrame) -> DataFrame:
     """P17 fit: per feature mean and population std; zero variance -> scale 1."""
     return train_dense.groupBy("feat").agg(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey, uniform
-from .similarity import PAIR_FUNCS, pairwise_projection
+from .similarity import pairwise_projection
 
 SEED = 42
 
@@ -40,13 +40,6 @@ def feature_subsets(n_features: int, k: int = 100, seed=SEED, spark=None) -> Dat
     return f.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n_features // 2).drop("__r")
 
 
-def subset_masks(subsets: DataFrame, n_features: int) -> DataFrame:
-    """(iter, mask array<boolean>) from the long subset table (n_features wide)."""
-    g = subsets.groupBy("iter").agg(F.collect_set("feat").alias("fs"))
-    return g.select("iter", F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)),
-                                        lambda i: F.array_contains("fs", i)).alias("mask"))
-
-
 def top_impostors(docs: DataFrame, reference: DataFrame, m: int, metric: str = "cosine",
                   block_rows: int = 1024) -> DataFrame:
     """(doc_id, imp_rank, imp_id): the m references most similar to each doc.
@@ -55,15 +48,14 @@ def top_impostors(docs: DataFrame, reference: DataFrame, m: int, metric: str = "
     matrix is shuffled; the final cut is a window group limit."""
     def top_m(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
-            return pd.DataFrame({"x_id": [], "ref_id": [], "p": []})
-        pdf = pdf.assign(k=np.round(pdf["p"].to_numpy(), 9))
-        pdf = pdf.sort_values(["x_id", "k", "ref_id"], ascending=[True, False, True])
-        # a few spare rows absorb rounding differences; the exact cut is the window below
-        return pdf.groupby("x_id", sort=False).head(m + 8)[["x_id", "ref_id", "p"]]
+            return pd.DataFrame({"x_id": [], "ref_id": [], "p": [], "key": []})
+        pdf = pdf.assign(key=np.round(pdf["p"].to_numpy(), 9))
+        pdf = pdf.sort_values(["x_id", "key", "ref_id"], ascending=[True, False, True])
+        return pdf.groupby("x_id", sort=False).head(m)[["x_id", "ref_id", "p", "key"]]
 
     s = pairwise_projection(docs, reference.select("doc_id", "vec"), metric, block_rows,
-                            reduce=top_m, reduce_schema="x_id long, ref_id long, p double")
-    w = Window.partitionBy("x_id").orderBy(F.round("p", 9).desc(), "ref_id")
+                            reduce=top_m, reduce_schema="x_id long, ref_id long, p double, key double")
+    w = Window.partitionBy("x_id").orderBy(F.desc("key"), "ref_id")
     r = s.withColumn("imp_rank", F.row_number().over(w)).where(F.col("imp_rank") <= m)
     return r.select(F.col("x_id").alias("doc_id"), "imp_rank", F.col("ref_id").alias("imp_id"), F.col("p").alias("sim"))
 
@@ -78,37 +70,6 @@ def impostor_draws(pairs: DataFrame, m: int, n: int, k: int, seed=SEED) -> DataF
     return d.withColumn("imp_rank", (F.floor(u * m) + 1).cast("long"))
 
 
-def _mask(vec: str, mask: str = "mask"):
-    return F.zip_with(F.col(vec), F.col(mask), lambda x, mk: F.when(mk, x).otherwise(F.lit(0.0)))
-
-
-def impostor_scores(pairs: DataFrame, vectors: DataFrame, impostors: DataFrame, masks: DataFrame,
-                    m: int, n: int, k: int, similarity: str = "cosine", seed=SEED) -> DataFrame:
-    """I4 + I5: (a, b, score_ab, score_ba, score) where score_xy is the share of the
-    k subsets in which no drawn impostor of y is strictly more similar to x than y."""
-    sim = PAIR_FUNCS[similarity]
-    d = impostor_draws(pairs, m, n, k, seed)
-    d = d.withColumn("x", F.when(F.col("dir") == 0, F.col("a")).otherwise(F.col("b")))
-    d = d.withColumn("v", F.when(F.col("dir") == 0, F.col("b")).otherwise(F.col("a")))
-    d = d.join(impostors.select(F.col("doc_id").alias("v"), "imp_rank", "imp_id"), ["v", "imp_rank"])
-    vx = vectors.select(F.col("doc_id").alias("x"), F.col("vec").alias("vx"))
-    vi = vectors.select(F.col("doc_id").alias("imp_id"), F.col("vec").alias("vi"))
-    mk = F.broadcast(masks)  # k rows of n_features booleans
-    imp = d.join(vx, "x").join(vi, "imp_id").join(mk, "iter")
-    imp = imp.withColumn("s_imp", sim(_mask("vx"), _mask("vi")))
-    best = imp.groupBy("a", "b", "dir", "iter", "x", "v").agg(F.max("s_imp").alias("s_imp"))
-    vv = vectors.select(F.col("doc_id").alias("v"), F.col("vec").alias("vv"))
-    best = best.join(vx, "x").join(vv, "v").join(mk, "iter")
-    best = best.withColumn("s_xv", sim(_mask("vx"), _mask("vv")))
-    hit = (F.col("s_xv") >= F.col("s_imp")).cast("double")
-    dir_score = best.groupBy("a", "b", "dir").agg((F.sum(hit) / F.lit(float(k))).alias("s"))
-    out = dir_score.groupBy("a", "b").agg(
-        F.max(F.when(F.col("dir") == 0, F.col("s"))).alias("score_ab"),
-        F.max(F.when(F.col("dir") == 1, F.col("s"))).alias("score_ba"),
-    )
-    return out.withColumn("score", (F.col("score_ab") + F.col("score_ba")) / 2)
-
-
 def impostor_decision(scores: DataFrame, sigma: float) -> DataFrame:
     """SAME iff the two-way score is strictly above sigma."""
     return scores.withColumn("pred", (F.col("score") > F.lit(sigma)).cast("int"))
@@ -173,7 +134,7 @@ def impostor_scores_by_pair(pairs: DataFrame, vectors: DataFrame, impostors: Dat
     """I4 + I5 with one task per group of pairs: each pair brings its two vectors
     and its documents' impostor vectors once (2 + 2m rows), the seeded draws come
     as a second cogrouped input, and NumPy computes all k subset similarities
-    with matrix products.  Same result as ``impostor_scores``."""
+    with matrix products."""
     M = masks_matrix(subsets, n_features, k)
     p = pairs.select("a", "b")
     vec = vectors.select("doc_id", "vec")

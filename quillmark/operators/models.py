@@ -1,6 +1,6 @@
 """Learners, pair classifiers and calibration on pyspark.ml.
 
-Data stays in DataFrames: pair diff-vectors are built by joins and
+Data stays in DataFrames: pair difference vectors (absolute values) are built by joins and
 higher-order functions, models are pyspark.ml estimators fitted by Spark, and
 scoring is ``model.transform`` on a pair DataFrame.  Fold columns are seeded
 and stratified (md5 rank inside each class), so folds are reproducible.
@@ -23,7 +23,6 @@ from .similarity import PAIR_FUNCS, diff_vector, pair_vectors
 
 SEED = 42
 CS = [10.0 ** e for e in range(-3, 4)]  # fixed values: C grid 1e-3 .. 1e3
-LEARNER_CAPS = {"LR": 50_000, "SVM": 10_000, "SGD": 500_000, "MNB": 50_000}  # fixed values: pairs per class
 
 
 def with_folds(df: DataFrame, label: str = "label", k: int = 5, seed=SEED, key: str = "doc_id") -> DataFrame:
@@ -134,7 +133,7 @@ def normalize_probs(df: DataFrame, probs: str = "probs") -> DataFrame:
 
 
 def pair_classifier(train_pairs: DataFrame, vectors: DataFrame, reg_param: float = 0.0):
-    """M5 (DV-Bin): logistic regression on diff-vectors of SAME/DIFFERENT pairs."""
+    """M5 (DV-Bin): logistic regression on the absolute differences of SAME/DIFFERENT pairs."""
     d = diff_pairs(train_pairs, vectors).withColumn("label", F.col("same").cast("double"))
     return LogisticRegression(standardization=False, regParam=reg_param, maxIter=100, tol=1e-4).fit(d)
 
@@ -218,5 +217,3 @@ def stacked_attribution(train_stacked: DataFrame, test_stacked: DataFrame, label
     m = LogisticRegression(standardization=False, maxIter=100, regParam=0.01, labelCol=label).fit(tr)
     return m.transform(te)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["Pipeline"]

@@ -286,6 +286,9 @@ def generate_pairs(corpus: DataFrame, pos_request: int = -1, neg_request: int =
     never mix).  ``verification_task``: author holds '0'/'1'; positives only
     inside class '1', negatives across the two classes (J5)."""
     positive_label = "1" if verification_task else None
+    if verification_task:
+        bad = F.raise_error(F.lit("a verification target must be 0 or 1"))
+        corpus = corpus.withColumn("author", F.when(F.col("author").isin("0", "1"), F.col("author")).otherwise(bad.cast("string")))
     idx = indexed_docs(corpus, seed, part)
     cap = pair_capacity(corpus, part, positive_label)
     req = pair_request(cap, pos_request, neg_request, max_request)

@@ -23,11 +23,13 @@ SAV_LOG_SCHEMA = T.StructType([
     T.StructField("f1", T.DoubleType()), T.StructField("notes", T.StringType()),
 ])
 
-# fixed values: ordered report renames (substring -> replacement), applied in this order
+# fixed values: report renames (part of a name -> replacement), all applied, in this order
 METHOD_RENAMES = [
-    ("LRbin", "STD-Bin"), ("LR-DiffVectors-SAV", "DV-Bin"), ("LRDiffVectors-Attr", "DV-2xAA"),
-    ("LRStdVectors-Attr", "STD-2xAA"), ("Dist-cos", "STD-CosDist"), ("Dist-l1", "STD-L1Dist"),
-    ("Dist-l2", "STD-L2Dist"), ("PairLRknn", "Lazy AA"), ("PairLRlinear", "Stacked AA"), ("LR", "STD-AA"),
+    ("LR-close", "STD-2xAA"),
+    ("Dist-cos", "STD-CosDist"),
+    ("Impostors-open", "Impostors"),
+    ("-close", ""),
+    ("-open", ""),
 ]
 
 
@@ -51,13 +53,13 @@ def append_log(log: DataFrame, path: str) -> None:
 
 def read_logs(spark: SparkSession, paths: Sequence[str], schema: T.StructType = SAV_LOG_SCHEMA,
               exclude_suffix: str | None = None) -> DataFrame:
-    """Read several TSV logs with a fixed schema, optionally dropping files
-    whose name ends with a suffix; keeps the source file name."""
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(list(paths))
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
-    if exclude_suffix:
-        df = df.where(~F.col("source_file").endswith(exclude_suffix))
-    return df
+    """Read several TSV logs with a fixed schema, leaving out logs whose path
+    ends with a suffix; keeps the source file name."""
+    paths = [p for p in paths if not (exclude_suffix and p.rstrip("/").endswith(exclude_suffix))]
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("source_file", F.lit(None).cast("string"))
+    df = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(paths)
+    return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
 # ------------------------------------------------------------------ J12 / J13
@@ -79,22 +81,21 @@ def completed_count(grid: DataFrame, log: DataFrame, expected: int) -> DataFrame
 # ------------------------------------------------------------------ P19 / G10-G16
 
 def rename_methods(df: DataFrame, col: str = "method", renames=METHOD_RENAMES) -> DataFrame:
-    """Ordered substring replacement (earlier rules win: 'LRbin' before 'LR')."""
+    """Every rule (part, replacement) in turn, each on what the one before left.
+    A report with its own method labels passes its own rules."""
     c = F.col(col)
-    out = None
     for src, dst in renames:
-        hit = F.instr(c, src) > 0
-        rep = F.replace(c, F.lit(src), F.lit(dst))
-        out = F.when(hit, rep) if out is None else out.when(hit, rep)
-    return df.withColumn(col, out.otherwise(c) if out is not None else c)
+        c = F.replace(c, F.lit(src), F.lit(dst))
+    return df.withColumn(col, c)
 
 
 def report_pivot(log: DataFrame, value: str = "acc", index: Sequence[str] = ("method",),
-                 columns: str = "dataset", percent_to_fraction: bool = False) -> DataFrame:
-    """G10 (+G16): mean / sample std / count of a value by index x column."""
+                 columns: str = "dataset", names: Sequence[str] | None = None, percent_to_fraction: bool = False) -> DataFrame:
+    """G10 (+G16): mean / sample std / count of a value by index x column; ``names``
+    are the column values to show (else they are looked up first)."""
     v = F.col(value) / 100.0 if percent_to_fraction else F.col(value)
     d = log.withColumn("__v", v)
-    return d.groupBy(*index).pivot(columns).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"),
+    return d.groupBy(*index).pivot(columns, list(names) if names else None).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"),
                                                 F.count("__v").alias("n"))
 
 

@@ -277,8 +277,8 @@ def log_union_read(spark, sf):
         p = f"{base}/{m}"
         RP.append_log(log.where(F.col("method") == m), p)
         paths.append(p)
-    df = RP.read_logs(spark, paths)
-    return round_doubles(df.where(F.col("method") != "Dist-l2-close").drop("source_file", "notes"))
+    df = RP.read_logs(spark, paths, exclude_suffix="l2-close")
+    return round_doubles(df.drop("source_file", "notes"))
 
 
 @q("pending_experiments")
@@ -308,9 +308,8 @@ def rename_methods(spark, sf):
 
 @q("report_pivot")
 def report_pivot(spark, sf):
-    log = experiment_log(spark, sf)
-    s = RP.method_stats(log.withColumn("acc", F.col("acc") / 100.0))
-    return round_doubles(s)
+    """Methods by datasets, accuracies as fractions."""
+    return round_doubles(RP.report_pivot(experiment_log(spark, sf), names=["de", "en", "es", "fr"], percent_to_fraction=True))
 
 
 @q("report_best")

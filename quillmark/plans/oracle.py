@@ -89,7 +89,7 @@ def fw_table() -> str:
 
 # ------------------------------------------------------------------ scans / joins
 o("label_attach_join", f"""
-SELECT c.doc_id, c.author, l.quality, l.toxic FROM ({CORPUS}) c JOIN labels l ON c.doc_id = l.doc_id
+SELECT c.doc_id, c.author, l.quality, l.toxic FROM ({CORPUS}) c LEFT JOIN labels l ON c.doc_id = l.doc_id
 """)
 
 # ------------------------------------------------------------------ text

@@ -516,13 +516,14 @@ LEFT JOIN (SELECT dataset, seed, n_authors, count(*) AS n_rows FROM ({EXP_LOG})
   ON c.dataset = g.dataset AND c.seed = g.seed AND c.n_authors = g.n_authors
 """)
 
-from ..operators.reports import METHOD_RENAMES  # noqa: E402
-_REN = "CASE " + " ".join(f"WHEN instr(method, '{a}') > 0 THEN replace(method, '{a}', '{b}')" for a, b in METHOD_RENAMES) + " ELSE method END"
+_REN = """replace(replace(replace(replace(replace(method, 'LR-close', 'STD-2xAA'), 'Dist-cos', 'STD-CosDist'),
+  'Impostors-open', 'Impostors'), '-close', ''), '-open', '')"""
 o("rename_methods", f"SELECT dataset, seed, {_REN} AS method FROM ({EXP_LOG})")
 
 STATS = f"SELECT dataset, method, avg(acc) AS mean, stddev_samp(acc) AS std, count(*) AS n FROM ({EXP_LOG}) GROUP BY dataset, method"
-o("report_pivot", f"""SELECT dataset, method, round(avg(acc / 100.0), 6) AS mean, round(stddev_samp(acc / 100.0), 6) AS std, count(*) AS n
-FROM ({EXP_LOG}) GROUP BY dataset, method""")
+_PIVOT = ", ".join(f"""round(avg(acc / 100.0) FILTER (dataset = '{d}'), 6) AS {d}_mean,
+  round(stddev_samp(acc / 100.0) FILTER (dataset = '{d}'), 6) AS {d}_std, count(*) FILTER (dataset = '{d}') AS {d}_n""" for d in ("de", "en", "es", "fr"))
+o("report_pivot", f"SELECT method, {_PIVOT} FROM ({EXP_LOG}) GROUP BY method")
 BEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(mean, 9) DESC, method) AS rr FROM ({STATS}))
 WHERE rr = 1"""
 o("report_best", f"SELECT dataset, method, round(mean, 6) AS mean, round(std, 6) AS std, n FROM ({BEST})")

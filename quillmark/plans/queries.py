@@ -56,7 +56,7 @@ def _split(spark, sf, author="source"):
 def label_attach_join(spark, sf):
     d = _docs(spark, sf)
     lab = read_table(spark, sf, "labels")
-    return d.join(lab, "doc_id").select("doc_id", "author", "quality", "toxic")
+    return C.attach_labels(d, lab, required=False).select("doc_id", "author", "quality", "toxic")
 
 
 # ------------------------------------------------------------------ text

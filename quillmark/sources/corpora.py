@@ -8,9 +8,10 @@ round-trip queries use them).
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
@@ -111,15 +112,28 @@ def write_dir_corpus(corpus: DataFrame, path: str) -> None:
 
 
 def read_dir_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files; author = the folder; skip names with 'unknown', contents.json, truth.txt."""
-    r = spark.read.option("basePath", path).text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("fp"))
-    name = F.regexp_extract("fp", "([^/]+)$", 1)
-    r = r.where(~F.lower("fp").contains("unknown") & (name != "contents.json") & (name != "truth.txt"))
-    return r.select(
-        F.regexp_extract("fp", "author=([^/]+)/", 1).alias("author"),
-        F.regexp_extract("fp", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
-        F.regexp_replace("value", "\\n\\z", "").alias("text"))
+    """Whole files below ``path``; author = the first folder, doc_id = the number
+    in a folder ``doc_id=...`` or else the file's stem (null if it is no number).
+    Author folders with 'unknown' in their name, contents.json and truth.txt are
+    left out."""
+    r = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        "value", _decoded(F.col("_metadata.file_path")).alias("fp"))
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path).rstrip("/") + "/"
+    below = F.expr("substr(fp, instr(fp, __base) + length(__base))")
+    r = r.withColumn("__base", F.lit(base)).withColumn("rel", below)
+    folder = F.substring_index("rel", "/", 1)
+    name = F.regexp_extract("rel", "([^/]+)$", 1)
+    r = r.where((F.instr("rel", "/") > 0) & ~F.lower(folder).contains("unknown") & ~name.isin("contents.json", "truth.txt"))
+    author = F.when(folder.startswith("author="), _decoded(F.substring(folder, 8, 1 << 20))).otherwise(folder)
+    number = F.coalesce(F.nullif(F.regexp_extract("rel", "doc_id=([0-9]+)/", 1), F.lit("")),
+                        F.nullif(F.regexp_extract(name, "^([0-9]+)[.][^.]+$", 1), F.lit("")))
+    return r.select(author.alias("author"), number.cast("long").alias("doc_id"),
+                    F.regexp_replace("value", "\\n\\z", "").alias("text"))
+
+
+def _decoded(c: Column) -> Column:
+    """Percent escapes resolved ('+' is no blank in a path)."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def write_filename_corpus(corpus: DataFrame, path: str) -> None:
@@ -131,7 +145,7 @@ def write_filename_corpus(corpus: DataFrame, path: str) -> None:
 def read_filename_corpus(spark: SparkSession, path: str) -> DataFrame:
     """author = file stem before the first '_', title = the rest."""
     r = spark.read.option("basePath", path).text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("fp"))
+        "value", _decoded(F.col("_metadata.file_path")).alias("fp"))
     stem = F.coalesce(F.nullif(F.regexp_extract("fp", "name=([^/]+)/", 1), F.lit("")),
                       F.regexp_extract("fp", "([^/]+)\\.txt$", 1))
     return r.select(F.substring_index(stem, "_", 1).alias("author"),
