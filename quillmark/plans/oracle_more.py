@@ -152,7 +152,7 @@ rr_out AS (SELECT corpus_id, author, a, b, 1 AS same, round FROM (
         "\nSELECT * FROM rr_out" if with_clause else "")
 
 
-o("positive_pairs_round_robin", rr_sql(1500))
+o("positive_pairs_round_robin", rr_sql(400))
 
 
 def share_sql(src: str, size: str, req: str) -> str:
@@ -202,7 +202,7 @@ uneg_out AS (SELECT s.corpus_id, s.before + s.d + 1 AS rk, least(x.doc_id, y.doc
 
 
 o("positive_pairs_random", f"""
-WITH {uniform_pos_sql('42', '1500', IDX_LS)}
+WITH {uniform_pos_sql("42", "400", IDX_LS)}
 SELECT corpus_id, a, b, 1 AS same, rk FROM pos_out
 """)
 

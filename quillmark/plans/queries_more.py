@@ -36,7 +36,7 @@ def pair_request(spark, sf):
 def positive_pairs_round_robin(spark, sf):
     c = _ls(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), 1500, 0)
+    req = J.pair_request(J.pair_capacity(c), 400, 0)
     return J.positive_pairs_round_robin(idx, req, SEED)
 
 
@@ -44,7 +44,7 @@ def positive_pairs_round_robin(spark, sf):
 def positive_pairs_random(spark, sf):
     c = _ls(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), 1500, 0)
+    req = J.pair_request(J.pair_capacity(c), 400, 0)
     return J.positive_pairs_uniform(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
 
 
