@@ -11,14 +11,17 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 
-#: Words kept by one encoder, some 200 MB; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+#: Words kept by one encoder, some 100 MB: the first that it meets, so the frequent ones.
+KEPT_WORDS = 500_000
 #: Characters whose new words go to the library in one call.
 BATCH_CHARS = 2_000_000
 
 _BLANK_PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A Latin word, perhaps with marks behind it: the splitter gives the word and the run of marks.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -47,11 +50,25 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+        self.byte_characters = {b: 256 + i for i, b in enumerate(hidden)}
 
-    def _learn(self, words: list[str]) -> None:
-        from array import array
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the splitter leaves whole, straight from the library's model,
+        which takes bytes as characters (printable ones as they are, the others from
+        256 upwards)."""
+        shown = piece.encode().decode("latin-1").translate(self.byte_characters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
-        for word, enc in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+    def _learn(self, words: list[str]) -> None:
+        other = []
+        for word in words:
+            plain = _PLAIN.fullmatch(word)
+            if plain:
+                self.known[word] = self._piece(plain[1]) + (self._piece(plain[2]) if plain[2] else b"")
+            else:
+                other.append(word)
+        for word, enc in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self.known[word] = array("I", enc.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -67,13 +84,15 @@ class WordEncoder:
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         split = [split_words(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {"": b""}
-        new = {w for words in split for w in words if w not in self.known}
+        new = list({w for words in split for w in words if w not in self.known})
+        room = max(0, KEPT_WORDS - len(self.known))
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for word in new[room:]:
+            del self.known[word]
+        return out
 
 
 def worker_encoder(path: str | None = None) -> WordEncoder:
