@@ -14,8 +14,11 @@ densification, banded buckets and star-shaped candidate edges.
    components.  What then remains is completed: every pair of a bucket that lies
    in two components is confirmed too, unless it is ruled out by the set sizes,
    by the triangle inequality of the Jaccard distance to a common centre, or by
-   its sketches (two bits of 1024 bins) agreeing less than a pair at the
-   threshold would 4.8 standard deviations below its mean.  No cap on partners.
+   its sketches: bit i is the parity of the number of shingles in bin i of 2048.
+   A shingle in one set only turns one bit, so sketches never differ in more
+   bits than the sets do in shingles, and two linked sets of n and m shingles
+   differ in at most (100 - percent) / (100 + percent) * (n + m).  All three
+   tests are bounds, not estimates: no linked pair is dropped.  No cap on partners.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with
 nothing; texts shorter than a shingle are one shingle; rows without a doc_id
@@ -35,9 +38,8 @@ from .common import save
 
 BINS = 256
 CENTRE_ROUNDS = 2
-SKETCH_BINS = 1024
-SKETCH_LONGS = SKETCH_BINS // 32
-SKETCH_DEVIATIONS = 4.8
+SKETCH_BITS = 2048
+SKETCH_LONGS = SKETCH_BITS // 64
 BATCH_BYTES = 4_000_000
 
 
@@ -142,10 +144,13 @@ def signature_table(docs: DataFrame, width: int, bands: int, rows: int) -> DataF
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Two bits of each of 1024 densified bins, 32 bins to a 64-bit word."""
-    bits = mix(signatures(sets, SKETCH_BINS)) & np.uint64(3)
-    places = np.arange(0, 64, 2, dtype=np.uint64)
-    return (bits.reshape(len(sets), SKETCH_LONGS, 32) << places).sum(axis=2, dtype=np.uint64).view(np.int64)
+    """Parity of the number of hashes in each of 2048 bins, 64 bins to a word."""
+    shift = np.uint64(64 - (SKETCH_BITS.bit_length() - 1))
+    out = np.empty((len(sets), SKETCH_LONGS), dtype=np.int64)
+    for row, s in enumerate(sets):
+        odd = np.bincount((s >> shift).astype(np.int64), minlength=SKETCH_BITS) & 1
+        out[row] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
@@ -161,13 +166,10 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, shingles array<long>, sketch array<long>")
 
 
-def may_agree(a: str, b: str, percent: int):
-    """Whether two sketches differ in no more bins than a pair at the threshold may."""
-    same = percent / 100 + (1 - percent / 100) / 4
-    most = SKETCH_BINS * (1 - same) + SKETCH_DEVIATIONS * (SKETCH_BINS * same * (1 - same)) ** 0.5
-    differ = [f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & 6148914691236517205L)"
-              for i in range(SKETCH_LONGS)]
-    return F.expr(f"{' + '.join(differ)} <= {int(most)}")
+def may_agree(a: str, b: str, n_a: str, n_b: str, percent: int):
+    """Whether two sketches differ in no more bits than linked sets of these sizes differ in shingles."""
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_LONGS))
+    return F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * ({n_a} + {n_b})")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def remaining_pairs(members: DataFrame, seen: DataFrame, sets: DataFrame, classe
             & (F.col("y.inner") | (F.col("x.doc_id") < F.col("y.doc_id")))
             & close_enough("x.n", "y.n", percent)
             & (F.abs(F.coalesce(F.col("x.d") - F.col("y.d"), F.lit(0.0))) <= far)
-            & may_agree("x.sketch", "y.sketch", percent)
+            & may_agree("x.sketch", "y.sketch", "x.n", "y.n", percent)
             & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))  # each pair in one bucket
     pairs = x.join(y, fits).select(F.least("x.doc_id", "y.doc_id").alias("a"),
                                    F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
