@@ -6,9 +6,11 @@ met for it.  Lines of elements that cannot be content (navigation, headers,
 footers, asides, forms, scripts, adverts, notices, reader comments, by element,
 role, class or id) count as tags only.  The ratio of text to tags per line is
 smoothed with a Gaussian; lines above a threshold (a share of the ratios'
-standard deviation) form the content cluster.  The regions (articles, or else
-the sections that hold the lines) with a line of that cluster are the main
-content, and all their lines are kept, short ones too.
+standard deviation, by their own ratio and the smoothed one) form the content
+cluster.  The regions with a line of that cluster are the main content, and all
+their lines are kept, short ones too.  A region is the nearest section around a
+line; an article or main element is one region with all it holds, which is the
+only say these tags have in the choice.
 
 Defined cases: null, empty or text-free html gives an empty text; unclosed
 elements end with their parent; repeated rows and null ids are treated alone;
@@ -60,13 +62,13 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Line:
-    __slots__ = ("parts", "some", "tags", "link_chars", "region", "article")
+    __slots__ = ("parts", "some", "tags", "link_chars", "region")
 
     def __init__(self):
         self.parts: list[str] = []
         self.some = False
         self.tags = self.link_chars = 0
-        self.region, self.article = 0, False
+        self.region = 0
 
 
 class Element:
@@ -154,7 +156,7 @@ class LineReader(HTMLParser):
         if e.outside or e.header and not (e.article and e.heading):
             return
         if not self.line.some:
-            self.line.region, self.line.article = e.region, e.article
+            self.line.region = e.region
             self.line.some = bool(data.strip())
         self.line.parts.append(data)
         if e.link:
@@ -182,13 +184,12 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     if not lines:
         return ""
     texts = [" ".join("".join(x.parts).split()) for x in lines]
-    ratios = smooth(np.array([len(t) / max(1, x.tags) for t, x in zip(texts, lines)], dtype=float))
-    dense = ratios >= threshold * ratios.std()
-    inside = [x.article for x in lines]
+    own = np.array([len(t) / max(1, x.tags) for t, x in zip(texts, lines)], dtype=float)
+    ratios = smooth(own)
+    dense = np.minimum(own, ratios) >= threshold * ratios.std()
     held: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
-        if not any(inside) or x.article:
-            held.setdefault(x.region, []).append(i)
+        held.setdefault(x.region, []).append(i)
 
     def links(of: list[int]) -> float:
         return sum(lines[i].link_chars for i in of) / max(1, sum(len(texts[i]) for i in of))
@@ -196,7 +197,7 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     regions = {r for r, of in held.items() if dense[of].any() and links(of) <= MAX_LINKS}
     if not regions:
         regions = {max(held, key=lambda r: (sum(len(texts[i]) for i in held[r]), -r))}
-    return "\n".join(t for t, x, a in zip(texts, lines, inside) if x.region in regions and (a or not any(inside)))
+    return "\n".join(t for t, x in zip(texts, lines) if x.region in regions)
 
 
 def extract(pages: DataFrame) -> DataFrame:

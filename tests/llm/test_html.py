@@ -23,6 +23,26 @@ def test_boilerplate_goes(page):
     assert main_text(page) == TEXT
 
 
+STORY = "".join(f"<p>Paragraph {i} of the story tells in some detail what happened on that day, where it happened and to whom."
+                f" It goes on for a second sentence of about the same length.</p>" for i in range(6))
+CARDS = "".join(f"<article class=card><h3><a href=/{i}>Story {i}</a></h3><p>In short.</p><a href=/{i}>More</a></article>" for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div>{STORY}</div><div>{CARDS}</div></body>",
+    f"<body><div>{CARDS}</div><div>{STORY}</div></body>",
+    f"<body>{CARDS}<div><div>{STORY}</div></div><footer>c</footer></body>",
+])
+def test_story_outside_the_articles(page):
+    assert main_text(page) == "\n".join(re.findall("<p>(.*?)</p>", STORY))
+
+
+def test_article_and_plain_story():
+    text = main_text(f"<body><article><h1>Title</h1>{STORY}<p>End.</p></article><div>{STORY.replace('story', 'report')}</div></body>")
+    paragraphs = re.findall("<p>(.*?)</p>", STORY)
+    assert text == "\n".join(["Title", *paragraphs, "End.", *(p.replace("story", "report") for p in paragraphs)])
+
+
 def test_small_cases():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x</script>") == ""
     assert main_text("plain  words\nhere") == "plain words here"
