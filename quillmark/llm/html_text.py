@@ -4,7 +4,11 @@ A page is fed in pieces to the standard library's HTML parser.  Its events form
 lines, one per block element (or <br>): the line's text and the number of tags
 met for it.  Lines of elements that cannot be content (navigation, headers,
 footers, asides, forms, scripts, adverts, notices, reader comments, by element,
-role, class or id) count as tags only.  The ratio of text to tags per line is
+role, class or id) count as tags only.  A class or id word or a form leaves out
+nothing by itself: once the page is read, its mark is dropped where it holds an
+article or main element or at least half of the page's text.  A whole class or id
+("comments"; "has-sidebar" is only a part) keeps its mark if the page has an
+article or main element under no such mark.  The ratio of text to tags per line is
 smoothed with a Gaussian; lines above a threshold (a share of the ratios'
 standard deviation, by their own ratio and the smoothed one) form the content
 cluster.  The regions with a line of that cluster are the main content, and all
@@ -40,7 +44,7 @@ BLOCKS = set(
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no main text.
 OUTSIDE = set(
-    "head title nav footer aside form script style noscript template button select option textarea input label "
+    "head title nav footer aside script style noscript template button select option textarea input label "
     "fieldset iframe object svg canvas audio video dialog menu".split())
 #: Roles of the same kind.
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -59,20 +63,22 @@ SECTIONS = ARTICLES | {"section", "div", "td", "body"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WORD = re.compile(r"[a-z]+")
+#: A class word or form that holds this share of the page's text does not leave it out.
+MOST = 0.5
 
 
 class Line:
     __slots__ = ("parts", "some", "tags", "link_chars", "region")
 
     def __init__(self):
-        self.parts: list[str] = []
+        self.parts: list = []
         self.some = False
         self.tags = self.link_chars = 0
         self.region = 0
 
 
 class Element:
-    __slots__ = ("tag", "outside", "header", "region", "article", "link", "heading")
+    __slots__ = ("tag", "outside", "header", "region", "article", "link", "heading", "mark", "body_mark", "root_mark")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag = tag
@@ -82,6 +88,10 @@ class Element:
         self.article = parent.article if parent else False
         self.link = parent.link if parent else False
         self.heading = parent.heading if parent else False
+        #: Innermost mark; the same without header words; that of the outermost article, where it starts.
+        self.mark = parent.mark if parent else 0
+        self.body_mark = parent.body_mark if parent else 0
+        self.root_mark = parent.root_mark if parent else -1
 
 
 class LineReader(HTMLParser):
@@ -93,6 +103,8 @@ class LineReader(HTMLParser):
         self.lines: list[Line] = []
         self.line = Line()
         self.regions = 0
+        #: Per mark (0: none) the mark around it and whether a whole class or id made it.
+        self.around, self.whole = [0], [False]
 
     def end_line(self) -> None:
         if self.line.some:
@@ -120,14 +132,25 @@ class LineReader(HTMLParser):
 
     def mark(self, e: Element, tag: str, attrs) -> None:
         values = {k: v or "" for k, v in attrs}
-        words = set(WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
-        if (tag in OUTSIDE or values.get("role", "").lower() in OUTSIDE_ROLES or words & OUTSIDE_WORDS
+        names = f"{values.get('class', '')} {values.get('id', '')}".lower()
+        words = set(WORD.findall(names))
+        if (tag in OUTSIDE or values.get("role", "").lower() in OUTSIDE_ROLES
                 or "hidden" in values or values.get("aria-hidden") == "true"
                 or "display:none" in values.get("style", "").replace(" ", "").lower()):
             e.outside = e.outside or tag not in ("html", "body")
-        if tag == "header" or words & HEADER_WORDS and tag not in ARTICLES:
-            e.header = tag not in ("html", "body")
+        if tag == "header":
+            e.header = True
+        marked, header = tag == "form" or words & OUTSIDE_WORDS, words & HEADER_WORDS and tag not in ARTICLES
+        whole = not set(names.split()).isdisjoint(OUTSIDE_WORDS | HEADER_WORDS if header else OUTSIDE_WORDS)
+        if (marked or header) and tag not in ("html", "body"):
+            self.around.append(e.mark)
+            self.whole.append(whole)
+            e.mark = len(self.around) - 1
+            if marked:
+                e.body_mark = e.mark
         if tag in ARTICLES or values.get("role") == "main" or values.get("itemprop") == "articleBody":
+            if not e.article:
+                e.root_mark = e.mark
             e.article = True
         if tag in SECTIONS and not (e.article and self.stack[-1].article):
             self.regions += 1
@@ -155,17 +178,47 @@ class LineReader(HTMLParser):
         e = self.stack[-1]
         if e.outside or e.header and not (e.article and e.heading):
             return
-        if not self.line.some:
-            self.line.region = e.region
-            self.line.some = bool(data.strip())
-        self.line.parts.append(data)
-        if e.link:
-            self.line.link_chars += len(data.strip())
+        self.line.some = self.line.some or bool(data.strip())
+        self.line.parts.append((data, e, e.body_mark if e.article and e.heading else e.mark))
 
     def finish(self) -> list[Line]:
         self.close()
         self.end_line()
-        return self.lines
+        left_out = self.left_out()
+        lines, tags = [], 0
+        for line in self.lines:
+            parts = [(data, e) for data, e, mark in line.parts if not left_out[mark]]
+            first = next((e for data, e in parts if data.strip()), None)
+            line.tags += tags
+            tags = line.tags if first is None else 0
+            if first is not None:
+                line.region = first.region
+                line.link_chars = sum(len(data.strip()) for data, e in parts if e.link)
+                line.parts = [data for data, _ in parts]
+                lines.append(line)
+        return lines
+
+    def left_out(self) -> list[bool]:
+        """Per mark, whether it or one around it leaves its text out."""
+        chars, holds, under = [0] * len(self.around), [False] * len(self.around), list(self.whole)
+        for m in range(1, len(under)):
+            under[m] = under[m] or under[self.around[m]]
+        free = False  # whether an article is under no whole mark
+        for line in self.lines:
+            for data, e, mark in line.parts:
+                n = len(data.strip())
+                chars[mark] += n
+                if n and e.root_mark == mark:
+                    holds[mark] = True
+                    free = free or not under[mark]
+        for m in range(len(chars) - 1, 0, -1):  # marks are numbered from the outside in
+            chars[self.around[m]] += chars[m]
+            holds[self.around[m]] = holds[self.around[m]] or holds[m]
+        out = [False] * len(chars)
+        for m in range(1, len(out)):
+            dropped = (holds[m] or chars[m] >= MOST * chars[0]) and not (free and self.whole[m])
+            out[m] = out[self.around[m]] or not dropped
+        return out
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -37,6 +37,25 @@ def test_story_outside_the_articles(page):
     assert main_text(page) == "\n".join(re.findall("<p>(.*?)</p>", STORY))
 
 
+@pytest.mark.parametrize("page", [
+    f"<article class='post has-sidebar comments-open'>{STORY}</article>",
+    f"<div id=page class='no-sidebar'><nav><a>Home</a></nav><div>{STORY}</div><div class=sidebar>Popular</div></div>",
+    f"<div class='layout with-nav'><main>{STORY}</main><div class=related><a>Other</a></div></div><footer>c</footer>",
+    f"<div class='page has-header'><div class=header>Site</div><article>{STORY}</article></div>",
+    f"<form action=x><input type=hidden name=__VIEWSTATE><ul class=menu><li>Home</ul><div>{STORY}</div><div class=ad>Buy</div></form>",
+    f"<form><div class=widget><article>{STORY}</article></div></form>",
+    f"<div class='no-sidebar'><article>{STORY}</article><div id=comments class=comments-area>{'<p>A reader says so.</p>' * 200}</div></div>",
+    f"<article>{STORY}<form><p>Your mail</p></form></article><div class=sidebar><article><p>{'Other ' * 50}</p></article></div>",
+    f"<body><div>{STORY}</div><form class=newsletter><p>Get our mail each morning, before the others do.</p></form></body>",
+])
+def test_marks_around_the_story(page):
+    assert main_text(page) == "\n".join(re.findall("<p>(.*?)</p>", STORY))
+
+
+def test_many_marks():
+    assert main_text("<div class=ad>" * 3000 + "deep text") == "deep text"
+
+
 def test_article_and_plain_story():
     text = main_text(f"<body><article><h1>Title</h1>{STORY}<p>End.</p></article><div>{STORY.replace('story', 'report')}</div></body>")
     paragraphs = re.findall("<p>(.*?)</p>", STORY)
