@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
+                                       ProbabilisticClassificationModel)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,30 +93,66 @@ def margin(df: DataFrame, raw: str = "rawPrediction") -> DataFrame:
     return df.withColumn("score", vector_to_array(F.col(raw))[1])
 
 
+def _calibrator(scores: DataFrame, method: str, label: str):
+    return platt_fit(scores, "score", label) if method == "sigmoid" else isotonic_fit(scores, "score", label)
+
+
 def calibrated_cv(train: DataFrame, make_estimator, k: int = 3, method: str = "sigmoid",
-                  label: str = "label", features: str = "features", ensemble: bool = False):
-    """M9 (ensemble=False): out-of-fold margins from k fits -> one calibrator ->
-    base model refitted on all rows.  Returns (model, calibrator) where the
-    calibrator is (a, b) for sigmoid or an IsotonicRegressionModel.
-    A class with fewer than k rows raises."""
+                  label: str = "label", ensemble: bool = False) -> list[tuple]:
+    """M9: calibrated members (model, calibrator) for ``calibrated_prob``.
+
+    ``ensemble``: per fold a model fitted on the other folds and calibrated on
+    that fold.  Otherwise one member: out-of-fold margins from k fits -> one
+    calibrator -> base model refitted on all rows.  A calibrator is (a, b) for
+    sigmoid or an IsotonicRegressionModel.  A class with fewer than k rows raises."""
     per_class = train.groupBy(label).count().agg(F.min("count").alias("m")).first()["m"]
     if per_class is None or per_class < k:
         raise ValueError(f"requesting {k}-fold calibration but a class has {per_class} rows")
-    oof = None
+    members, oof = [], None
     for f in range(k):
         m = make_estimator().fit(train.where(F.col("fold") != f))
-        s = margin(m.transform(train.where(F.col("fold") == f)))
-        s = s.select(label, "score")
+        s = margin(m.transform(train.where(F.col("fold") == f))).select(label, "score")
+        if ensemble:
+            members.append((m, _calibrator(s, method, label)))
         oof = s if oof is None else oof.unionByName(s)
-    cal = platt_fit(oof, "score", label) if method == "sigmoid" else isotonic_fit(oof, "score", label)
-    return make_estimator().fit(train), cal
+    return members if ensemble else [(make_estimator().fit(train), _calibrator(oof, method, label))]
+
+
+def calibrated_prefit(model, held_out: DataFrame, method: str = "sigmoid", label: str = "label") -> list[tuple]:
+    """M9 ('prefit'): calibrator of an already fitted model on rows it has not seen."""
+    return [(model, _calibrator(margin(model.transform(held_out)), method, label))]
+
 
+def calibrate_if_needed(model, train: DataFrame, make_estimator, k: int = 5, label: str = "label") -> list[tuple]:
+    """A fitted model that gives probabilities is kept (calibrator None), a grid
+    search is unwrapped first; any other is calibrated by M9 (``fold`` column, k folds)."""
+    model = model.bestModel if isinstance(model, CrossValidatorModel) else model
+    if isinstance(model, ProbabilisticClassificationModel):
+        return [(model, None)]
+    return calibrated_cv(train, make_estimator, k, label=label, ensemble=False)
 
-def calibrated_prob(model, cal, df: DataFrame) -> DataFrame:
-    s = margin(model.transform(df))
-    if isinstance(cal, tuple):
-        return platt_apply(s, cal[0], cal[1])
-    return cal.setFeaturesCol("score").setPredictionCol("prob").transform(s)
+
+def calibrated_prob(members: list[tuple], df: DataFrame) -> DataFrame:
+    """``df`` with score (mean margin) and prob (mean calibrated probability of the members)."""
+    out, n = df, len(members)
+    for i, (model, cal) in enumerate(members):
+        s = margin(model.transform(out))
+        if cal is None:
+            s = s.withColumn("prob", vector_to_array("probability")[1])
+        elif isinstance(cal, tuple):
+            s = platt_apply(s, cal[0], cal[1])
+        else:
+            s = cal.setFeaturesCol("score").setPredictionCol("prob").transform(s)
+        out = s.select(*out.columns, F.col("score").alias(f"__score{i}"), F.col("prob").alias(f"__prob{i}"))
+    mean = [(sum((F.col(f"__{c}{i}") for i in range(n)), F.lit(0.0)) / n).alias(c) for c in ("score", "prob")]
+    return out.select(*df.columns, *mean)
+
+
+def linear_probability(member: tuple) -> tuple[list[float], float]:
+    """(coef, intercept) whose logistic function is a linear member's P(SAME)."""
+    model, cal = member
+    a, b = (-1.0, 0.0) if cal is None else cal
+    return [-a * float(c) for c in model.coefficients], -a * float(model.intercept) - b
 
 
 def normalize_probs(df: DataFrame, probs: str = "probs") -> DataFrame:
@@ -171,10 +208,16 @@ def naive_bayes(train: DataFrame, label: str = "label", features: str = "feature
     return NaiveBayes(modelType="multinomial", smoothing=smoothing, labelCol=label, featuresCol=features).fit(train)
 
 
-def linear_svc_lri(train: DataFrame, label: str = "label", features: str = "features", c: float = 1.0):
-    """M2 base: linear SVM (hinge loss) on random-indexed vectors; regParam = 1 / (C n)."""
+def linear_svc(n: int, label: str = "label", features: str = "features", c: float = 1.0) -> LinearSVC:
+    """M2 base: linear SVM (hinge loss) for n rows; regParam = 1 / (C n)."""
+    return LinearSVC(regParam=1.0 / (c * n), labelCol=label, featuresCol=features, maxIter=100, tol=1e-4, standardization=False)
+
+
+def svm_lri(train: DataFrame, k: int = 3, label: str = "label") -> list[tuple]:
+    """M2: linear SVM on random-indexed vectors with sigmoid calibration in k folds
+    (``fold`` column), the folds' probabilities averaged."""
     n = train.count()
-    return LinearSVC(regParam=1.0 / (c * n), labelCol=label, featuresCol=features, maxIter=100, tol=1e-4, standardization=False).fit(train)
+    return calibrated_cv(train, lambda: linear_svc(n, label), k, label=label, ensemble=True)
 
 
 def modified_huber_sgd(train: DataFrame, dims: int, epochs: int = 20, alpha: float = 1e-4, lr0: float = 0.1,

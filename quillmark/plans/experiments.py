@@ -6,7 +6,7 @@ binarised labels) and every report over the experiment log have SQL twins.
 """
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ from .queries import chain_pairs, q, round_doubles
 from .queries_more import _emb_eval_pairs, _emb_split, _scored_eval
 
 SEED = 42
+#: Dimensions of the random index of the SVM learner (M2).
+LRI_DIMS = 1000
 
 
 def _emb_labelled(spark, sf):
@@ -56,22 +58,35 @@ def _train_pairs(spark, sf, n=2000):
     return pairs, embedding_vectors(spark, sf)
 
 
+def _pair_folds(d, k):
+    return M.with_folds(d.withColumn("doc_id", F.struct("a", "b").cast("string")), "label", k)
+
+
+def _calibrated_pairs(spark, sf):
+    """M5 then M11: (coef, intercept) of P(SAME) of the embedding pair classifier."""
+    pairs, v = _train_pairs(spark, sf)
+    m = M.pair_classifier(pairs, v)
+    d = M.diff_pairs(pairs, v).withColumn("label", F.col("same").cast("double"))
+    members = M.calibrate_if_needed(m, _pair_folds(d, 5), lambda: M.linear_svc(d.count()))
+    return M.linear_probability(members[0])
+
+
 @q("train_svm_lri")
 def train_svm_lri(spark, sf):
     sp = C.stratified_split(documents_corpus(spark, sf))
     words = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
-    ri = FE.random_index_dictionary(FE.feature_index(words), 256, 2, 0)
-    vec = FE.dense_vectors(FE.random_indexing(words, ri), 256).join(sp.select("doc_id", "author", "split"), "doc_id")
+    ri = FE.random_index_dictionary(FE.feature_index(words), LRI_DIMS, 2, 0)
+    vec = FE.dense_vectors(FE.random_indexing(words, ri), LRI_DIMS).join(sp.select("doc_id", "author", "split"), "doc_id")
     vec = keep(vec)  # read by the pair sampler, the fit and the scoring
     tr = vec.where("split = 'train'")
     pairs = J.generate_pairs(tr.select("doc_id", "author"), 1000, 1000, -1, "round_robin", SEED)
     d = M.diff_pairs(pairs, tr).withColumn("label", F.col("same").cast("double"))
-    svm = M.linear_svc_lri(d)
+    d = keep(_pair_folds(d, 3))
+    members = M.svm_lri(d)
     te = vec.where("split = 'test'")
     ev = chain_pairs(te.select("doc_id", "author"))
-    s = svm.transform(M.diff_pairs(ev, te))
-    return s.select("a", "b", F.col("prediction").cast("int").alias("pred"),
-                    vector_to_array("rawPrediction")[1].alias("margin"))
+    s = M.calibrated_prob(members, M.diff_pairs(ev, te))
+    return s.select("a", "b", (F.col("prob") > 0.5).cast("int").alias("pred"), F.col("score").alias("margin"), "prob")
 
 
 @q("train_modified_huber")
@@ -139,9 +154,9 @@ def calibrated_cv(spark, sf):
     pairs, v = _train_pairs(spark, sf)
     d = M.diff_pairs(pairs, v).withColumn("label", F.col("same").cast("double"))
     d = keep(M.with_folds(d.withColumn("doc_id", F.col("a") * 1_000_003 + F.col("b")), "label", 3))
-    model, cal = M.calibrated_cv(d, lambda: LogisticRegression(standardization=False, maxIter=100), k=3)
+    members = M.calibrated_cv(d, lambda: LogisticRegression(standardization=False, maxIter=100), k=3)
     ev = M.diff_pairs(_emb_eval_pairs(spark, sf), v)
-    return M.calibrated_prob(model, cal, ev).select("a", "b", "same", "score", "prob")
+    return M.calibrated_prob(members, ev).select("a", "b", "same", "score", "prob")
 
 
 @q("normalize_probs")
@@ -170,10 +185,9 @@ def stacked_attribution(spark, sf):
 
 @q("aa_end_to_end")
 def aa_end_to_end(spark, sf):
-    """Pair classifier -> Platt calibration -> projection with P(SAME) -> kNN rule -> metrics."""
-    pairs, v = _train_pairs(spark, sf)
-    m = M.pair_classifier(pairs, v)
-    coef, icpt = [float(c) for c in m.coefficients], float(m.intercept)
+    """Pair classifier -> calibration if it gives no probabilities (M11; this one
+    does) -> projection with P(SAME) -> kNN rule -> metrics."""
+    coef, icpt = _calibrated_pairs(spark, sf)
     e = _emb_split(spark, sf)
     tr = e.where("split = 'train'").select("doc_id", "vec", "author")
     te = e.where("split = 'test'").select("doc_id", "vec", "author")
@@ -363,19 +377,25 @@ def _aa_metrics_row(pred: DataFrame, method: str, n_train: int) -> DataFrame:
 
 @q("aa_experiment")
 def aa_experiment(spark, sf):
-    """G18 (AA): STD-AA (multinomial LR on the vectors), Lazy AA (kNN rule on
-    cosine scores) and Stacked AA, each scored with G1-G4 into log rows."""
+    """G18 (AA): STD-AA (multinomial LR on the vectors), Lazy AA (kNN rule) and
+    Stacked AA, both on the pair classifier's P(SAME), each scored with G1-G4 into log rows."""
     from pyspark.ml.classification import LogisticRegression
-    from .queries_more import _knn_scores
     e = _emb_labelled(spark, sf)
     tr, te = e.where("split = 'train'"), e.where("split = 'test'")
     n_train = tr.count()
     truth = te.select("doc_id", F.col("author").alias("truth"))
     lr = LogisticRegression(standardization=False, maxIter=100, tol=1e-4, regParam=1.0 / n_train).fit(tr)
     p_lr = lr.transform(te).select("doc_id", F.col("prediction").cast("int").cast("string").alias("pred")).join(truth, "doc_id")
-    s, _ = _knn_scores(spark, sf)
+    coef, icpt = _calibrated_pairs(spark, sf)
+    ref, x = tr.select("doc_id", "vec", "author"), te.select("doc_id", "vec")
+    s = S.pairwise_projection(x, ref, "diff_logit", 128, reduce=R.knn_block_reduce(5), reduce_schema=R.SCORE_SCHEMA,
+                              coef=coef, intercept=icpt)
     p_knn = R.knn_attribution(s, 5).select("doc_id", "pred").join(truth, "doc_id")
-    p_st = stacked_attribution(spark, sf).select("doc_id", F.col("pred").cast("string").alias("pred")).join(truth, "doc_id")
+    ftr, fte = (R.stacked_features(S.pairwise_projection(y, ref, "diff_logit", 128, coef=coef, intercept=icpt))
+                for y in (ref, x))
+    ftr = ftr.join(tr.select("doc_id", "label"), "doc_id")
+    p_st = M.stacked_attribution(ftr, fte).select("doc_id", F.col("prediction").cast("int").cast("string").alias("pred"))
+    p_st = p_st.join(truth, "doc_id")
     rows = [_aa_metrics_row(p_lr, "LR", n_train), _aa_metrics_row(p_knn, "PairLRknn", n_train),
             _aa_metrics_row(p_st, "PairLRlinear", n_train)]
     out = rows[0]
