@@ -2,11 +2,13 @@
 
 1. A task splits its documents into words and closes a block whenever it holds
    ``block_chars`` characters (whole documents only).  A block is a CSR matrix
-   (row pointers, sorted columns, counts) over the block's own dictionary.
-2. The blocks' dictionaries are unified: all (block, word) entries are dealt by
+   (row pointers, sorted columns, counts) over a dictionary that up to
+   ``DICTIONARY_BLOCKS`` blocks of the task share while it stays small.
+2. The dictionaries are unified: all (dictionary, word) entries are dealt by
    the word's hash and ranked, which numbers every distinct word of the corpus
    from 0 without a gap.  Only dictionary entries are shuffled, never tokens.
-3. The numbers go back to their block, whose columns become global: a CSR shard.
+3. The numbers go back to their dictionary's blocks, whose columns become global:
+   CSR shards.
 4. Row sums and non-zero counts of the shards give filters A (too few words) and
    B (too few distinct words).  The flags C (capitals), D (odd signs) and E
    (same text as a smaller doc_id) are attached, and documents are counted by
@@ -46,9 +48,12 @@ ODD_SIGNS = "#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FILTERS = "ABCDE"
 BLOCK_CHARS = 1 << 23
+#: A dictionary is closed with the block that brings it to so many words or blocks.
+DICTIONARY_WORDS = 500_000
+DICTIONARY_BLOCKS = 16
 A, B, C, D, E = (1 << i for i in range(5))
 
-CSR = "block long, doc_ids binary, no_id binary, parts array<string>, flags binary, digests binary, indptr binary, cols binary, counts binary"
+CSR = "block long, dictionary long, doc_ids binary, no_id binary, parts array<string>, flags binary, digests binary, indptr binary, cols binary, counts binary"
 BLOCK_SCHEMA = CSR + ", words array<binary>"
 
 
@@ -70,9 +75,8 @@ def unpack_ints(data: bytes) -> np.ndarray:
 class Block:
     """Documents of one CSR block while it is built."""
 
-    def __init__(self):
-        self.local: dict[bytes, int] = defaultdict()
-        self.local.default_factory = self.local.__len__
+    def __init__(self, local: dict[bytes, int]):
+        self.local = local
         self.doc_ids, self.parts, self.flags, self.digests, self.rows = [], [], bytearray(), [], []
         self.chars = 0
 
@@ -87,10 +91,10 @@ class Block:
         self.parts.append(part)
         self.chars += len(text)
 
-    def close(self, number: int) -> pd.DataFrame:
+    def close(self, number: int, dictionary: int, last: bool) -> pd.DataFrame:
         n, width = len(self.rows), max(1, len(self.local))
-        doc = np.repeat(np.arange(n, dtype=np.int64), [len(r) for r in self.rows])
-        keys, counts = np.unique(doc * width + np.concatenate(self.rows), return_counts=True)
+        doc = np.repeat(np.arange(n, dtype=np.int64), np.array([len(r) for r in self.rows], dtype=np.int64))
+        keys, counts = np.unique(doc * width + np.concatenate([np.empty(0, np.int64), *self.rows]), return_counts=True)
         row, col = np.divmod(keys, width)
         indptr = np.searchsorted(row, np.arange(n + 1))
         step = np.diff(col, prepend=0)  # sorted columns are kept as steps from the one before
@@ -98,9 +102,16 @@ class Block:
         no_id = np.array([d is None for d in self.doc_ids])
         ids = np.array([0 if d is None else d for d in self.doc_ids], dtype="<i8")
         return pd.DataFrame({
-            "block": [number], "doc_ids": [ids.tobytes()], "no_id": [no_id.tobytes()], "parts": [self.parts],
+            "block": [number], "dictionary": [dictionary], "doc_ids": [ids.tobytes()], "no_id": [no_id.tobytes()], "parts": [self.parts],
             "flags": [bytes(self.flags)], "digests": [b"".join(self.digests)], "indptr": [pack_ints(indptr)],
-            "cols": [pack_ints(step)], "counts": [pack_ints(counts)], "words": [list(self.local)]})
+            "cols": [pack_ints(step)], "counts": [pack_ints(counts)], "words": [list(self.local) if last else []]})
+
+
+def new_dictionary() -> dict[bytes, int]:
+    """Numbers words in the order in which they are first looked up."""
+    local: dict[bytes, int] = defaultdict()
+    local.default_factory = local.__len__
+    return local
 
 
 def csr_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -111,16 +122,25 @@ def csr_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(BLOCK_SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = TaskContext.get().partitionId() << 32, Block()
+        number = dictionary = TaskContext.get().partitionId() << 32
+        block = Block(new_dictionary())
+
+        def close(last: bool) -> pa.RecordBatch:
+            nonlocal number, dictionary, block
+            last = last or len(block.local) >= DICTIONARY_WORDS or number - dictionary + 1 >= DICTIONARY_BLOCKS
+            frame = block.close(number, dictionary, last)
+            number, block = number + 1, Block(new_dictionary() if last else block.local)
+            dictionary = number if last else dictionary
+            return pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+
         for batch in batches:
             texts = batch.column("text")
             for i, (doc, part) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist())):
                 block.add(doc, texts[i].as_py() or "", part)
                 if block.chars >= block_chars:
-                    yield pa.RecordBatch.from_pandas(block.close(number), schema, preserve_index=False)
-                    number, block = number + 1, Block()
-        if block.rows:
-            yield pa.RecordBatch.from_pandas(block.close(number), schema, preserve_index=False)
+                    yield close(False)
+        if block.rows or number > dictionary:
+            yield close(True)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"))
@@ -128,19 +148,19 @@ def csr_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def word_codes(blocks: DataFrame) -> DataFrame:
-    """(block, pos, id): the global number of every dictionary entry of every block, written.
+    """(dictionary, pos, id): the global number of every entry of every dictionary, written.
 
     Equal words share a hash bucket; the number is the word's rank in its bucket
     plus the words of the buckets before it."""
     buckets = 4 * task_count(blocks)
-    entries = blocks.select("block", F.posexplode("words").alias("pos", "word"))
+    entries = blocks.select("dictionary", F.posexplode("words").alias("pos", "word"))
     entries = entries.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    ranked = save(entries.select("block", "pos", "bucket", (rank - 1).alias("rank")), "word-ranks")
+    ranked = save(entries.select("dictionary", "pos", "bucket", (rank - 1).alias("rank")), "word-ranks")
     sizes = ranked.groupBy("bucket").agg((F.max("rank") + 1).cast("long").alias("n"))
     start = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
     # a row per bucket: four times the shuffle's tasks at most
-    return ranked.join(F.broadcast(start), "bucket").select("block", "pos", (F.col("start") + F.col("rank")).alias("id"))
+    return ranked.join(F.broadcast(start), "bucket").select("dictionary", "pos", (F.col("start") + F.col("rank")).alias("id"))
 
 
 def csr_shards(blocks: DataFrame, codes: DataFrame) -> DataFrame:
@@ -148,16 +168,19 @@ def csr_shards(blocks: DataFrame, codes: DataFrame) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = np.zeros(len(right), dtype="<u8")
         ids[right["pos"].to_numpy()] = right["id"].to_numpy()
-        indptr, col = unpack_ints(left["indptr"].iat[0]).astype(np.int64), unpack_ints(left["cols"].iat[0]).astype(np.int64)
-        if len(col):
-            total = np.cumsum(col)
-            first = np.minimum(indptr[:-1], len(col) - 1)
-            col = total - np.repeat(total[first] - col[first], np.diff(indptr))
-        left["cols"] = [ids[col].tobytes()]
+        columns = []
+        for starts, steps in zip(left["indptr"], left["cols"]):
+            indptr, col = unpack_ints(starts).astype(np.int64), unpack_ints(steps).astype(np.int64)
+            if len(col):
+                total = np.cumsum(col)
+                first = np.minimum(indptr[:-1], len(col) - 1)
+                col = total - np.repeat(total[first] - col[first], np.diff(indptr))
+            columns.append(ids[col].tobytes())
+        left["cols"] = columns
         return left
 
     columns = [c.strip().split()[0] for c in CSR.split(", ")]
-    return (blocks.select(*columns).groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(run, CSR))
+    return (blocks.select(*columns).groupBy("dictionary").cogroup(codes.groupBy("dictionary")).applyInPandas(run, CSR))
 
 
 def document_flags(shards: DataFrame) -> DataFrame:

@@ -70,13 +70,15 @@ def test_empty(spark):
     assert A.filter_audit(docs, labels).count() == 0
 
 
-def test_shards_hold_the_document_term_matrix(spark):
+@pytest.mark.parametrize("words", [2, 500_000])
+def test_shards_hold_the_document_term_matrix(spark, monkeypatch, words):
+    monkeypatch.setattr(A, "DICTIONARY_WORDS", words)
     texts = {1: "b a b c", 2: "c c d", 3: "", 4: "é a"}
     docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").repartition(2)
     blocks = A.csr_blocks(docs, 3)
     codes = A.word_codes(blocks)
     word_of = {}
-    for r in codes.join(blocks.selectExpr("block", "posexplode(words) as (pos, word)"), ["block", "pos"]).collect():
+    for r in codes.join(blocks.selectExpr("dictionary", "posexplode(words) as (pos, word)"), ["dictionary", "pos"]).collect():
         assert word_of.setdefault(r["id"], r["word"]) == r["word"]
     assert sorted(word_of) == list(range(5))
     import numpy as np
