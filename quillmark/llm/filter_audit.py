@@ -91,7 +91,7 @@ class Block:
         self.parts.append(part)
         self.chars += len(text)
 
-    def close(self, number: int, dictionary: int, last: bool) -> pd.DataFrame:
+    def close(self, number: int, dictionary: int, last: bool) -> dict[str, list]:
         n, width = len(self.rows), max(1, len(self.local))
         doc = np.repeat(np.arange(n, dtype=np.int64), np.array([len(r) for r in self.rows], dtype=np.int64))
         keys, counts = np.unique(doc * width + np.concatenate([np.empty(0, np.int64), *self.rows]), return_counts=True)
@@ -101,10 +101,10 @@ class Block:
         step[indptr[:-1][indptr[:-1] < len(col)]] = col[indptr[:-1][indptr[:-1] < len(col)]]
         no_id = np.array([d is None for d in self.doc_ids])
         ids = np.array([0 if d is None else d for d in self.doc_ids], dtype="<i8")
-        return pd.DataFrame({
+        return {
             "block": [number], "dictionary": [dictionary], "doc_ids": [ids.tobytes()], "no_id": [no_id.tobytes()], "parts": [self.parts],
             "flags": [bytes(self.flags)], "digests": [b"".join(self.digests)], "indptr": [pack_ints(indptr)],
-            "cols": [pack_ints(step)], "counts": [pack_ints(counts)], "words": [list(self.local) if last else []]})
+            "cols": [pack_ints(step)], "counts": [pack_ints(counts)], "words": [list(self.local) if last else []]}
 
 
 def new_dictionary() -> dict[bytes, int]:
@@ -128,10 +128,10 @@ def csr_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         def close(last: bool) -> pa.RecordBatch:
             nonlocal number, dictionary, block
             last = last or len(block.local) >= DICTIONARY_WORDS or number - dictionary + 1 >= DICTIONARY_BLOCKS
-            frame = block.close(number, dictionary, last)
+            columns = block.close(number, dictionary, last)
             number, block = number + 1, Block(new_dictionary() if last else block.local)
             dictionary = number if last else dictionary
-            return pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
         for batch in batches:
             texts = batch.column("text")
@@ -165,21 +165,22 @@ def word_codes(blocks: DataFrame) -> DataFrame:
 
 def csr_shards(blocks: DataFrame, codes: DataFrame) -> DataFrame:
     """The blocks with global columns (unsigned 64-bit ids, row by row)."""
+    columns = [c.strip().split()[0] for c in CSR.split(", ")]
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = np.zeros(len(right), dtype="<u8")
         ids[right["pos"].to_numpy()] = right["id"].to_numpy()
-        columns = []
+        encoded = []
         for starts, steps in zip(left["indptr"], left["cols"]):
             indptr, col = unpack_ints(starts).astype(np.int64), unpack_ints(steps).astype(np.int64)
             if len(col):
                 total = np.cumsum(col)
                 first = np.minimum(indptr[:-1], len(col) - 1)
                 col = total - np.repeat(total[first] - col[first], np.diff(indptr))
-            columns.append(ids[col].tobytes())
-        left["cols"] = columns
-        return left
+            encoded.append(ids[col].tobytes())
+        kept = {c: left[c].tolist() for c in columns if c != "cols"} | {"cols": encoded}
+        return pd.DataFrame({c: pd.Series(kept[c], dtype=object) for c in columns})
 
-    columns = [c.strip().split()[0] for c in CSR.split(", ")]
     return (blocks.select(*columns).groupBy("dictionary").cogroup(codes.groupBy("dictionary")).applyInPandas(run, CSR))
 
 
@@ -189,6 +190,8 @@ def document_flags(shards: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
+                if not len(r.parts):  # a block that only closed its dictionary
+                    continue
                 indptr = unpack_ints(r.indptr).astype(np.int64)
                 running = np.concatenate(([0], np.cumsum(unpack_ints(r.counts), dtype=np.int64)))
                 words, distinct = running[indptr[1:]] - running[indptr[:-1]], np.diff(indptr)
