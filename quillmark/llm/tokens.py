@@ -4,21 +4,31 @@
 add_special_tokens=False)``, control strings taken as ordinary text.  The
 vocabulary's splitter never joins characters across a single blank that stands
 between two non-blank characters, so a text may be cut there and every distinct
-word be encoded by the library once and kept.
+word be encoded by the library once and kept.  It also cuts between letters and
+punctuation other than an apostrophe, so a new word with such a tail is made
+from its two parts.
 """
 from __future__ import annotations
 
 import re
 import sys
 import types
+from itertools import chain
 
-#: Words kept by one encoder, some 200 MB; beyond it the store starts anew.
+import numpy as np
+
+#: Words kept by one encoder in two generations, some 150 MB: when the young one is
+#: full it becomes the old one, and what is met again moves over.
 KEPT_WORDS = 1_000_000
-#: Characters whose new words go to the library in one call.
+#: Characters whose words are looked up in one call.
 BATCH_CHARS = 2_000_000
 
 _BLANK_PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Latin letters, then ASCII punctuation without the apostrophe.
+_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII that the splitter never cuts.
+_PIECE = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -37,6 +47,43 @@ def split_words(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+class Generation(dict):
+    """Words numbered in the order they are met; ids of word k in ``flat`` from start[k]."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.size = 0
+        self.start, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int32)
+        self.flat, self.used = np.zeros(4096, dtype="<u4"), 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def ids(self, word: str) -> bytes | None:
+        n = self.get(word, self.size)
+        if n >= self.size:
+            return None
+        a = self.start[n]
+        return self.flat[a:a + self.count[n]].tobytes()
+
+    def add(self, found: list[bytes]) -> None:
+        """Ids of the new words, in their order."""
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        end, used = self.size + len(found), self.used + len(ids)
+        if end > len(self.start):
+            self.start, self.count = np.resize(self.start, 2 * end), np.resize(self.count, 2 * end)
+        if used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * used)
+        self.flat[self.used:used] = ids
+        self.count[self.size:end] = counts
+        self.start[self.size:end] = self.used + np.cumsum(counts) - counts
+        self.size, self.used, self.new = end, used, []
+
+
 class WordEncoder:
     def __init__(self, path: str | None = None):
         import os
@@ -46,13 +93,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.young, self.old = Generation(), Generation()
+        self.model = self.tokenizer.model
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self) -> None:
+        """Ids of the words that the young generation has just met: from the old one, from
+        their parts, straight from the library's model where a part is one piece of ASCII
+        (the byte alphabet writes a blank as \u0120), else from the whole library."""
         from array import array
 
-        for word, enc in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = array("I", enc.ids).tobytes()
+        old, young, tail, piece, tokenize = self.old, self.young, _TAIL.fullmatch, _PIECE.fullmatch, self.model.tokenize
+        known: dict[str, bytes] = {}
+        rest: list[str] = []
+
+        def look(part: str) -> None:
+            if piece(part):
+                known[part] = array("I", [t.id for t in tokenize(part.replace(" ", "\u0120"))]).tobytes()
+            else:
+                known[part] = b""
+                rest.append(part)
+
+        for word in young.new:
+            if old and (ids := old.ids(word)) is not None:
+                known[word] = ids
+            elif not (m := tail(word)):
+                if word not in known:
+                    look(word)
+            else:
+                for part in m.groups():
+                    if part not in known:
+                        ids = young.ids(part) or (old and old.ids(part))
+                        if ids:
+                            known[part] = ids
+                        else:
+                            look(part)
+        for part, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[part] = array("I", enc.ids).tobytes()
+        found = []
+        for word in young.new:
+            ids = known.get(word)
+            if ids is None:
+                head, end = tail(word).groups()
+                ids = known[head] + known[end]
+            found.append(ids)
+        young.add(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; null is empty."""
@@ -66,14 +150,19 @@ class WordEncoder:
         return out + self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > KEPT_WORDS // 2:
+            self.young, self.old = Generation(), self.young
         split = [split_words(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {"": b""}
-        new = {w for words in split for w in words if w not in self.known}
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        words = np.fromiter(map(self.young.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        if self.young.new:
+            self._learn()
+        counts = self.young.count[words].astype(np.int64)
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.young.flat[np.repeat(self.young.start[words] - (ends - counts), counts) + np.arange(total)]
+        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 
 def worker_encoder(path: str | None = None) -> WordEncoder:
