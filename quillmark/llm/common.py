@@ -1,10 +1,22 @@
 """Small helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
+#: Bytes of a batch between Spark and Python where texts pass.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches by bytes: whole texts of 10,000 rows a batch
+    would be held several times over by a task and its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the session's shared folder and read again (cuts the lineage)."""

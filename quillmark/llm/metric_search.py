@@ -13,7 +13,8 @@ entries before their distance is computed.
 Exact: bounds carry a slack above rounding, and scores are integers.
 
 Defined cases: see ``vectors.usable`` (zero vectors take part here); vectors of
-another length than the queries have no score; fewer candidates than k: all of
+another length than a query have no score with it; rows that share a vec_id are
+rows like others, none of them an answer to that id; fewer candidates than k: all of
 them; no queries or an empty table: no rows; equal scores: smaller vec_id;
 components too large for exact doubles are handled without bounds, and scores
 beyond a long are held at its ends; extra columns are ignored.

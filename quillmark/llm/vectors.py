@@ -38,36 +38,36 @@ def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
 
 def pack(rows: DataFrame, block_rows: int, name: str,
          build: Callable[[np.ndarray, np.ndarray], bytes]) -> tuple[DataFrame, int]:
-    """(block, data): ``build(ids, matrix)`` of each block's rows by ascending id,
-    written to the shared folder, and the number of blocks.  Rows that share an
-    id count once."""
+    """(block, dims, data): ``build(ids, matrix)`` of each block's rows of one length by
+    ascending id, written to the shared folder, and the number of blocks.  Rows are
+    dealt by id and position, so neither a repeated id nor a repeated vector fills a block."""
     count = max(1, -(-rows.count() // block_rows))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found: dict[int, tuple] = {}
-        for i, x in zip(frame["vec_id"], frame["embedding"]):
-            found[int(i)] = min(found.get(int(i), tuple(x)), tuple(x))
-        ids = np.array(sorted(found), dtype=np.int64)
-        data = build(ids, np.array([found[i] for i in ids.tolist()], dtype=np.float64))
-        return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "data": [data]})
+        x, ids = np.stack(frame["embedding"].to_numpy()).astype(np.float64), frame["vec_id"].to_numpy()
+        order = np.lexsort((x[:, 0], ids))
+        return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "dims": [x.shape[1]],
+                             "data": [build(ids[order], x[order])]})
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(count)).cast("int"))
-    return save(placed.groupBy("block").applyInPandas(run, "block int, data binary"), name), count
+    spot = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    placed = rows.withColumn("block", F.pmod(spot, F.lit(count)).cast("int")).withColumn("dims", F.size("embedding"))
+    return save(placed.groupBy("block", "dims").applyInPandas(run, "block int, dims int, data binary"), name), count
 
 
 def search_blocks(index: tuple[DataFrame, int], queries: tuple[DataFrame, int],
                   search: Callable[[bytes, bytes], pd.DataFrame], schema: str) -> DataFrame:
-    """``search(index data, query data)`` for every pair of an index and a query block."""
+    """``search(index data, query data)`` for every pair of an index and a query block,
+    among vectors of equal length."""
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return search(left["data"].iat[0], right["data"].iat[0])
+        wanted = dict(zip(right["dims"], right["data"]))
+        found = [search(data, wanted[dims]) for dims, data in zip(left["dims"], left["data"]) if dims in wanted]
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    left = index[0].select("block", every(queries[1]).alias("part"), "data")
-    right = queries[0].select(every(index[1]).alias("block"), F.col("block").alias("part"), "data")
+    left = index[0].select("block", "dims", every(queries[1]).alias("part"), "data")
+    right = queries[0].select(every(index[1]).alias("block"), "dims", F.col("block").alias("part"), "data")
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, schema)
 
 

@@ -73,3 +73,26 @@ def test_usable_rows(spark):
     t = table(spark, odd_rows() + [(1, []), (2, [0.0]), (3, [1.0])])
     assert sorted(r["vec_id"] for r in vectors.usable(t, True).collect()) == [3]
     assert sorted(r["vec_id"] for r in vectors.usable(t, False).collect()) == [2, 3]
+
+
+SEARCHES = [lambda t, q: ann.nearest(t, q, 20, 4, 3), lambda t, q: metric_search.top_k(t, q, 20, 4, 3)]
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_unequal_lengths_meet_only_their_own(spark, search):
+    rows = [(i, [1.0 + i / 8, 2.0][: 1 + i % 2] + [0.5] * (i % 3 == 0)) for i in range(30)]
+    t = table(spark, rows + odd_rows())
+    got = search(t, t.where("vec_id % 7 = 0")).collect()
+    length = {i: len(e) for i, e in rows}
+    for q in (0, 7, 14, 21, 28):
+        mine = sorted(r["vec_id"] for r in got if r["query_id"] == q)
+        assert mine == [i for i in length if length[i] == length[q] and i != q]
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_repeated_ids_are_rows(spark, search):
+    t = table(spark, [(1, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (2, [5.0, 0.0]), (3, [1.0, 0.0])])
+    got = {q: [r["vec_id"] for r in sorted(search(t, t.where("vec_id < 3")).where(f"query_id = {q}").collect(), key=lambda r: r["rank"])]
+           for q in (1, 2)}
+    # every query row meets every row of another id
+    assert sorted(got[1]) == [2] * 6 + [3] * 3 and sorted(got[2]) == [1] * 6 + [3] * 2
