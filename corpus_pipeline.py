@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import mixing, near_dup, packing, quality, toxicity
-from quillmark.llm.common import save
+from quillmark.llm.common import bound_batches, save
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def shielded(docs: DataFrame, needed: list[str], step: Callable[[DataFrame], Dat
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counterfactual-regularised classifier scores below its threshold."""
+    bound_batches(spark)
     weights, intercept = toxicity.train(docs, labels_of(spark, sf_dir))
     return shielded(docs, ["text"], lambda d: toxicity.score(d, weights, intercept).where(
         F.col("score") < toxicity.THRESHOLD))
@@ -36,6 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality posterior, with their host's and path's, is good."""
+    bound_batches(spark)
     return shielded(docs, ["doc_id", "text", "source", "lang"],
                     lambda d: quality.quality(d, labels_of(spark, sf_dir)).where("kept"))
 
@@ -43,6 +45,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, 80 %); of rows
     that share a doc_id the first text; rows without a doc_id stay."""
+    bound_batches(spark)
     kept = near_dup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
@@ -65,6 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens, a row per piece."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 
