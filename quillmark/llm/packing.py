@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import worker_encoder
+from .tokens import KEPT_WORDS, worker_encoder
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 20
 STEP_WINDOWS = 8
 
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -173,10 +173,12 @@ class TaskPacker:
 
 
 def pack(docs: DataFrame, tokenizer_file: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID,
-         block_tokens: int = BLOCK_TOKENS, step_windows: int = STEP_WINDOWS, with_ids: bool = True) -> DataFrame:
+         block_tokens: int = BLOCK_TOKENS, step_windows: int = STEP_WINDOWS, with_ids: bool = True,
+         kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): where its ids lie in its
     document and in its sequence, the sequence's padded length and step group,
-    and, unless ``with_ids`` is false, the ids (little-endian uint32).
+    and, unless ``with_ids`` is false, the ids (little-endian uint32).  A Python
+    worker keeps the ids of ``kept_words`` words.
 
     Sequence and group ids are the task's number times 2^36 plus a count."""
     tiers = tuple(sorted(tiers))
@@ -186,7 +188,7 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, tiers: tuple[int, .
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = TaskPacker(TaskContext.get().partitionId() << 36, tiers, block_tokens, step_windows, with_ids)
-        encoder = worker_encoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file, kept_words)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             docs_of = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]

@@ -39,6 +39,8 @@ from .tokens import worker_encoder
 
 SHARD_TOKENS = 1 << 20
 END_ID = 0
+#: Words a worker keeps, some 300 MB.
+KEPT_WORDS = 2_000_000
 MAGIC = b"QMWM"
 HEAD = "<4sIIIQQI"
 NULL_DOC = -(1 << 63)
@@ -60,23 +62,25 @@ class WaveletMatrix:
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], np.zeros(bits, dtype=np.uint64)
         for level in range(bits):
-            bit = (a >> (bits - 1 - level)) & 1 == 1
+            bit = (a & a.dtype.type(1 << (bits - 1 - level))).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            low = a[~bit]
-            zeros[level] = len(low)
-            a = np.concatenate((low, a[bit]))
+            up, ones = np.empty_like(a), int(np.count_nonzero(bit))
+            zeros[level] = len(a) - ones
+            np.compress(~bit, a, out=up[:len(a) - ones])
+            np.compress(bit, a, out=up[len(a) - ones:])
+            a = up
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
         """All ids in order: the sorts are undone from the lowest plane up."""
-        out = np.zeros(self.n, dtype=np.uint32)
+        out = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up, z = np.empty_like(out), int(self.zeros[level])
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~bit)] = out[:z]
+            up[np.flatnonzero(bit)] = out[z:] | out.dtype.type(1 << (len(self.planes) - 1 - level))
             out = up
-        return out
+        return out.astype(np.uint32)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones of a plane before position i: directory word, then the rest."""
@@ -199,7 +203,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = worker_encoder(tokenizer_file)
+        encoder = worker_encoder(tokenizer_file, KEPT_WORDS)
         held: list[tuple[int, bytes]] = []
         tokens = 0
 

@@ -85,7 +85,7 @@ class Generation(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, kept: int = KEPT_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,7 +93,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         self.tokenizer.encode_special_tokens = True
-        self.young, self.old = Generation(), Generation()
+        self.kept, self.young, self.old = kept, Generation(), Generation()
         self.model = self.tokenizer.model
 
     def _learn(self) -> None:
@@ -150,7 +150,7 @@ class WordEncoder:
         return out + self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > KEPT_WORDS // 2:
+        if len(self.young) > self.kept // 2:
             self.young, self.old = Generation(), self.young
         split = [split_words(t) for t in texts]
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
@@ -165,13 +165,28 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 
-def worker_encoder(path: str | None = None) -> WordEncoder:
+def give_back() -> None:
+    """Returns memory that earlier tasks of this worker freed to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def worker_encoder(path: str | None = None, kept: int = KEPT_WORDS) -> WordEncoder:
     """The encoder of this Python worker, kept for its later tasks.
 
     Task code arrives pickled by value, without lasting globals, so the encoder
     lives in a module object of its own."""
+    give_back()
     state = sys.modules.setdefault("quillmark_worker_state", types.ModuleType("quillmark_worker_state"))
-    kept = state.__dict__.setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
+    encoders = state.__dict__.setdefault("encoders", {})
+    if (path, kept) not in encoders:
+        encoders[path, kept] = WordEncoder(path, kept)
+    return encoders[path, kept]
