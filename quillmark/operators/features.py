@@ -169,15 +169,61 @@ def random_indexing(features: DataFrame, ri: DataFrame) -> DataFrame:
     )
 
 
-def dense_vectors(long_df: DataFrame, dims: int, key: str = "dim") -> DataFrame:
-    """(doc_id, dim, val) -> (doc_id, vec array<double>) of fixed width ``dims``.
+def dense_vectors(long_df: DataFrame, dims: int, key: str = "dim", docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, dim, val) -> (doc_id, vec array<double>) of fixed width ``dims``; with
+    ``docs`` a row for each of its documents, all zero where nothing is known of it.
 
     Gathers one document's ``dims`` values (a bound set by the caller)."""
     g = long_df.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "val"))).alias("m"))
+    if docs is not None:
+        g = docs.select("doc_id").join(g, "doc_id", "left")
     return g.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
                                           lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))
 
 
+def indexed_documents(features: DataFrame, index: DataFrame, ri: DataFrame, docs: DataFrame, non_zeros: int = 2) -> DataFrame:
+    """A row per document of ``docs``: idx (its columns, ascending), val, and per column
+    ``non_zeros`` dims and weights of its random index; empty arrays without features."""
+    entries = ri.groupBy("block", "feat").agg(F.array_sort(F.collect_list(F.struct("dim", "weight"))).alias("r"))
+    none = F.struct(F.lit(0).alias("dim"), F.lit(0.0).alias("weight"))
+    padded = F.transform(F.sequence(F.lit(0), F.lit(non_zeros - 1)), lambda i: F.coalesce(F.get("r", i), none))
+    columns = index.join(entries, ["block", "feat"]).select("block", "feat", "idx", padded.alias("r"))
+    cells = features.join(columns, ["block", "feat"]).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "val", "r"))).alias("c"))
+    flat = docs.select("doc_id").join(cells, "doc_id", "left")
+    return flat.select("doc_id", *[F.coalesce(v, F.array().cast(t)).alias(n) for n, v, t in (
+        ("idx", F.col("c.idx"), "array<int>"), ("val", F.col("c.val"), "array<double>"),
+        ("dims", F.flatten(F.transform("c.r", lambda r: r["dim"])), "array<int>"),
+        ("weights", F.flatten(F.transform("c.r", lambda r: r["weight"])), "array<double>"))])
+
+
+def indexed_differences(pairs: DataFrame, documents: DataFrame, dims: int, non_zeros: int = 2) -> DataFrame:
+    """M2's input: ``pairs`` (a, b, ...) plus idx, val: the random index of |x_a - x_b|,
+    sparse, by the rows of ``indexed_documents``."""
+    import numpy as np
+
+    others = [c for c in pairs.columns if c not in ("a", "b")]
+    left = documents.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("idx", "val", "dims", "weights")])
+    right = documents.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("idx", "val", "dims", "weights")])
+    both = pairs.join(left, "a").join(right, "b")
+
+    def run(frames):
+        for frame in frames:
+            idx, val = [], []
+            for r in frame.itertuples(index=False):
+                _, first, at = np.unique(np.concatenate([r.idx_a, r.idx_b]), return_index=True, return_inverse=True)
+                gap = np.abs(np.bincount(at, np.concatenate([r.val_a, -np.asarray(r.val_b, dtype=float)]), len(first)))
+                to = np.concatenate([r.dims_a, r.dims_b]).astype(np.int64).reshape(-1, non_zeros)[first]
+                by = np.concatenate([r.weights_a, r.weights_b]).reshape(-1, non_zeros)[first]
+                out = np.bincount(to.ravel(), (gap[:, None] * by).ravel(), dims)
+                idx.append(np.flatnonzero(out).astype(np.int32))
+                val.append(out[idx[-1]])
+            yield frame[["a", "b", *others]].assign(idx=idx, val=val)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b", *others).schema.fields)
+    return both.mapInPandas(run, fields + ", idx array<int>, val array<double>")
+
+
 def assemble_blocks(blocks: Sequence[DataFrame]) -> DataFrame:
     """union of block tables (doc_id, block, feat, val)."""
     out = None

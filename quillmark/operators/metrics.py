@@ -82,6 +82,21 @@ def verification_metrics(pred: DataFrame) -> DataFrame:
     )
 
 
+def verifier_metrics(decisions: DataFrame) -> DataFrame:
+    """G4 for independent verifiers: (doc_id, truth, author, pred 0/1), a cell per
+    document and author; a document may have several authors or none."""
+    t, p = F.col("truth") == F.col("author"), F.col("pred") == 1
+
+    def n(c):
+        return F.sum(F.when(c, 1).otherwise(0))
+
+    c = decisions.groupBy("author").agg(n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn"), F.count(F.lit(1)).alias("n"))
+    f1 = _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    s = c.agg(F.avg(f1).alias("f1_macro"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "n")])
+    return s.select((F.lit(1.0) - (F.col("fp") + F.col("fn")) / F.col("n")).alias("acc"), "f1_macro",
+                    _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1_micro"))
+
+
 def binary_counts(df: DataFrame, truth: str = "same", pred: str = "pred") -> DataFrame:
     t, p = F.col(truth) == 1, F.col(pred) == 1
     return df.agg(

@@ -7,11 +7,9 @@ and stratified (md5 rank inside each class), so folds are reproducible.
 """
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
-                                       ProbabilisticClassificationModel)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, ProbabilisticClassificationModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -19,6 +17,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
+from . import linear as LN
 from .grouping import hash_rank
 from .similarity import PAIR_FUNCS, diff_vector, pair_vectors
 
@@ -213,44 +213,23 @@ def linear_svc(n: int, label: str = "label", features: str = "features", c: floa
     return LinearSVC(regParam=1.0 / (c * n), labelCol=label, featuresCol=features, maxIter=100, tol=1e-4, standardization=False)
 
 
-def svm_lri(train: DataFrame, k: int = 3, label: str = "label") -> list[tuple]:
-    """M2: linear SVM on random-indexed vectors with sigmoid calibration in k folds
-    (``fold`` column), the folds' probabilities averaged."""
-    n = train.count()
-    return calibrated_cv(train, lambda: linear_svc(n, label), k, label=label, ensemble=True)
-
+def svm_lri(rows: DataFrame, dims: int, k: int = 3, c: float = 1.0) -> list[tuple]:
+    """M2: squared-hinge linear SVM on random-indexed rows (cls 0/1, fold, idx, val) with
+    sigmoid calibration: a machine per left-out fold, all fitted in the same passes,
+    each calibrated on its fold.  Returns members (weights, (a, b))."""
+    packed = LN.blocks(rows, dims)
+    w = LN.fit(packed, dims, LN.Problems.of([(1, f, c) for f in range(k)]), "squared_hinge")
+    scores = keep(LN.margins(rows, w, ["cls", "fold"]))
+    return [(w[f], platt_fit(scores.where(F.col("fold") == f).select(F.col("margins")[f].alias("score"), F.col("cls").alias("label"))))
+            for f in range(k)]
 
-def modified_huber_sgd(train: DataFrame, dims: int, epochs: int = 20, alpha: float = 1e-4, lr0: float = 0.1,
-                       label: str = "label", vec: str = "vec"):
-    """M3: linear model with the modified Huber loss, full-batch gradient steps.
 
-    Each epoch is one distributed aggregate: per-row gradients are exploded to
-    (dim, g) and summed by dim (map-side combine), so only ``dims`` numbers
-    reach the driver per step.  Labels are mapped to +-1."""
-    w = [0.0] * dims
-    b = 0.0
-    d = train.select(F.when(F.col(label) == 1, 1.0).otherwise(-1.0).alias("y"), F.col(vec).alias("x")).cache()
-    n = d.count()
-    for ep in range(epochs):
-        wl = F.array(*[F.lit(v) for v in w])
-        z = F.aggregate(F.zip_with("x", wl, lambda xi, wi: xi * wi), F.lit(0.0), lambda acc, t: acc + t) + F.lit(b)
-        m = F.col("y") * z
-        dl = F.when(m >= 1, 0.0).when(m >= -1, -2.0 * (1 - m) * F.col("y")).otherwise(-4.0 * F.col("y"))
-        g = d.select(dl.alias("dl"), "x").select("dl", F.posexplode("x").alias("j", "xj"))
-        gs = g.groupBy("j").agg(F.sum(F.col("dl") * F.col("xj")).alias("g"))
-        gb = d.select(dl.alias("dl")).agg(F.sum("dl")).first()[0] or 0.0
-        grad = {r["j"]: r["g"] for r in gs.collect()}  # dims numbers
-        lr = lr0 / math.sqrt(ep + 1)
-        w = [w[j] - lr * (grad.get(j, 0.0) / n + alpha * w[j]) for j in range(dims)]
-        b -= lr * gb / n
-    d.unpersist()
-    return w, b
-
-
-def one_vs_rest(train: DataFrame, label: str = "label", features: str = "features", parallelism: int = 4):
-    """One binary logistic regression per author, fitted in parallel."""
-    base = LogisticRegression(standardization=False, maxIter=100, regParam=0.01)
-    return OneVsRest(classifier=base, labelCol=label, featuresCol=features, parallelism=parallelism).fit(train)
+def svm_probability(members: list[tuple], rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` plus score (mean margin) and prob (mean calibrated probability)."""
+    m = LN.margins(rows, np.stack([w for w, _ in members]), keys)
+    each = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(a) * F.col("margins")[i] + F.lit(b))) for i, (_, (a, b)) in enumerate(members)]
+    mean = sum((F.col("margins")[i] for i in range(len(members))), F.lit(0.0)) / len(members)
+    return m.select(*keys, mean.alias("score"), (sum(each, F.lit(0.0)) / len(members)).alias("prob"))
 
 
 def stacked_attribution(train_stacked: DataFrame, test_stacked: DataFrame, label: str = "label"):

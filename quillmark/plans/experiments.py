@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import features as FE
+from ..operators import linear as LN
 from ..operators import metrics as G
 from ..operators import models as M
 from ..operators import pairs as J
@@ -19,6 +20,7 @@ from ..operators import reports as RP
 from ..operators import rules as R
 from ..operators import similarity as S
 from ..operators import text_features as P
+from ..operators.grouping import global_index
 from ..session import keep, scratch_path
 from ..sources.testbed import documents_corpus, embedding_vectors
 from .queries import chain_pairs, q, round_doubles
@@ -27,6 +29,9 @@ from .queries_more import _emb_eval_pairs, _emb_split, _scored_eval
 SEED = 42
 #: Dimensions of the random index of the SVM learner (M2).
 LRI_DIMS = 1000
+#: Training pairs of a class at most for that learner.
+SVM_PAIRS = 10_000
+EMB_DIMS = 64
 
 
 def _emb_labelled(spark, sf):
@@ -73,28 +78,29 @@ def _calibrated_pairs(spark, sf):
 
 @q("train_svm_lri")
 def train_svm_lri(spark, sf):
-    sp = C.stratified_split(documents_corpus(spark, sf))
+    """M2: difference vectors of word TF-IDF, random-indexed, squared-hinge SVM, sigmoid
+    calibration; as many training pairs of a class as there are, 10,000 at most."""
+    sp = keep(C.stratified_split(documents_corpus(spark, sf)))
     words = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
-    ri = FE.random_index_dictionary(FE.feature_index(words), LRI_DIMS, 2, 0)
-    vec = FE.dense_vectors(FE.random_indexing(words, ri), LRI_DIMS).join(sp.select("doc_id", "author", "split"), "doc_id")
-    vec = keep(vec)  # read by the pair sampler, the fit and the scoring
-    tr = vec.where("split = 'train'")
-    pairs = J.generate_pairs(tr.select("doc_id", "author"), 1000, 1000, -1, "round_robin", SEED)
-    d = M.diff_pairs(pairs, tr).withColumn("label", F.col("same").cast("double"))
-    d = keep(_pair_folds(d, 3))
-    members = M.svm_lri(d)
-    te = vec.where("split = 'test'")
-    ev = chain_pairs(te.select("doc_id", "author"))
-    s = M.calibrated_prob(members, M.diff_pairs(ev, te))
+    index = FE.feature_index(words)
+    docs = keep(FE.indexed_documents(words, index, FE.random_index_dictionary(index, LRI_DIMS, 2, 0), sp))
+    tr, te = (sp.where(F.col("split") == s).select("doc_id", "author") for s in ("train", "test"))
+    pairs = J.generate_pairs(tr, -1, -1, SVM_PAIRS, "round_robin", SEED).select("a", "b", F.col("same").cast("int").alias("cls"))
+    folds = M.with_folds(pairs.withColumn("doc_id", F.struct("a", "b").cast("string")), "cls", 3).drop("doc_id")
+    members = M.svm_lri(keep(FE.indexed_differences(folds, docs, LRI_DIMS)), LRI_DIMS)
+    s = M.svm_probability(members, FE.indexed_differences(chain_pairs(te), docs, LRI_DIMS), ["a", "b"])
     return s.select("a", "b", (F.col("prob") > 0.5).cast("int").alias("pred"), F.col("score").alias("margin"), "prob")
 
 
 @q("train_modified_huber")
 def train_modified_huber(spark, sf):
-    pairs, v = _train_pairs(spark, sf, 500)
-    d = S.pair_vectors(pairs, v).select(F.col("same").alias("label"), S.diff_vector("va", "vb").alias("vec"))
-    w, b = M.modified_huber_sgd(d, 64, epochs=8)
-    return spark.createDataFrame([(j, float(x)) for j, x in enumerate(w)] + [(-1, float(b))], "dim long, weight double")
+    """M3 on the differences of as many training pairs of a class as there are, 500,000 at most."""
+    e = _emb_split(spark, sf).where("split = 'train'")
+    pairs = J.generate_pairs(e.select("doc_id", "author"), -1, -1, 500_000, "round_robin", SEED)
+    d = S.pair_vectors(pairs, embedding_vectors(spark, sf)).select(
+        F.col("same").cast("int").alias("cls"), F.lit(0).alias("fold"), S.diff_vector("va", "vb").alias("vec"))
+    w, _ = LN.fit_sgd(LN.blocks(LN.dense_rows(d, "vec"), EMB_DIMS), EMB_DIMS)
+    return spark.createDataFrame([(j if j < EMB_DIMS else -1, float(x)) for j, x in enumerate(w)], "dim long, weight double")
 
 
 @q("naive_bayes")
@@ -196,13 +202,28 @@ def aa_end_to_end(spark, sf):
     return round_doubles(G.attribution_metrics(pred))
 
 
+def _verifier_decisions(spark, sf):
+    """(decisions, attributions, training documents): a verifier per author of the
+    embeddings, all fitted in the same passes, C by folds; decisions (doc_id, truth,
+    author, pred) in long rows, attributions by the largest margin."""
+    e = _emb_split(spark, sf)
+    tr = keep(M.with_folds(e.where("split = 'train'"), "author", 5))
+    codes = global_index(tr.select("author").distinct(), ["author"], "label")
+    names = [r["author"] for r in codes.orderBy("label").collect()]  # a row per author with a verifier
+    rows = LN.dense_rows(tr.join(codes, "author").withColumn("cls", F.col("label").cast("int")), "vec")
+    w, _ = LN.fit_verifiers(rows, EMB_DIMS, len(names))
+    te = LN.dense_rows(e.where("split = 'test'").select("doc_id", F.col("author").alias("truth"), "vec"), "vec")
+    m = keep(LN.margins(te, w, ["doc_id", "truth"]))
+    table = F.array(*[F.lit(x) for x in names])
+    decisions = m.select("doc_id", "truth", F.posexplode("margins").alias("k", "z")).select(
+        "doc_id", "truth", F.get(table, F.col("k")).alias("author"), (F.col("z") > 0).cast("int").alias("pred"))
+    best = (F.array_position("margins", F.array_max("margins")) - 1).cast("int")
+    return decisions, m.select("doc_id", "truth", F.get(table, best).alias("pred")), tr
+
+
 @q("av_one_vs_rest")
 def av_one_vs_rest(spark, sf):
-    e = _emb_labelled(spark, sf)
-    m = M.one_vs_rest(e.where("split = 'train'"))
-    p = m.transform(e.where("split = 'test'")).select("doc_id", F.col("author").alias("truth"),
-                                                        F.col("prediction").cast("int").cast("string").alias("pred"))
-    return round_doubles(G.verification_metrics(p))
+    return round_doubles(G.verifier_metrics(_verifier_decisions(spark, sf)[0]))
 
 
 # ------------------------------------------------------------------ experiment log, reports
@@ -406,10 +427,10 @@ def aa_experiment(spark, sf):
 
 @q("av_experiment")
 def av_experiment(spark, sf):
-    """G18 (AV): one binary verifier per author (one-vs-rest), metrics G1/G4."""
-    e = _emb_labelled(spark, sf)
-    tr, te = e.where("split = 'train'"), e.where("split = 'test'")
-    m = M.one_vs_rest(tr)
-    p = m.transform(te).select("doc_id", F.col("author").alias("truth"),
-                               F.col("prediction").cast("int").cast("string").alias("pred"))
-    return round_doubles(_aa_metrics_row(p, "LRbin", tr.count()).withColumn("method", F.lit("LRbin")))
+    """G18 (AV): a verifier per author, G4 over their independent decisions; G1-G3 of the
+    largest margin beside it."""
+    decisions, best, tr = _verifier_decisions(spark, sf)
+    v = G.verifier_metrics(decisions).select(F.col("acc").alias("acc_verif"), F.col("f1_macro").alias("f1_verif"),
+                                             F.col("f1_micro").alias("f1_verif_micro"))
+    row = _aa_metrics_row(best, "LRbin", tr.count()).drop("acc_verif", "f1_verif", "f1_verif_micro")
+    return round_doubles(row.withColumn("__k", F.lit(1)).join(F.broadcast(v.withColumn("__k", F.lit(1))), "__k").drop("__k"))  # one row each
