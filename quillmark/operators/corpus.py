@@ -18,10 +18,14 @@ SEED = 42
 
 
 def stratified_split(corpus: DataFrame, test_size: float = 0.3, seed=SEED) -> DataFrame:
-    """Per author, the first round(test_size * n) docs of the seeded shuffle go to test."""
-    r = hash_rank(corpus, ["author"], seed, ["doc_id"], out="__rk", count_col="__n")
+    """Per author, the first round(test_size * n) docs of the seeded shuffle go to test.
+
+    Only (author, doc_id) is ranked; the flag is joined to the rows, so texts are never
+    sorted.  Rows that share an author and a doc_id share a flag (test, if any is in it)."""
+    r = hash_rank(corpus.select("author", "doc_id"), ["author"], seed, ["doc_id"], out="__rk", count_col="__n")
     split = F.when(F.col("__rk") <= F.round(F.col("__n") * F.lit(test_size)), "test").otherwise("train")
-    return r.withColumn("split", split).drop("__rk", "__n")
+    flags = r.select("author", "doc_id", split.alias("split")).groupBy("author", "doc_id").agg(F.min("split").alias("split"))
+    return corpus.join(flags, ["author", "doc_id"]).select(*corpus.columns, "split")
 
 
 def _require(df: DataFrame, facts: DataFrame, holds: str, message: str) -> DataFrame:

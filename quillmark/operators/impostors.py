@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey, uniform
+from .ordered import running_totals
 from .similarity import pairwise_projection
 
 SEED = 42
@@ -78,29 +79,22 @@ def impostor_decision(scores: DataFrame, sigma: float) -> DataFrame:
 def threshold_search_f1(scored: DataFrame, compat: bool = False) -> DataFrame:
     """Best threshold by F1 over the sorted validation scores.
 
-    Rows are sorted by (score, a, b); cut i (0-based, 1..n-2, score != 0) predicts
-    SAME for positions >= i.  Suffix sums give every cut's F1 in one pass; the
-    first best cut wins and sigma = its score.  Default (intended) mode only
-    cuts at the start of a tie group; ``compat`` cuts at every position.
-    The ordered pass runs over the validation pair list (bounded by its request).
+    In the order of (score, a, b), cut i (0-based, 1..n-2, score != 0) predicts SAME
+    for positions >= i; the first best cut wins and sigma = its score.  Default
+    (intended) mode cuts only at the start of a tie group, so equal scores are counted
+    together first; ``compat`` cuts at every position.  Positions and positives before
+    a cut are running totals over ranges of the order: no task sees all scores.
     """
-    w = Window.orderBy("score", "a", "b")
-    d = scored.withColumn("pos", F.row_number().over(w) - 1)
-    d = d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    d = d.withColumn("n_pos", F.sum("same").over(Window.partitionBy()))
-    d = d.withColumn("tp", F.sum("same").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    d = d.withColumn("prev", F.lag("score").over(w))
-    fp = (F.col("n") - F.col("pos")) - F.col("tp")
-    fn = F.col("n_pos") - F.col("tp")
+    if compat:
+        g, order = scored.select("score", "a", "b", F.lit(1).alias("n"), F.col("same").alias("p")), ["score", "a", "b"]
+    else:
+        g, order = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("p")), ["score"]
+    d = running_totals(g, order, ["n", "p"]).withColumn("pos", F.col("n_before")).withColumn("tp", F.col("p_all") - F.col("p_before"))
+    fp = (F.col("n_all") - F.col("pos")) - F.col("tp")
+    fn = F.col("p_all") - F.col("tp")
     d = d.withColumn("f1", F.when(2 * F.col("tp") + fp + fn == 0, F.lit(0.0)).otherwise(2 * F.col("tp") / (2 * F.col("tp") + fp + fn)))
-    cand = (F.col("pos") >= 1) & (F.col("pos") <= F.col("n") - 2) & (F.col("score") != 0)
-    if not compat:
-        cand = cand & (F.col("prev").isNull() | (F.col("prev") != F.col("score")))
-    c = d.where(cand)
-    wb = Window.orderBy(F.round("f1", 9).desc(), "pos")
-    return c.withColumn("__r", F.row_number().over(wb)).where("__r = 1").select(
-        F.col("score").alias("sigma"), "f1", "pos"
-    )
+    cuts = d.where((F.col("pos") >= 1) & (F.col("pos") <= F.col("n_all") - 2) & (F.col("score") != 0))
+    return cuts.orderBy(F.round("f1", 9).desc(), "pos").limit(1).select(F.col("score").alias("sigma"), "f1", "pos")
 
 
 def masks_matrix(subsets: DataFrame, n_features: int, k: int) -> np.ndarray:

@@ -6,9 +6,11 @@ label matrix is ever expanded.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles, running_totals
+
 
 def _ratio(num, den):
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
@@ -120,16 +122,14 @@ def sav_metrics(df: DataFrame, truth: str = "same", pred: str = "pred") -> DataF
 
 
 def auc(df: DataFrame, truth: str = "same", score: str = "score") -> DataFrame:
-    """G5 AUC (Mann-Whitney, ties count one half): scores are grouped first, so
-    the ordered pass runs over distinct score values only."""
+    """G5 AUC (Mann-Whitney, ties count one half): scores are grouped first, and the
+    negatives below each are running totals over ranges of the scores."""
     g = df.groupBy(score).agg(
         F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"),
     )
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    s = g.agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u"),
+    s = running_totals(g, [score], ["neg"]).agg(
+        F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("u"),
         F.sum("pos").alias("np"), F.sum("neg").alias("nn"),
     )
     return s.select((F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
@@ -170,7 +170,7 @@ def calibration_curve(df: DataFrame, truth: str = "y", prob: str = "p", n_bins:
         d = d.withColumn("bin", bid)
     else:
         qs = [i / n_bins for i in range(n_bins + 1)]
-        edges = d.agg(F.percentile("p", F.array(*[F.lit(q) for q in qs])).alias("e")).withColumn("__k", F.lit(1))
+        edges = exact_quantiles(d, "p", qs, "e").withColumn("__k", F.lit(1))
         d = d.withColumn("__k", F.lit(1)).join(F.broadcast(edges), "__k")
         inner = F.slice(F.col("e"), 2, n_bins - 1)
         d = d.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("p"))))

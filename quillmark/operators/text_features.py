@@ -89,12 +89,12 @@ def sentence_length_profile(corpus: DataFrame, downto: int = 3, upto: int = 70)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Per-document work on a scan with fewer partitions than task slots (small
-    files, one row group) is spread by doc_id; large scans keep their splits."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, "doc_id")
-    return df
+    """Deals documents by doc_id into a shuffle's tasks before their terms are counted:
+    texts cross the network once, and the counts by (doc_id, term), many times their
+    size, are then grouped where they are made."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, "doc_id")
 
 
 def _term_counts(corpus: DataFrame, terms, block: str) -> DataFrame:
