@@ -263,8 +263,15 @@ SELECT feat, round(q / t - t, 6) AS chi2 FROM s WHERE t > 0 ORDER BY q / t - t D
 WL_DENSE = f"""SELECT doc_id, CAST(i AS VARCHAR) AS feat, len(list_filter(lens, x -> x >= i)) / greatest(1, len(lens)) AS val
 FROM (SELECT doc_id, list_transform({STYLE}, w -> length(w)) AS lens FROM ({{src}})), range(1, 23) r(i)"""
 
+SL_DENSE = f"""SELECT doc_id, CAST(i AS VARCHAR) AS feat, len(list_filter(lens, x -> x >= i)) / greatest(1, len(lens)) AS val
+FROM (SELECT doc_id, list_transform({SENTS}, s -> len({style_of('s')})) AS lens FROM ({{src}})), range(3, 70) r(i)"""
+FW_DENSE = f"""SELECT d.doc_id, 'fw:' || lpad(CAST(fwl.idx AS VARCHAR), 3, '0') || ':' || fwl.word AS feat,
+  len(list_filter(d.tk, t -> t = fwl.word)) / greatest(1, len(d.tk)) AS val
+FROM (SELECT doc_id, lang, {STYLE} AS tk FROM ({{src}})) d
+JOIN {fw_table()} ON fwl.lang = CASE WHEN d.lang IN ({", ".join(lit(x) for x in T.FUNCTION_WORDS)}) THEN d.lang ELSE 'en' END"""
+
 o("standardize_train_apply", f"""
-WITH sp AS ({SPLIT}), d AS ({WL_DENSE.replace("{src}", 'SELECT * FROM sp')}),
+WITH sp AS MATERIALIZED ({SPLIT}), d AS MATERIALIZED ({WL_DENSE.replace("{src}", 'SELECT * FROM sp')}),
 st AS (SELECT feat, avg(val) AS mean, CASE WHEN stddev_pop(val) = 0 THEN 1.0 ELSE stddev_pop(val) END AS scale
   FROM d WHERE doc_id IN (SELECT doc_id FROM sp WHERE split = 'train') GROUP BY feat)
 SELECT d.doc_id, d.feat, round((d.val - st.mean) / st.scale, 6) AS val FROM d JOIN st ON d.feat = st.feat

@@ -404,7 +404,7 @@ SELECT CAST(k AS BIGINT) AS k, round(acc, 6) AS acc,
 """)
 
 # ------------------------------------------------------------------ feature matrix, random indexing, sparse diff
-from .oracle import PUNCT_COUNTS, WL_DENSE, WORD_COUNTS, tfidf_sql  # noqa: E402
+from .oracle import CHAR_COUNTS, FW_DENSE, PUNCT_COUNTS, SL_DENSE, TAG_COUNTS, WL_DENSE, WORD_COUNTS, tfidf_sql  # noqa: E402
 
 BLOCK_ORDER = "CASE block WHEN 'post' THEN 0 WHEN 'punct' THEN 1 WHEN 'word' THEN 2 WHEN 'char' THEN 3 WHEN 'fw' THEN 4 WHEN 'wl' THEN 5 WHEN 'sl' THEN 6 ELSE 99 END"
 BLOCKS = f"""SELECT doc_id, 'punct' AS block, feat, val FROM ({tfidf_sql(PUNCT_COUNTS)})
@@ -417,6 +417,33 @@ ix AS (SELECT block, feat, CAST(row_number() OVER (ORDER BY {BLOCK_ORDER}, block
 SELECT b.doc_id, ix.idx, round(b.val, 6) AS val FROM b JOIN ix ON b.block = ix.block AND b.feat = ix.feat
 """)
 
+SP = "SELECT * FROM sp"
+o("feature_extractor", f"""
+WITH sp AS MATERIALIZED ({split_sql()}),
+sparse AS MATERIALIZED (SELECT doc_id, 'post' AS block, feat, val FROM ({tfidf_sql(TAG_COUNTS)})
+  UNION ALL SELECT doc_id, 'punct', feat, val FROM ({tfidf_sql(PUNCT_COUNTS)})
+  UNION ALL SELECT doc_id, 'word', feat, val FROM ({tfidf_sql(WORD_COUNTS, 3)})
+  UNION ALL SELECT doc_id, 'char', feat, val FROM ({tfidf_sql(CHAR_COUNTS)})),
+tr AS MATERIALIZED (SELECT doc_id, author FROM sp WHERE split = 'train'),
+pc AS (SELECT author, count(*) / (SELECT count(*) FROM tr) AS p_c FROM tr GROUP BY author),
+ob AS (SELECT s.block, s.feat, tr.author, sum(s.val) AS o FROM sparse s JOIN tr ON s.doc_id = tr.doc_id GROUP BY s.block, s.feat, tr.author),
+sc AS (SELECT block, feat, sum(o * o / p_c) / sum(o) - sum(o) AS chi2 FROM ob JOIN pc ON ob.author = pc.author
+  GROUP BY block, feat HAVING sum(o) > 0),
+rk AS (SELECT e.block, e.feat, row_number() OVER (ORDER BY coalesce(round(sc.chi2, 9), 0) DESC, e.block, e.feat) AS r
+  FROM (SELECT DISTINCT block, feat FROM sparse) e LEFT JOIN sc ON sc.block = e.block AND sc.feat = e.feat),
+dense AS MATERIALIZED (SELECT doc_id, 'fw' AS block, feat, val FROM ({FW_DENSE.replace("{src}", SP)})
+  UNION ALL SELECT doc_id, 'wl', lpad(feat, 2, '0'), val FROM ({WL_DENSE.replace("{src}", SP)})
+  UNION ALL SELECT doc_id, 'sl', lpad(feat, 2, '0'), val FROM ({SL_DENSE.replace("{src}", SP)})),
+st AS (SELECT block, feat, avg(val) AS mean, CASE WHEN stddev_pop(val) = 0 THEN 1.0 ELSE stddev_pop(val) END AS scale
+  FROM dense WHERE doc_id IN (SELECT doc_id FROM tr) GROUP BY block, feat),
+b AS (SELECT s.doc_id, s.block, s.feat, s.val FROM sparse s JOIN rk ON rk.block = s.block AND rk.feat = s.feat AND rk.r <= 50000
+  UNION ALL SELECT d.doc_id, d.block, d.feat, (d.val - st.mean) / st.scale FROM dense d JOIN st ON st.block = d.block AND st.feat = d.feat),
+ix AS (SELECT block, feat, row_number() OVER (ORDER BY {BLOCK_ORDER}, block, feat) - 1 AS idx FROM (SELECT DISTINCT block, feat FROM b))
+SELECT b.doc_id, b.block, count(*) AS n, round(sum(b.val), 6) AS total, round(sum(b.val * b.val), 6) AS squares,
+  CAST(sum(ix.idx) AS BIGINT) AS columns
+FROM b JOIN ix ON ix.block = b.block AND ix.feat = b.feat GROUP BY b.doc_id, b.block
+""")
+
 H0 = "md5(concat_ws('|', '0', CAST(feat AS VARCHAR)))"
 o("random_indexing", f"""
 WITH w AS ({tfidf_sql(WORD_COUNTS, 3)}),

@@ -270,6 +270,17 @@ def feature_matrix(spark, sf):
     return round_doubles(blocks.join(idx, ["block", "feat"]).select("doc_id", "idx", "val"))
 
 
+@q("feature_extractor")
+def feature_extractor(spark, sf):
+    """F4 + F5: seven blocks, one chi2 selection of 50,000 columns over all sparse ones;
+    per (document, block) the number of cells, sums of values, squares and column numbers."""
+    from ..operators.extractor import extract
+    features, _ = extract(_train_split(spark, sf))
+    return round_doubles(features.groupBy("doc_id", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares"),
+        F.sum("idx").cast("long").alias("columns")))
+
+
 @q("random_indexing")
 def random_indexing(spark, sf):
     sp = _train_split(spark, sf)
