@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hkey, uniform
+from ..session import keep
+from .grouping import global_index
 from .ordered import running_totals
+from .pairs import verification_coordinates
 from .similarity import pairwise_projection
 
 SEED = 42
@@ -179,3 +182,36 @@ def impostor_scores_by_pair(pairs: DataFrame, vectors: DataFrame, impostors: Dat
     return rows.groupBy("a", "b").cogroup(draws.groupBy("d_a", "d_b")).applyInPandas(
         score,
         "a long, b long, score_ab double, score_ba double, score double")
+
+
+def author_halves(train: DataFrame) -> DataFrame:
+    """``train`` with half: 0 for the first half of the sorted authors (the smaller
+    one, if their number is odd), 1 for the others."""
+    authors = global_index(train.select("author").distinct(), ["author"], "__i")
+    n = authors.agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.lit(1))  # one row
+    half = F.when(F.col("__i") < F.floor(F.col("__n") / 2), 0).otherwise(1)
+    halves = authors.withColumn("__k", F.lit(1)).join(F.broadcast(n), "__k").select("author", half.alias("half"))
+    return train.join(halves, "author")
+
+
+def fitted_sigma(train: DataFrame, vectors: DataFrame, n_features: int, m: int, n: int, k: int, similarity: str,
+                 subsample: int = 500, seed=SEED, block_rows: int = 1024) -> DataFrame:
+    """One row (sigma, f1, pos), or none if there is no cut: balanced pairs of the
+    second half of the authors of ``train`` (doc_id, author), ``subsample`` of them at most,
+    scored with impostors from the first half."""
+    h = keep(author_halves(train))
+    known, val = (h.where(F.col("half") == x).select("doc_id", "author") for x in (0, 1))
+    p = impostor_params(known, m, n).first()
+    pairs = keep(verification_coordinates(val, True, subsample, seed).select("a", "b", "same"))
+    own, ref = (vectors.join(d.select("doc_id"), "doc_id") for d in (val, known))
+    imps = top_impostors(own.select("doc_id", "vec"), ref, p["m"], similarity, block_rows)
+    subsets = feature_subsets(n_features, k, seed, train.sparkSession)
+    scores = impostor_scores_by_pair(pairs.select("a", "b"), vectors, imps, subsets, p["m"], p["n"], k, n_features, similarity, seed)
+    return threshold_search_f1(scores.join(pairs, ["a", "b"]).select("a", "b", "same", "score"))
+
+
+def decide_by_sigma(scores: DataFrame, sigma: DataFrame, fallback: float = 0.5) -> DataFrame:
+    """``scores`` with sigma (``fallback``, if ``sigma`` has no row) and pred = score > sigma."""
+    found = sigma.agg(F.coalesce(F.max("sigma"), F.lit(fallback)).alias("sigma")).withColumn("__k", F.lit(1))
+    d = scores.withColumn("__k", F.lit(1)).join(F.broadcast(found), "__k").drop("__k")  # one row
+    return d.withColumn("pred", (F.col("score") > F.col("sigma")).cast("int"))

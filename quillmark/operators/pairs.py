@@ -149,6 +149,14 @@ def pair_request(capacity: DataFrame, pos_request: int, neg_request: int, max_re
     )
 
 
+def pair_request_per_doc(capacity: DataFrame, pos: str, neg: str) -> DataFrame:
+    """J7 with requests that grow with the corpus: ``pos`` and ``neg`` are whole-number
+    expressions over n_docs, each clipped to its capacity."""
+    return capacity.select("corpus_id", "max_pos", "max_neg",
+                           F.least(F.expr(pos).cast("long"), F.col("max_pos")).alias("pos_req"),
+                           F.least(F.expr(neg).cast("long"), F.col("max_neg")).alias("neg_req"))
+
+
 def _order_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("a", F.least(x, y)).withColumn("b", F.greatest(x, y))
 

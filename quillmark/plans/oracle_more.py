@@ -152,7 +152,8 @@ rr_out AS (SELECT corpus_id, author, a, b, 1 AS same, round FROM (
         "\nSELECT * FROM rr_out" if with_clause else "")
 
 
-o("positive_pairs_round_robin", rr_sql(400))
+N_DOCS = "sum(n) OVER (PARTITION BY corpus_id)"
+o("positive_pairs_round_robin", rr_sql(f"CAST({N_DOCS} * 3 // 2 AS BIGINT)"))
 
 
 def share_sql(src: str, size: str, req: str) -> str:
@@ -202,7 +203,7 @@ uneg_out AS (SELECT s.corpus_id, s.before + s.d + 1 AS rk, least(x.doc_id, y.doc
 
 
 o("positive_pairs_random", f"""
-WITH {uniform_pos_sql("42", "400", IDX_LS)}
+WITH {uniform_pos_sql("42", f"CAST(least(sum(P) OVER (PARTITION BY corpus_id), {N_DOCS} * 3 // 2) AS BIGINT)", IDX_LS)}
 SELECT corpus_id, a, b, 1 AS same, rk FROM pos_out
 """)
 
@@ -342,23 +343,37 @@ WHERE r <= nf // 2
 
 ATE = f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({TE}) t ON v.doc_id = t.doc_id"
 ATR = f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({TR}) t ON v.doc_id = t.doc_id"
-TOPIMP = f"""SELECT doc_id, imp_rank, imp_id, sim FROM (
+
+
+def topimp_sql(docs: str, ref: str) -> str:
+    return f"""SELECT doc_id, imp_rank, imp_id, sim FROM (
   SELECT x.doc_id, r.doc_id AS imp_id, {MINMAX('x.vec', 'r.vec')} AS sim,
     row_number() OVER (PARTITION BY x.doc_id ORDER BY round({MINMAX('x.vec', 'r.vec')}, 9) DESC, r.doc_id) AS imp_rank
-  FROM ({ATE}) x, ({ATR}) r) WHERE imp_rank <= 20"""
+  FROM ({docs}) x, ({ref}) r) WHERE imp_rank <= 20"""
+
+
+TOPIMP = topimp_sql(ATE, ATR)
 o("top_impostors", f"SELECT doc_id, CAST(imp_rank AS BIGINT) AS imp_rank, imp_id, round(sim, 6) AS sim FROM ({TOPIMP})")
 
-DRAWS = f"""SELECT a, b, dir, iter, j, CAST(floor({sql_uniform(42, 'a', 'b', 'dir', 'iter', 'j')} * 20) + 1 AS BIGINT) AS imp_rank
-FROM (SELECT a, b FROM ({EVAL})), (VALUES (0), (1)) d(dir), range(0, 30) i(iter), range(0, 5) jj(j)"""
+
+
+def draws_sql(ev: str) -> str:
+    return f"""SELECT a, b, dir, iter, j, CAST(floor({sql_uniform(42, 'a', 'b', 'dir', 'iter', 'j')} * 20) + 1 AS BIGINT) AS imp_rank
+FROM (SELECT a, b FROM ({ev})), (VALUES (0), (1)) d(dir), range(0, 30) i(iter), range(0, 5) jj(j)"""
+
+
+DRAWS = draws_sql(EVAL)
 o("impostor_draws", f"SELECT a, b, CAST(dir AS INTEGER) AS dir, iter, j, imp_rank FROM ({DRAWS})")
 
-IMP_SCORES = f"""
-WITH ev AS ({EVAL}),
+
+def imp_scores_sql(ev: str, topimp: str) -> str:
+    return f"""
+WITH ev AS ({ev}),
 av AS ({ABS_VECTORS}),
 lv AS (SELECT doc_id, unnest(range(0, len(vec))) AS f, unnest(vec) AS val FROM av),
 sub AS ({SUBSETS.replace("{k}", "30")}),
-dr AS (SELECT d.*, CASE WHEN dir = 0 THEN a ELSE b END AS x, CASE WHEN dir = 0 THEN b ELSE a END AS v FROM ({DRAWS}) d),
-di AS (SELECT dr.*, t.imp_id FROM dr JOIN ({TOPIMP}) t ON t.doc_id = dr.v AND t.imp_rank = dr.imp_rank),
+dr AS (SELECT d.*, CASE WHEN dir = 0 THEN a ELSE b END AS x, CASE WHEN dir = 0 THEN b ELSE a END AS v FROM ({draws_sql(ev)}) d),
+di AS (SELECT dr.*, t.imp_id FROM dr JOIN ({topimp}) t ON t.doc_id = dr.v AND t.imp_rank = dr.imp_rank),
 si AS (SELECT di.a, di.b, di.dir, di.iter, di.j,
   CASE WHEN sum(greatest(lx.val, li.val)) = 0 THEN 0.0 ELSE sum(least(lx.val, li.val)) / sum(greatest(lx.val, li.val)) END AS s
   FROM di JOIN sub ON sub.iter = di.iter JOIN lv lx ON lx.doc_id = di.x AND lx.f = sub.feat JOIN lv li ON li.doc_id = di.imp_id AND li.f = sub.feat
@@ -373,16 +388,43 @@ ds AS (SELECT best.a, best.b, best.dir, sum(CASE WHEN sx.s_xv >= best.s_imp THEN
   FROM best JOIN sx ON sx.a = best.a AND sx.b = best.b AND sx.dir = best.dir AND sx.iter = best.iter GROUP BY best.a, best.b, best.dir),
 sc AS (SELECT a, b, max(CASE WHEN dir = 0 THEN s END) AS score_ab, max(CASE WHEN dir = 1 THEN s END) AS score_ba FROM ds GROUP BY a, b)
 SELECT sc.a, sc.b, ev.same, sc.score_ab, sc.score_ba, (sc.score_ab + sc.score_ba) / 2 AS score FROM sc JOIN ev ON ev.a = sc.a AND ev.b = sc.b"""
+
+
+IMP_SCORES = imp_scores_sql(EVAL, TOPIMP)
 o("impostor_scores", f"SELECT a, b, same, round(score_ab, 6) AS score_ab, round(score_ba, 6) AS score_ba, round(score, 6) AS score FROM ({IMP_SCORES})")
 o("impostors_eval", sav_metrics_sql(f"SELECT *, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS pred FROM ({IMP_SCORES})"))
-o("threshold_search_f1", f"""
-WITH s AS ({IMP_SCORES}),
+
+
+def best_cut_sql(scores: str) -> str:
+    return f"""
+WITH s AS ({scores}),
 d AS (SELECT *, row_number() OVER (ORDER BY score, a, b) - 1 AS pos, count(*) OVER () AS n, sum(same) OVER () AS n_pos,
   sum(same) OVER (ORDER BY score, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tp,
   lag(score) OVER (ORDER BY score, a, b) AS prev FROM s),
 f AS (SELECT *, CASE WHEN 2 * tp + (n - pos - tp) + (n_pos - tp) = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + (n - pos - tp) + (n_pos - tp)) END AS f1 FROM d
   WHERE pos >= 1 AND pos <= n - 2 AND score <> 0 AND (prev IS NULL OR prev <> score))
-SELECT round(score, 6) AS sigma, round(f1, 6) AS f1, CAST(pos AS BIGINT) AS pos FROM f ORDER BY round(f1, 9) DESC, pos LIMIT 1
+SELECT score AS sigma, f1, CAST(pos AS BIGINT) AS pos FROM f ORDER BY round(f1, 9) DESC, pos LIMIT 1"""
+
+
+o("threshold_search_f1", f"SELECT round(sigma, 6) AS sigma, round(f1, 6) AS f1, pos FROM ({best_cut_sql(IMP_SCORES)})")
+
+HALVES = f"""SELECT *, CASE WHEN dense_rank() OVER (ORDER BY author) <= (SELECT count(DISTINCT author) FROM ({TR})) // 2
+  THEN 0 ELSE 1 END AS half FROM ({TR})"""
+VAL_DOCS = f"SELECT doc_id, author FROM ({HALVES}) WHERE half = 1"
+VAL_PAIRS = f"""WITH {uniform_pos_sql('42v', VC_REQ_POS.replace('1000', '500'), idx_of(VAL_DOCS, '42'))},
+{uniform_neg_sql('42v', VC_REQ_NEG.replace('1000', '500'), idx_of(VAL_DOCS, '42'))}
+SELECT a, b, 1 AS same FROM pos_out UNION ALL SELECT a, b, 0 AS same FROM uneg_out"""
+
+
+def half_vectors(half: int) -> str:
+    return f"SELECT v.doc_id, v.vec FROM ({ABS_VECTORS}) v JOIN ({HALVES}) h ON v.doc_id = h.doc_id AND h.half = {half}"
+
+
+o("impostors_fitted", f"""
+WITH val AS MATERIALIZED ({VAL_PAIRS}),
+sg AS MATERIALIZED (SELECT coalesce(max(sigma), 0.5) AS sigma FROM ({best_cut_sql(imp_scores_sql("SELECT * FROM val", topimp_sql(half_vectors(1), half_vectors(0))))}))
+SELECT a, b, same, round(score, 6) AS score, round(sigma, 6) AS sigma, CASE WHEN score > sigma THEN 1 ELSE 0 END AS pred
+FROM ({IMP_SCORES}), sg
 """)
 
 # ------------------------------------------------------------------ self-tuned k
@@ -706,7 +748,7 @@ SELECT corpus_id, a, b, same FROM rr_out UNION ALL SELECT corpus_id, a, b, 0 AS
 # ------------------------------------------------------------------ named entries
 o("positive_pairs", rr_sql(10 ** 15))
 o("negative_pairs_large", f"""
-WITH {negative_sql('42', '15000', idx_part(CORPUS, "'all'"))}
+WITH {negative_sql('42', 'least(sum(n) * 20, (sum(n) * sum(n) - sum(n * n)) // 2)', idx_part(CORPUS, "'all'"))}
 SELECT corpus_id, a, b, 0 AS same, rk FROM neg_out
 """)
 o("metric_accuracy", f"SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS acc FROM ({PRED})")

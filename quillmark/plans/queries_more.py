@@ -36,7 +36,7 @@ def pair_request(spark, sf):
 def positive_pairs_round_robin(spark, sf):
     c = _ls(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), 400, 0)
+    req = J.pair_request_per_doc(J.pair_capacity(c), "n_docs * 3 div 2", "0")
     return J.positive_pairs_round_robin(idx, req, SEED)
 
 
@@ -44,7 +44,7 @@ def positive_pairs_round_robin(spark, sf):
 def positive_pairs_random(spark, sf):
     c = _ls(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), 400, 0)
+    req = J.pair_request_per_doc(J.pair_capacity(c), "n_docs * 3 div 2", "0")
     return J.positive_pairs_uniform(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
 
 
@@ -255,6 +255,15 @@ def threshold_search_f1(spark, sf):
     return round_doubles(I.threshold_search_f1(s).withColumn("pos", F.col("pos").cast("long")))
 
 
+@q("impostors_fitted")
+def impostors_fitted(spark, sf):
+    """I6 + I7: sigma from the pairs of one half of the training authors, scored against the
+    other half; it decides the test pairs (0.5 where no cut exists)."""
+    tr = _emb_split(spark, sf).where("split = 'train'").select("doc_id", "author")
+    sigma = I.fitted_sigma(tr, _abs_vectors(spark, sf), 64, 20, 5, 30, "minmax", 500, SEED, block_rows=128)
+    return round_doubles(I.decide_by_sigma(_impostor_scores(spark, sf), sigma).select("a", "b", "same", "score", "sigma", "pred"))
+
+
 @q("impostors_eval")
 def impostors_eval(spark, sf):
     s = _impostor_scores(spark, sf)
@@ -276,7 +285,7 @@ def negative_pairs_large(spark, sf):
     """A large request of negatives on the whole corpus (author = source)."""
     c = documents_corpus(spark, sf)
     idx = J.indexed_docs(c, SEED)
-    req = J.pair_request(J.pair_capacity(c), 0, 15000)
+    req = J.pair_request_per_doc(J.pair_capacity(c), "0", "n_docs * 20")
     return J.negative_pairs(idx, req, SEED).select("corpus_id", "a", "b", "same", "rk")
 
 
