@@ -16,7 +16,7 @@ def _fresh(fn):
 
 
 def all_queries():
-    from . import experiments, flagship, queries_more, sources_queries  # noqa: F401  (registration side effects)
+    from . import experiments, flagship, queries_more, sav, sources_queries  # noqa: F401  (registration side effects)
     from .queries import REGISTRY
 
     return {k: _fresh(v) for k, v in REGISTRY.items()}
