@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 
 BINS = 256
 CENTRE_ROUNDS = 2
@@ -140,7 +140,7 @@ def signature_table(docs: DataFrame, width: int, bands: int, rows: int) -> DataF
                                 "set_key": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                                 "keys": keys})
 
-    return docs.mapInPandas(run, "doc_id long, n long, set_key binary, keys array<long>")
+    return docs.mapInPandas(tidy(run), "doc_id long, n long, set_key binary, keys array<long>")
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,7 +163,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": ids[some], "shingles": [s.view(np.int64) for s in sets],
                                 "sketch": list(sketches(sets))})
 
-    return docs.mapInPandas(run, "doc_id long, shingles array<long>, sketch array<long>")
+    return docs.mapInPandas(tidy(run), "doc_id long, shingles array<long>, sketch array<long>")
 
 
 def may_agree(a: str, b: str, n_a: str, n_b: str, percent: int):

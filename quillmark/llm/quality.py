@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import save
+from .common import save, tidy
 from .samples import fit_sample, sigmoid
 
 SHAPES = 14
@@ -63,7 +63,7 @@ def with_shape(docs: DataFrame) -> DataFrame:
             yield batch.append_column("shape", pa.array([shape(t) for t in texts], pa.list_(pa.float64())))
 
     docs = docs.drop("shape")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("shape", ArrayType(DoubleType()))]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("shape", ArrayType(DoubleType()))]))
 
 
 def expand(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def evidence(docs: DataFrame, model: dict) -> DataFrame:
             yield batch.append_column("doc_score", pa.array(np.clip(p, 1e-6, 1 - 1e-6)))
 
     docs = docs.drop("doc_score")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("doc_score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("doc_score", DoubleType())]))
 
 
 def strength(groups: DataFrame, parent: str) -> DataFrame:

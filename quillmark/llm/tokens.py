@@ -17,11 +17,13 @@ from itertools import chain
 
 import numpy as np
 
+from .common import give_back
+
 #: Words kept by one encoder in two generations, some 150 MB: when the young one is
 #: full it becomes the old one, and what is met again moves over.
 KEPT_WORDS = 1_000_000
 #: Characters whose words are looked up in one call.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 _BLANK_PAIR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -165,20 +167,6 @@ class WordEncoder:
         return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 
-def give_back() -> None:
-    """Returns memory that earlier tasks of this worker freed to the system."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
 def worker_encoder(path: str | None = None, kept: int = KEPT_WORDS) -> WordEncoder:
     """The encoder of this Python worker, kept for its later tasks.
 

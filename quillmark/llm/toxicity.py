@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import save
+from .common import save, tidy
 from .samples import Rows, fit_sample, held_out, sigmoid
 
 #: Swappable terms, a group per line (fixed values).
@@ -79,7 +79,7 @@ def choose_vocabulary(sample: DataFrame, size: int, least_docs: int = 3, least_g
             yield pd.DataFrame({"feature": pd.Series(part, dtype=object), "n0": [seen[f][0] for f in part],
                                 "n1": [seen[f][1] for f in part]})
 
-    counts = (sample.mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature")
+    counts = (sample.mapInPandas(tidy(count), "feature string, n0 long, n1 long").groupBy("feature")
               .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     total = sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
     docs = {r["y"]: r["n"] for r in total}
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "own": own, "other": other})
 
     # at most 2 * per_class short rows
-    rows = sample.mapInPandas(encode, "doc_id long, y int, own array<int>, other array<int>").orderBy("doc_id").collect()
+    rows = sample.mapInPandas(tidy(encode), "doc_id long, y int, own array<int>, other array<int>").orderBy("doc_id").collect()
     y = np.array([r["y"] for r in rows], dtype=float)
     of = np.array([i for i, r in enumerate(rows) if r["other"] is not None], dtype=np.int64)
     w = fit_logistic(Rows([r["own"] for r in rows], len(names)), y, np.array([each[r["y"]] for r in rows]),
@@ -155,7 +155,7 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataF
             z = [intercept + sum(weights[f] for f in sorted(features(t) & known)) for t in batch.column(at).to_pylist()]
             yield batch.append_column("score", pa.array(sigmoid(np.array(z, dtype=float))))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
