@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from quillmark.llm import mixing, near_dup, packing, quality, toxicity
 from quillmark.llm.common import bound_batches, save
 
+#: Words a packing worker keeps: fewer than alone, as its executor still holds what the stages before took.
+PACKING_WORDS = 200_000
+
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -69,7 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens, a row per piece."""
     bound_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, kept_words=PACKING_WORDS)
 
 
 STAGES = [
