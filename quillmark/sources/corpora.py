@@ -1,16 +1,18 @@
 """Corpus readers for the reference's input formats.
 
 Every reader returns the corpus model ``(doc_id?, author, text, ...)`` using
-Spark's file sources (csv / json / text, ``_metadata.file_path``) and column
-expressions; nothing is parsed on the driver.  The ``write_*`` helpers build
+Spark's file sources (csv / json / text) and column expressions; folders of a file
+per document are listed and read by tasks.  Nothing is parsed on the driver.  The ``write_*`` helpers build
 fixtures from a corpus DataFrame with Spark writers (tests and the registered
 round-trip queries use them).
 """
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,27 +107,122 @@ def read_tagged(spark: SparkSession, path: str, min_tokens: int = 0) -> DataFram
 
 # ------------------------------------------------------------------ S6 / S7 directory and file-name labels
 
+#: Folders that files with the author in their name are dealt to.
+NAME_FOLDERS = 256
+#: Characters of a batch of file contents.
+READ_CHARS = 4 << 20
+#: What Spark's own writer puts for a null or empty value, and the characters it escapes, in a path.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _write_files(rows: DataFrame, path: str) -> None:
+    """``rows`` (in_folder, in_file: fixed prefixes; folder, file, text) as one file per
+    (folder, file) below ``path``, with an end of line after every text; rows of equal names share a file.
+
+    A task writes a file beside its target and moves it into place, so a commit by the
+    driver, which renames file by file, is not needed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        attempt = f".{TaskContext.get().taskAttemptId()}"
+        now, out, made, n = None, None, set(), 0
+
+        def escaped(name: str | None) -> str:
+            return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in name) if name else NO_VALUE
+
+        def close() -> None:
+            out.close()
+            store.move(f"{base}/{now[0]}/{attempt}", f"{base}/{now[0]}/{now[1]}")
+
+        for batch in batches:
+            for keys, named, folder, file, text in zip(*(c.to_pylist() for c in batch.columns)):
+                key = keys + escaped(folder), named + escaped(file) + ".txt"
+                if key != now:
+                    if now is not None:
+                        close()
+                    if key[0] not in made:
+                        store.create_dir(f"{base}/{key[0]}", recursive=True)
+                        made.add(key[0])
+                    out, now, n = store.open_output_stream(f"{base}/{key[0]}/{attempt}"), key, n + 1
+                out.write(((text or "") + "\n").encode("utf-8", "surrogatepass"))
+        if now is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1], recursive=True)
+    dealt = (rows.select("in_folder", "in_file", "folder", "file", "text").repartition(_tasks(rows.sparkSession), "folder", "file")
+             .sortWithinPartitions("folder", "file"))
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(rel, value): place below ``path`` and content of every file there, hidden ones left
+    out.  Tasks list the folders and read the files; the driver holds no list of them."""
+    def listed(recursive: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = fs.FileSystem.from_uri(path)
+            base = base.rstrip("/")
+
+            def hidden(rel: str) -> bool:
+                return any(p.startswith(".") or p.startswith("_") and "=" not in p or p.endswith("._COPYING_") for p in rel.split("/"))
+
+            for batch in batches:
+                for rel, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                    found = [(rel, False)]
+                    if folder:
+                        at = store.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/"), recursive=recursive))
+                        found = [(i.path[len(base) + 1:], i.type == fs.FileType.Directory) for i in at]
+                    found = [f for f in found if not hidden(f[0]) and not (recursive and f[1])]
+                    for i in range(0, len(found), 10_000):
+                        rels, folders = zip(*found[i:i + 10_000])
+                        yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string()), pa.array(folders, pa.bool_())], ["rel", "folder"])
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        rels, values, size = [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rels, pa.string()), pa.array(values, pa.string())], ["rel", "value"])
+
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base.rstrip('/')}/{rel}") as f:
+                    values.append(f.read().decode("utf-8", "replace"))
+                rels.append(rel)
+                size += len(values[-1])
+                if size >= READ_CHARS or len(rels) >= 10_000:
+                    yield pack()
+                    rels, values, size = [], [], 0
+        yield pack()
+
+    n, entries = _tasks(spark), "rel string, folder boolean"
+    top = spark.range(1).select(F.lit("").alias("rel"), F.lit(True).alias("folder")).mapInArrow(listed(False), entries)
+    files = top.repartition(n, "rel").mapInArrow(listed(True), entries).select("rel")
+    return files.repartition(n, "rel").mapInArrow(read, "rel string, value string")
+
+
 def write_dir_corpus(corpus: DataFrame, path: str) -> None:
-    """One file per document under author=<a>/doc_id=<id>/ (Hive-style folders)."""
-    corpus.select("author", "doc_id", "text").repartition("author", "doc_id").write.mode("overwrite") \
-        .partitionBy("author", "doc_id").text(path)
+    """One file per document, author=<a>/doc_id=<id>.txt."""
+    _write_files(corpus.select(F.lit("author=").alias("in_folder"), F.lit("doc_id=").alias("in_file"),
+                               F.col("author").cast("string").alias("folder"), F.col("doc_id").cast("string").alias("file"), "text"), path)
 
 
 def read_dir_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole files below ``path``; author = the first folder, doc_id = the number
-    in a folder ``doc_id=...`` or else the file's stem (null if it is no number).
+    in a folder or file ``doc_id=...`` or else the file's stem (null if it is no number).
     Author folders with 'unknown' in their name, contents.json and truth.txt are
     left out."""
-    r = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        "value", _decoded(F.col("_metadata.file_path")).alias("fp"))
-    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path).rstrip("/") + "/"
-    below = F.expr("substr(fp, instr(fp, __base) + length(__base))")
-    r = r.withColumn("__base", F.lit(base)).withColumn("rel", below)
+    r = _read_files(spark, path)
     folder = F.substring_index("rel", "/", 1)
     name = F.regexp_extract("rel", "([^/]+)$", 1)
     r = r.where((F.instr("rel", "/") > 0) & ~F.lower(folder).contains("unknown") & ~name.isin("contents.json", "truth.txt"))
     author = F.when(folder.startswith("author="), _decoded(F.substring(folder, 8, 1 << 20))).otherwise(folder)
-    number = F.coalesce(F.nullif(F.regexp_extract("rel", "doc_id=([0-9]+)/", 1), F.lit("")),
+    number = F.coalesce(F.nullif(F.regexp_extract("rel", "doc_id=([0-9]+)(/|[.][^./]+$)", 1), F.lit("")),
                         F.nullif(F.regexp_extract(name, "^([0-9]+)[.][^.]+$", 1), F.lit("")))
     return r.select(author.alias("author"), number.cast("long").alias("doc_id"),
                     F.regexp_replace("value", "\\n\\z", "").alias("text"))
@@ -137,17 +234,18 @@ def _decoded(c: Column) -> Column:
 
 
 def write_filename_corpus(corpus: DataFrame, path: str) -> None:
-    """Files grouped under name=<author>_<title>/ folders (title = doc id)."""
-    corpus.select(F.concat_ws("_", "author", F.col("doc_id").cast("string")).alias("name"), "text") \
-        .repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+    """Files name=<author>_<title>.txt (title = doc id), dealt to numbered folders."""
+    name = F.concat_ws("_", "author", F.col("doc_id").cast("string"))
+    folder = F.pmod(F.xxhash64(name), F.lit(NAME_FOLDERS)).cast("string")
+    _write_files(corpus.select(F.lit("").alias("in_folder"), F.lit("name=").alias("in_file"),
+                               folder.alias("folder"), name.alias("file"), "text"), path)
 
 
 def read_filename_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """author = file stem before the first '_', title = the rest."""
-    r = spark.read.option("basePath", path).text(path, wholetext=True).select(
-        "value", _decoded(F.col("_metadata.file_path")).alias("fp"))
-    stem = F.coalesce(F.nullif(F.regexp_extract("fp", "name=([^/]+)/", 1), F.lit("")),
-                      F.regexp_extract("fp", "([^/]+)\\.txt$", 1))
+    """author = file stem (or folder ``name=...``) before the first '_', title = the rest."""
+    r = _read_files(spark, path)
+    stem = F.coalesce(F.nullif(F.regexp_extract("rel", "name=([^/]+)/", 1), F.lit("")),
+                      F.regexp_extract("rel", "(?:^|/)(?:name=)?([^/]+)\\.txt$", 1))
     return r.select(F.substring_index(stem, "_", 1).alias("author"),
                     F.regexp_extract(stem, "^[^_]*_(.*)$", 1).alias("title"),
                     F.regexp_replace("value", "\\n\\z", "").alias("text"))
