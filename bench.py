@@ -21,7 +21,7 @@ from quillmark.operators import impostors as I  # noqa: E402
 from quillmark.operators import pairs as J  # noqa: E402
 from quillmark.operators import rules as R  # noqa: E402
 from quillmark.operators import similarity as S  # noqa: E402
-from quillmark.operators import text_features as P  # noqa: E402
+from quillmark.operators import terms as TE  # noqa: E402
 from quillmark.plans.flagship import flagship  # noqa: E402
 from quillmark.session import get_spark, release  # noqa: E402
 from quillmark.sources.testbed import documents_corpus  # noqa: E402
@@ -33,7 +33,7 @@ def run(df) -> None:
 
 def lri_vectors(spark, sf, dims=1000):
     sp = C.stratified_split(documents_corpus(spark, sf))
-    words = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
+    words = FE.tfidf(TE.words(sp), sp, "word", min_df=3)
     ri = FE.random_index_dictionary(FE.feature_index(words), dims, 2, 0)
     vec = FE.dense_vectors(FE.random_indexing(words, ri), dims)
     return vec.join(sp.select("doc_id", "author", "split"), "doc_id")
@@ -54,7 +54,7 @@ def main() -> None:
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
 
     sp = C.stratified_split(corpus)
-    timed("tfidf_char", lambda: run(FE.tfidf(P.char_ngram_counts(sp), sp, "char")))
+    timed("tfidf_char", lambda: run(FE.tfidf(TE.char_ngrams(sp), sp, "char")))
     timed("positive_pairs_all", lambda: run(J.generate_pairs(corpus, -1, 0)))
     timed("pairs_capped_50k", lambda: run(J.generate_pairs(corpus, 50_000, 50_000)))
 

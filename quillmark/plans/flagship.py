@@ -9,7 +9,7 @@ from ..operators import features as FE
 from ..operators import metrics as G
 from ..operators import pairs as J
 from ..operators import similarity as S
-from ..operators import text_features as P
+from ..operators import terms as TE
 from ..sources.testbed import documents_corpus
 from .queries import q, round_doubles
 
@@ -19,7 +19,7 @@ THRESHOLD = 0.5
 def cosine_sav(spark: SparkSession, sf_dir: str, subsample: int = 1000, threshold: float = THRESHOLD):
     """Scored evaluation pairs (a, b, same, score, pred)."""
     sp = C.stratified_split(documents_corpus(spark, sf_dir))
-    feats = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
+    feats = FE.tfidf(TE.words(sp), sp, "word", min_df=3)
     test = sp.where(F.col("split") == "test")
     pairs = J.verification_coordinates(test, balanced=True, subsample=subsample)
     scored = pairs.join(S.sparse_cosine(pairs.select("a", "b"), feats), ["a", "b"])

@@ -13,6 +13,7 @@ from ..operators import features as FE
 from ..operators import pairs as J
 from ..operators import reports as RP
 from ..operators import sav
+from ..operators import terms as TE
 from ..operators import text_features as P
 from ..session import keep
 from ..sources.testbed import documents_corpus
@@ -41,7 +42,7 @@ def sav_fitted_log(spark, sf: str, log: DataFrame | None = None) -> DataFrame:
     for r in grid.collect():  # at most a row per size, method and mode
         name, mode = r["method"].rsplit("-", 1)
         wanted.setdefault(r["docs_by_author"], set()).add((name, mode))
-    words = FE.tfidf(P.word_unigram_counts(sp), sp, "word", min_df=3)
+    words = FE.tfidf(TE.words(sp), sp, "word", min_df=3)
     ri = FE.random_index_dictionary(FE.feature_index(words), DIMS, 2, 0)
     vectors = FE.dense_vectors(FE.random_indexing(words, ri), DIMS, docs=sp)
     vectors = keep(vectors.join(sp.select("doc_id", "author"), "doc_id").select("doc_id", "author", "vec"))
