@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.grouping import task_count
-from .common import save
+from .common import bound_batches, save, tidy
 
 MIN_WORDS = 50
 DISTINCT_PERCENT = 65
@@ -47,10 +47,10 @@ CAPITAL_PERCENT = 5
 ODD_SIGNS = "#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FILTERS = "ABCDE"
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
 #: A dictionary is closed with the block that brings it to so many words or blocks.
-DICTIONARY_WORDS = 500_000
-DICTIONARY_BLOCKS = 16
+DICTIONARY_WORDS = 300_000
+DICTIONARY_BLOCKS = 32
 A, B, C, D, E = (1 << i for i in range(5))
 
 CSR = "block long, dictionary long, doc_ids binary, no_id binary, parts array<string>, flags binary, digests binary, indptr binary, cols binary, counts binary"
@@ -83,7 +83,7 @@ class Block:
     def add(self, doc, text: str, part: str) -> None:
         data = text.encode("utf-8", "surrogatepass")
         words = data.split()  # bytes: splits at ASCII white space only
-        self.rows.append(np.fromiter(map(self.local.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.rows.append(np.fromiter(map(self.local.__getitem__, words), dtype=np.int32, count=len(words)))
         capitals = len(data) - len(data.translate(None, CAPITALS))
         self.flags.append(C * (100 * capitals > CAPITAL_PERCENT * len(text)) | D * any(c in text for c in ODD_SIGNS))
         self.digests.append(hashlib.sha256(data).digest())
@@ -94,7 +94,10 @@ class Block:
     def close(self, number: int, dictionary: int, last: bool) -> dict[str, list]:
         n, width = len(self.rows), max(1, len(self.local))
         doc = np.repeat(np.arange(n, dtype=np.int64), np.array([len(r) for r in self.rows], dtype=np.int64))
-        keys, counts = np.unique(doc * width + np.concatenate([np.empty(0, np.int64), *self.rows]), return_counts=True)
+        doc *= width
+        doc += np.concatenate([np.empty(0, np.int32), *self.rows])
+        self.rows = []
+        keys, counts = np.unique(doc, return_counts=True)
         row, col = np.divmod(keys, width)
         indptr = np.searchsorted(row, np.arange(n + 1))
         step = np.diff(col, prepend=0)  # sorted columns are kept as steps from the one before
@@ -144,7 +147,8 @@ def csr_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"))
-    return save(rows.mapInArrow(run, BLOCK_SCHEMA), "csr-blocks")
+    bound_batches(docs.sparkSession)
+    return save(rows.mapInArrow(tidy(run), BLOCK_SCHEMA), "csr-blocks")
 
 
 def word_codes(blocks: DataFrame) -> DataFrame:
@@ -203,7 +207,7 @@ def document_flags(shards: DataFrame) -> DataFrame:
                                     "failed": failed.astype(np.int32), "digest": digests})
 
     needed = shards.select("doc_ids", "no_id", "parts", "flags", "digests", "indptr", "counts", F.length("cols").alias("size"))
-    return needed.mapInPandas(run, "doc_id long, part string, words long, distinct_words long, failed int, digest binary")
+    return needed.mapInPandas(tidy(run), "doc_id long, part string, words long, distinct_words long, failed int, digest binary")
 
 
 def attach_copies(rows: DataFrame) -> DataFrame:
