@@ -7,14 +7,14 @@ before it, and only its reply is trainable.  The turns are rendered once,
 
 with ``\`` and ``<`` inside role and text escaped by a backslash, so that no text
 can form a mark and every text is read back exactly.  A conversation's rendered
-turns are one text; an example is a row that ends it: the formatted text up to
-``target_end``, with the loss mask on [target_start, target_end).  So n replies
-cost n rows, not n copies of their context; ``example_texts`` writes examples out
-in full where a consumer wants that.
+turns are one text.  The expansion gives each reply a row with its whole context as
+``prefix``: prefix and segment together are the example's text, with the loss mask on
+[target_start, target_end) of it.  Reading back checks every prefix against the turns
+before it.  So n replies cost n copies of their contexts, as the method has it: the
+output grows with the square of a conversation's length, and no prefix is cut.
 
-Turns are ordered and given their places by windows over a conversation, which
-spill; reading back streams the sorted turns, so a conversation of any length
-needs no memory of its size.
+Turns are ordered and given their places by windows over a conversation; reading back
+streams the sorted turns and holds one example.
 
 Defined cases: a null role or text is empty; a null conv_id is a conversation of
 its own; equal turn numbers are ordered by role and text; only the exact role
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import bound_batches, save
 
 OPEN, BODY, CLOSE = "<turn>", "<text>", "</turn>\n"
 TRAINED = "assistant"
@@ -52,8 +52,9 @@ def unescape(text: str) -> str:
 
 def expand(turns: DataFrame) -> DataFrame:
     """Rendered turns of ``turns`` (conv_id, turn, role, text), in place order:
-    conv_id, pos, segment, seg_start, and for a trainable turn example (its number),
-    target_start and target_end; positions are code points in the conversation's text."""
+    conv_id, pos, segment, seg_start, and for a trainable turn example (its number), prefix
+    (all turns before it, rendered), target_start and target_end; positions are code
+    points in the conversation's text, which are those in prefix and segment."""
     empty = F.lit("")
     t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"),
                      F.coalesce(F.col("role").cast("string"), empty).alias("role"),
@@ -68,9 +69,11 @@ def expand(turns: DataFrame) -> DataFrame:
     trained = F.col("role") == TRAINED
     t = (t.withColumn("pos", F.row_number().over(order).cast("long") - 1)
          .withColumn("seg_start", F.sum(size).over(so_far) - size)
+         .withColumn("__before", F.collect_list("segment").over(order.rowsBetween(Window.unboundedPreceding, -1)))
          .withColumn("__k", F.sum(trained.cast("long")).over(so_far) - 1))
     start = F.col("seg_start") + F.col("head")
     return t.select("conv_id", "pos", "segment", "seg_start", F.when(trained, F.col("__k")).alias("example"),
+                    F.when(trained, F.array_join("__before", "")).alias("prefix"),
                     F.when(trained, start).alias("target_start"),
                     F.when(trained, start + F.col("body")).alias("target_end"))
 
@@ -94,12 +97,15 @@ class Digest:
 
     def __init__(self, conv):
         self.conv, self.turns, self.chars, self.loss_chars, self.examples, self.prefix = conv, 0, 0, 0, 0, 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.all, self.loss, self.text = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
 
-    def add(self, segment: str, seg_start: int, target_start: int | None, target_end: int | None) -> None:
+    def add(self, segment: str, seg_start: int, target_start: int | None, target_end: int | None, prefix: str | None = None) -> None:
         found = TURN.fullmatch(segment)
         if not found or seg_start != self.chars:
             raise ValueError(f"conversation {self.conv}: turn {self.turns} is not where or what it should be")
+        if prefix is not None and hashlib.sha256(prefix.encode("utf-8", "surrogatepass")).digest() != self.text.digest():
+            raise ValueError(f"conversation {self.conv}: the prefix of example {self.examples} is not the turns before it")
+        self.text.update(segment.encode("utf-8", "surrogatepass"))
         role, text = unescape(found[1]), unescape(found[2])
         self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
         if target_start is not None:
@@ -146,7 +152,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         yield pack(done)
 
     rows = (formatted.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
-            .select("conv_id", "segment", "seg_start", "target_start", "target_end"))
+            .select("conv_id", "segment", "seg_start", "target_start", "target_end", "prefix"))
+    bound_batches(formatted.sparkSession)
     return rows.mapInArrow(run, DIGEST)
 
 

@@ -1,6 +1,7 @@
 """Chat formatting round trip."""
 import hashlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -65,3 +66,20 @@ def test_marks_in_texts_are_read_back(role, text):
 
     m = C.TURN.fullmatch(f"{C.OPEN}{escape(role)}{C.BODY}{escape(text)}{C.CLOSE}")
     assert (C.unescape(m[1]), C.unescape(m[2])) == (role, text)
+
+
+def test_every_reply_is_expanded_with_its_whole_prefix(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn <{i}>") for i in range(6)] + [(2, 0, "assistant", "first")]
+    got = C.expand(turns(spark, rows)).orderBy("conv_id", "pos").collect()
+    for conv in (1, 2):
+        own = [r for r in got if r["conv_id"] == conv]
+        for r in own:
+            before = "".join(x["segment"] for x in own[:r["pos"]])
+            assert r["prefix"] == (before if r["example"] is not None else None)
+            if r["example"] is not None:
+                reply = (r["prefix"] + r["segment"])[r["target_start"]:r["target_end"]]
+                assert C.unescape(reply) == C.unescape(C.TURN.fullmatch(r["segment"])[2])
+    d = C.Digest(1)
+    d.add(got[0]["segment"], 0, None, None)
+    with pytest.raises(ValueError, match="prefix"):
+        d.add(got[1]["segment"], got[1]["seg_start"], got[1]["target_start"], got[1]["target_end"], "another")
