@@ -76,14 +76,16 @@ def read_jsonl_pairs(spark: SparkSession, path_pairs: str, path_truth: str,
                      min_tokens: int = 10, max_tokens: int = 10000, min_docs: int = 2) -> DataFrame:
     """S3 (+P1, C3): explode the two texts of each pair with their authors, keep
     texts with min_tokens <= tokens < max_tokens, then authors with >= min_docs docs."""
-    p = spark.read.schema("id string, pair array<string>").json(path_pairs)
-    t = spark.read.schema("id string, authors array<string>").json(path_truth)
-    d = p.join(t, "id").select("id", F.inline(F.arrays_zip(
-        F.sequence(F.lit(0), F.lit(1)).alias("pos"), F.col("pair").alias("text"), F.col("authors").alias("author"))))
     n = token_count("text")
-    d = d.where((n >= min_tokens) & (n < max_tokens))
+    at = F.col("__at")
+    p = (spark.read.schema("id string, pair array<string>").json(path_pairs).select("id", F.posexplode("pair").alias("__at", "text"))
+         .where((n >= min_tokens) & (n < max_tokens)))
+    t = spark.read.schema("id string, authors array<string>").json(path_truth).select("id", F.posexplode("authors").alias("__at", "author"))
+    # authors are counted and chosen without the texts, which cross the network once
+    d = p.select("id", "__at").join(t, ["id", "__at"])
     keep = d.groupBy("author").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs).select("author")
-    return d.join(keep, "author", "left_semi")
+    return p.join(t.join(keep, "author", "left_semi"), ["id", "__at"]).select(
+        "id", F.when(at < 2, at).alias("pos"), "text", "author")
 
 
 # ------------------------------------------------------------------ S4 tagged records

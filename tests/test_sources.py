@@ -55,3 +55,16 @@ def test_author_folders_of_other_origin(spark):
     assert got == {("alice", 12, "one"), ("alice", None, "two"), ("bob", 4, "four\n")}
     (p / "Dante_de_vulgari.txt").write_text("text")
     assert ("Dante", "de_vulgari", "text") in {tuple(r) for r in K.read_filename_corpus(spark, str(p)).collect()}
+
+
+def test_pair_authors_are_chosen_without_the_texts(spark):
+    p = pathlib.Path(tempfile.mkdtemp(prefix="quill-test-", dir="/tmp"))
+    long = " ".join(["word"] * 12)
+    (p / "pairs").write_text("\n".join(f'{{"id": "{i}", "pair": ["{long} a{i}", "{long if i else "short"} b{i}"]}}' for i in (0, 1, 1, 2)))
+    (p / "truth").write_text("\n".join(f'{{"id": "{i}", "authors": ["x", "y{i}"]}}' for i in (0, 1, 1, 2)))
+    d = K.read_jsonl_pairs(spark, str(p / "pairs"), str(p / "truth"))
+    got = sorted((r["id"], r["pos"], r["author"], r["text"][-2:]) for r in d.collect())
+    assert got == [("0", 0, "x", "a0")] + [("1", 0, "x", "a1")] * 4 + [("1", 1, "y1", "b1")] * 4 + [("2", 0, "x", "a2")]
+    lines = d._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    semi = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    assert not any("text#" in line for line in lines[semi:semi + 3])
