@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from .tokens import worker_encoder
 
 SHARD_TOKENS = 1 << 20
 END_ID = 0
-#: Words a worker keeps, some 300 MB.
+#: Pieces a worker keeps, some 300 MB.
 KEPT_WORDS = 2_000_000
 MAGIC = b"QMWM"
 HEAD = "<4sIIIQQI"
@@ -201,25 +202,26 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str | None = None,
     manifest (a row per file), already written beside them."""
     tail = end_id.to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), 0
         encoder = worker_encoder(tokenizer_file, KEPT_WORDS)
         held: list[tuple[int, bytes]] = []
         tokens = 0
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             docs_of = np.array([d for d, _ in held], dtype=np.int64)
             sizes = np.array([len(b) // 4 for _, b in held], dtype=np.int64)
             ids = np.frombuffer(b"".join(b for _, b in held), dtype="<u4")
             data = dump_shard(part, shard, docs_of, np.cumsum(sizes) - sizes, ids)
             name = put_file(folder, f"shard-{part:06d}-{shard:06d}.qmwm", data)
-            return pd.DataFrame([(part, shard, name, len(held), len(ids), len(data))],
-                                columns=[c.split()[0] for c in MANIFEST.split(", ")])
+            row = (part, shard, name, len(held), len(ids), len(data))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)],
+                                              [c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            keys = [NULL_DOC if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            for doc, ids in zip(keys, encoder.encode(texts)):
+            keys = batch.column("doc_id").fill_null(NULL_DOC).to_pylist()
+            for doc, ids in zip(keys, encoder.encode(batch.column("text"))):
                 held.append((doc, ids + tail))
                 tokens += len(ids) // 4 + 1
                 if tokens >= shard_tokens:
@@ -230,7 +232,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str | None = None,
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(placed.mapInPandas(run, MANIFEST), "manifest")
+    return save(placed.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

@@ -2,35 +2,47 @@
 
 ``WordEncoder`` gives exactly the ids of ``Tokenizer.encode(text,
 add_special_tokens=False)``, control strings taken as ordinary text.  The
-vocabulary's splitter never joins characters across a single blank that stands
-between two non-blank characters, so a text may be cut there and every distinct
-word be encoded by the library once and kept.  It also cuts between letters and
-punctuation other than an apostrophe, so a new word with such a tail is made
-from its two parts.
+vocabulary's splitter never joins characters across a single blank or line end
+that stands between two non-blank characters, nor a letter and the punctuation
+after it (the apostrophe is left alone here), so a text may be cut there and
+every distinct piece be encoded by the library once and kept.
+
+Texts stay in their Arrow buffers: a group of them is cut by array operations on
+its bytes, Arrow numbers the equal pieces, and only the distinct ones of a group
+are looked up one by one.
 """
 from __future__ import annotations
 
 import re
 import sys
 import types
-from itertools import chain
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import give_back
 
-#: Words kept by one encoder in two generations, some 150 MB: when the young one is
+#: Pieces kept by one encoder in two generations, some 150 MB: when the young one is
 #: full it becomes the old one, and what is met again moves over.
 KEPT_WORDS = 1_000_000
-#: Characters whose words are looked up in one call.
-BATCH_CHARS = 500_000
-
-_BLANK_PAIR = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Latin letters, then ASCII punctuation without the apostrophe.
-_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-#: ASCII that the splitter never cuts.
-_PIECE = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Bytes of text whose pieces are looked up in one call.
+GROUP_BYTES = 1 << 20
+
+#: Kinds of bytes: white space, last byte of a Latin letter, ASCII punctuation without the apostrophe.
+BLANK, LETTER, MARK = 1, 2, 3
+_KIND = np.array([BLANK if c.isspace() else LETTER if c.isalpha() else MARK if c.isprintable() and not c.isdigit() and c != "'" else 0
+                  for c in map(chr, range(128))] + [0] * 128, dtype=np.uint8)
+#: UTF-8 bytes, as one number, of the white space beyond ASCII, by its length in bytes.
+_WIDE = {k: np.array([int.from_bytes(c.encode()) for c in map(chr, range(128, 0x3001)) if c.isspace() and len(c.encode()) == k],
+                     dtype=np.uint32) for k in (2, 3)}
+#: What the splitter never cuts and the library's model takes as it is.
+_PIECE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: The byte alphabet of the vocabulary: a printable byte is its own character, the others follow from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHER = sorted(set(range(256)) - _PLAIN)
+_ALPHABET = [chr(b if b in _PLAIN else 256 + _OTHER.index(b)) for b in range(256)]
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -42,15 +54,31 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def split_words(text: str) -> list[str]:
-    """Pieces that can be encoded one by one; together they are the text."""
-    if "\0" in text or _BLANK_PAIR.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+def cut_mask(data: np.ndarray) -> np.ndarray:
+    """Where texts of these UTF-8 bytes may be cut: true at the first byte of a piece.
+    Where texts meet, the caller cuts in any case."""
+    kind = _KIND[data]
+    at = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, letters but for two signs
+    kind[at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)] + 1] = LETTER
+    at = np.flatnonzero(data[:-1] == 0xC2)
+    at = at[np.isin(data[at].astype(np.uint32) << 8 | data[at + 1], _WIDE[2])]
+    kind[at] = kind[at + 1] = BLANK
+    at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3))
+    at = at[np.isin(data[at].astype(np.uint32) << 16 | data[at + 1].astype(np.uint32) << 8 | data[at + 2], _WIDE[3])]
+    kind[at] = kind[at + 1] = kind[at + 2] = BLANK
+
+    cut = np.zeros(len(data), dtype=bool)
+    solid = kind != BLANK
+    alone = solid[:-2] & solid[2:]
+    line = alone & (data[1:-1] == 0x0A)
+    cut[1:-1] = line | alone & (data[1:-1] == 0x20)
+    cut[2:] |= line
+    cut[1:] |= (kind[:-1] == LETTER) & (kind[1:] == MARK)
+    return cut
 
 
 class Generation(dict):
-    """Words numbered in the order they are met; ids of word k in ``flat`` from start[k]."""
+    """Pieces numbered in the order they are met; ids of piece k in ``flat`` from start[k]."""
 
     def __init__(self):
         super().__init__()
@@ -64,18 +92,16 @@ class Generation(dict):
         self.new.append(word)
         return n
 
-    def ids(self, word: str) -> bytes | None:
+    def ids(self, word: str) -> np.ndarray | None:
         n = self.get(word, self.size)
         if n >= self.size:
             return None
         a = self.start[n]
-        return self.flat[a:a + self.count[n]].tobytes()
+        return self.flat[a:a + self.count[n]]
 
-    def add(self, found: list[bytes]) -> None:
-        """Ids of the new words, in their order."""
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        end, used = self.size + len(found), self.used + len(ids)
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Ids of the new pieces, in their order, and how many each has."""
+        end, used = self.size + len(counts), self.used + len(ids)
         if end > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * end), np.resize(self.count, 2 * end)
         if used > len(self.flat):
@@ -99,71 +125,57 @@ class WordEncoder:
         self.model = self.tokenizer.model
 
     def _learn(self) -> None:
-        """Ids of the words that the young generation has just met: from the old one, from
-        their parts, straight from the library's model where a part is one piece of ASCII
-        (the byte alphabet writes a blank as \u0120), else from the whole library."""
-        from array import array
-
-        old, young, tail, piece, tokenize = self.old, self.young, _TAIL.fullmatch, _PIECE.fullmatch, self.model.tokenize
-        known: dict[str, bytes] = {}
-        rest: list[str] = []
-
-        def look(part: str) -> None:
-            if piece(part):
-                known[part] = array("I", [t.id for t in tokenize(part.replace(" ", "\u0120"))]).tobytes()
-            else:
-                known[part] = b""
-                rest.append(part)
-
-        for word in young.new:
-            if old and (ids := old.ids(word)) is not None:
-                known[word] = ids
-            elif not (m := tail(word)):
-                if word not in known:
-                    look(word)
+        """Ids of the pieces that the young generation has just met: from the old one,
+        straight from the library's model where the splitter would leave the piece whole,
+        else from the whole library."""
+        old, whole, tokenize = self.old, _PIECE.fullmatch, self.model.tokenize
+        rest = [w for w in self.young.new if not (w in old or whole(w))]
+        encoded = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        flat, counts = array("I"), array("q")
+        for word in self.young.new:
+            before = len(flat)
+            if (ids := old.ids(word)) is not None:
+                flat.frombytes(ids.tobytes())
+            elif whole(word):
+                flat.extend([t.id for t in tokenize("".join(map(_ALPHABET.__getitem__, word.encode())))])
             else:
-                for part in m.groups():
-                    if part not in known:
-                        ids = young.ids(part) or (old and old.ids(part))
-                        if ids:
-                            known[part] = ids
-                        else:
-                            look(part)
-        for part, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[part] = array("I", enc.ids).tobytes()
-        found = []
-        for word in young.new:
-            ids = known.get(word)
-            if ids is None:
-                head, end = tail(word).groups()
-                ids = known[head] + known[end]
-            found.append(ids)
-        young.add(found)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+                flat.extend(next(encoded).ids)
+            counts.append(len(flat) - before)
+        self.young.add(np.frombuffer(flat, dtype=np.uint32), np.frombuffer(counts, dtype=np.int64))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; null is empty."""
-        out, group, chars = [], [], 0
-        for text in texts:
-            group.append(text or "")
-            chars += len(group[-1])
-            if chars >= BATCH_CHARS:
-                out += self._encode_group(group)
-                group, chars = [], 0
-        return out + self._encode_group(group)
-
-    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(column):
+            return []
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        bounds = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+        out, first = [], 0
+        while first < len(column):
+            stop = max(first + 1, int(np.searchsorted(bounds, bounds[first] + GROUP_BYTES, side="right")) - 1)
+            out += self._encode_group(data[bounds[first]:bounds[stop]], bounds[first:stop + 1] - bounds[first])
+            first = stop
+        return out
+
+    def _encode_group(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of the texts that lie in ``data`` from one bound to the next."""
         if len(self.young) > self.kept // 2:
             self.young, self.old = Generation(), self.young
-        split = [split_words(t) for t in texts]
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        words = np.fromiter(map(self.young.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        cut = cut_mask(data)
+        cut[bounds[:-1][bounds[:-1] < len(data)]] = True
+        edges = np.append(np.flatnonzero(cut), len(data))
+        buffers = [None, pa.py_buffer(edges), pa.py_buffer(data)]
+        pieces = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, buffers).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+        words = np.fromiter(map(self.young.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         if self.young.new:
             self._learn()
-        counts = self.young.count[words].astype(np.int64)
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.young.flat[np.repeat(self.young.start[words] - (ends - counts), counts) + np.arange(total)]
-        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        which = pieces.indices.to_numpy()
+        counts = self.young.count[words].astype(np.int64)[which]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.young.flat[np.repeat(self.young.start[words][which] - ends[:-1], counts) + np.arange(ends[-1])]
+        stops = ends[np.searchsorted(edges, bounds)].tolist()
         return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 

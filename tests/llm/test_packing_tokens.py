@@ -3,11 +3,13 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quillmark.llm import tokens
 from quillmark.llm.packing import pack
 from quillmark.llm.token_store import WaveletMatrix, dump_shard, load_shard, read_store, write_store
 from quillmark.llm.tokens import WordEncoder, vocabulary_path
@@ -103,3 +105,29 @@ def test_token_store_round_trip(spark):
         got.append((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]))
         assert got[-1] == (None if i == -1 else i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_equal_words_of_a_group_are_looked_up_once():
+    asked = []
+
+    class Counting(tokens.Generation):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    encoder = WordEncoder()
+    encoder.young = Counting()
+    text = "one niño, one niño. one (niño) " * 500
+    assert encoder.encode([text, text]) == [array("I", library().encode(text, add_special_tokens=False).ids).tobytes()] * 2
+    assert len(asked) == len(set(asked)) < 12
+    assert " niño" in encoder.young and " niño," not in encoder.young
+
+
+def test_groups_and_arrow_slices_equal_library(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 16)
+    texts = [None, "", "a　 b", "é , ñ×, ÷.", "end ", " start", "x\n", "\ny", "中 文,  z", None, "it's'll, 'd", "q" * 50, ""]
+    want = [array("I", e.ids).tobytes() for e in library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for kept in (4, 1000):
+        assert WordEncoder(kept=kept).encode(pa.array(texts)[1:]) == want[1:]
+        assert WordEncoder(kept=kept).encode(texts) == want
+    assert WordEncoder().encode([]) == [] and WordEncoder().encode([None, ""]) == [b"", b""]
