@@ -184,8 +184,8 @@ def stacked_attribution(spark, sf):
     e = _emb_split(spark, sf)
     tr = e.where("split = 'train'").select("doc_id", "vec", "author")
     te = e.where("split = 'test'").select("doc_id", "vec")
-    ftr, fte = R.stacked_rows(tr, tr, "cosine"), R.stacked_rows(te, tr, "cosine")
-    ftr = ftr.join(tr.select("doc_id", F.col("author").cast("double").alias("label")), "doc_id")
+    ftr, fte = (R.stacked_coordinates(x, tr) for x in (tr, te))
+    ftr = ftr.withColumn("label", F.col("author").cast("double"))
     return M.stacked_attribution(ftr, fte).select("doc_id", F.col("prediction").cast("int").alias("pred"))
 
 
