@@ -68,7 +68,7 @@ def write_jsonl_pairs(pairs: DataFrame, corpus: DataFrame, path_pairs: str, path
     ca = corpus.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("author").alias("aa"))
     cb = corpus.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("author").alias("ab"))
     p = pairs.join(ca, "a").join(cb, "b").withColumn("id", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
-    p.select("id", F.array("ta", "tb").alias("pair")).write.mode("overwrite").json(path_pairs)
+    p.select("id", F.array("ta", "tb").alias("pair")).write.mode("overwrite").option("compression", "gzip").json(path_pairs)  # every text some four times
     p.select("id", F.array("aa", "ab").alias("authors")).write.mode("overwrite").json(path_truth)
 
 
