@@ -76,7 +76,7 @@ def test_summed_rows_are_those_of_the_whole_rows(spark):
 def test_coordinates_keep_the_dot_products_of_score_rows(spark):
     tr, te = _frame(spark, _rows(40)), _frame(spark, _rows(20, 1, 1000))
     V = {d["doc_id"]: d["vec"] for x in (tr, te) for d in R.stacked_rows(x, tr, "cosine").collect()}
-    Z = {d["doc_id"]: d["vec"] for x in (tr, te) for d in R.stacked_coordinates(x, tr).collect()}
+    Z = {d["doc_id"]: d["vec"] for x in (tr, te) for d in R.stacked_rows(x, tr, turned=True).collect()}
     ids = sorted(V)
     V, Z = (np.array([d[i] for i in ids]) for d in (V, Z))
     assert V.shape == (60, 40) and Z.shape == (60, 4)  # as wide as the references before
@@ -86,13 +86,13 @@ def test_coordinates_keep_the_dot_products_of_score_rows(spark):
 @pytest.mark.parametrize("authors", [2, 3])
 def test_stacked_fit_equals_the_one_on_stored_rows(spark, authors):
     tr, te = _frame(spark, _rows(60, authors=authors)), _frame(spark, _rows(50, 1, 1000, authors))
-    got = M.stacked_scores_attribution(tr, te, "diff_logit", COEF, ICPT, tol=1e-9)
+    got = M.stacked_scores_attribution(*(S.pairwise_projection(x, tr, "diff_logit", coef=COEF, intercept=ICPT, whole_rows=True) for x in (tr, te)), tol=1e-9)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     ftr, fte = (R.stacked_rows(x, tr, "diff_logit", COEF, ICPT) for x in (tr, te))
     ftr = ftr.join(tr.select("doc_id", F.col("author").cast("double").alias("label")), "doc_id")
     want = {r["doc_id"]: r["prediction"] for r in M.stacked_attribution(ftr, fte).collect()}
     assert {r["doc_id"]: r["prediction"] for r in got.collect()} == want
-    turned = M.stacked_attribution(R.stacked_coordinates(tr, tr).withColumn("label", F.col("author").cast("double")), R.stacked_coordinates(te, tr))
+    turned = M.stacked_attribution(R.stacked_rows(tr, tr, turned=True).withColumn("label", F.col("author").cast("double")), R.stacked_rows(te, tr, turned=True))
     ftr, fte = (R.stacked_rows(x, tr) for x in (tr, te))
     ftr = ftr.join(tr.select("doc_id", F.col("author").cast("double").alias("label")), "doc_id")
     want = {r["doc_id"]: r["prediction"] for r in M.stacked_attribution(ftr, fte).collect()}
